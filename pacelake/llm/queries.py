@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules
+from . import language_id, line_dedup, mixing, near_dedup, packing, pii, quality_mil, quality_rules, substrings, topk
 
-MODULES = (quality_rules, mixing, line_dedup)
+MODULES = (quality_rules, mixing, quality_mil, packing, near_dedup, substrings, pii, line_dedup, language_id, topk)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
