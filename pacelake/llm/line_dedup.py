@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import text as tx
+
 #: HTML elements that begin or end a line.
 BLOCKS = "br|p|div|li|ul|ol|nav|article|section|header|footer|aside|main|h1|h2|h3|h4|h5|h6|tr|td|th|table|title|pre|blockquote|form"
+SPACES = " \t\n\x0b\x0c\r"
 TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -30,36 +33,42 @@ def lines_of_html(html):
 
 
 def _keys(lines):
-    """Hash of each line, null for blank ones."""
-    key = lambda x: F.when(F.regexp_replace(x, TRIM, "") != "", F.unhex(F.md5(F.regexp_replace(x, TRIM, ""))))
+    """128-bit hash of each line, null for blank ones."""
+
+    def key(line):
+        bare = F.btrim(line, F.lit(SPACES))
+        return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b")))
+
     return F.transform(lines, key)
 
 
-def boilerplate_lines(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
-    """(host, line) hashes to drop. Counts combine before the shuffle; a host gives at most lines-a-page / ratio of them."""
-    per_page = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("h"), _keys(F.split(F.col(text), "\n")).alias("k"))
-    counts = per_page.select("h", F.explode(F.array_compact(F.array_distinct("k"))).alias("k")).groupBy("h", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = pages.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("h2")).agg(F.count("*").alias("total"))
+def boilerplate_lines(keyed: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """(h, k) of lines to drop, from (h, keys). Counts combine before the shuffle; a host gives at most lines-a-page / ratio of them."""
+    counts = keyed.select("h", F.explode(F.array_compact(F.array_distinct("keys"))).alias("k")).groupBy("h", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = keyed.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("total"))
     return counts.join(totals, F.col("h") == F.col("h2")).where(F.col("n") > ratio * F.col("total")).select("h", "k")
 
 
 def dedup_lines(pages: DataFrame, key: str, host: str, text: str, ratio: float = 0.25, min_pages: int = 3) -> DataFrame:
-    """`pages` with a struct `line_dedup` of the cleaned text, n_lines and n_dropped. `key` must tell rows apart."""
-    bad = boilerplate_lines(pages, host, text, ratio, min_pages)
-    lines = pages.where(F.col(host).isNotNull()).select(F.col(key).alias("_key"), F.col(host).alias("_h"), F.explode(F.array_compact(F.array_distinct(_keys(F.split(F.col(text), "\n"))))).alias("_k"))
-    hits = lines.join(bad, (F.col("_h") == F.col("h")) & (F.col("_k") == F.col("k"))).groupBy("_key").agg(F.collect_set("_k").alias("_bad"))
+    """`pages` with a struct `line_dedup` of the cleaned text, n_lines and n_dropped. `key` must tell rows apart.
+
+    Hashes of all lines are worked out once and kept in the shared folder; what goes back to the pages are the
+    places of the lines to drop.
+    """
+    keyed = tx.cut(pages.where(F.col(host).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(host).alias("h"), _keys(F.split(F.col(text), "\n")).alias("keys")))
+    bad = boilerplate_lines(keyed, ratio, min_pages).select(F.col("h").alias("bad_h"), F.col("k").alias("bad_k"))
+    lines = keyed.select("_key", "h", F.posexplode("keys").alias("place", "k")).where(F.col("k").isNotNull())
+    hits = lines.join(bad, (F.col("h") == F.col("bad_h")) & (F.col("k") == F.col("bad_k"))).groupBy("_key").agg(F.collect_list("place").alias("_bad"))
+    joined = pages.join(hits, F.col(key) == F.col("_key"), "left")
     all_lines = F.split(F.col(text), "\n")
-    keyed = pages.join(hits, F.col(key) == F.col("_key"), "left").withColumn("_pairs", F.arrays_zip(all_lines.alias("line"), _keys(all_lines).alias("k")))
-    left = F.filter("_pairs", lambda p: p["k"].isNull() | ~F.array_contains("_bad", p["k"]))
-    left = F.when(F.col("_bad").isNull(), F.col("_pairs")).otherwise(left)
-    n_lines = lambda pairs: F.size(F.filter(pairs, lambda p: p["k"].isNotNull())).cast("long")
-    none = F.col(text).isNull()
+    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_bad", i)), "\n")
+    n_lines = F.size(F.filter(all_lines, lambda x: F.btrim(x, F.lit(SPACES)) != ""))
     found = F.struct(
-        F.when(~none, F.array_join(F.transform(left, lambda p: p["line"]), "\n")).alias("text"),
-        F.when(none, F.lit(0)).otherwise(n_lines(F.col("_pairs"))).cast("long").alias("n_lines"),
-        F.when(none, F.lit(0)).otherwise(n_lines(F.col("_pairs")) - n_lines(left)).cast("long").alias("n_dropped"),
+        F.when(F.col("_bad").isNull(), F.col(text)).otherwise(left).alias("text"),
+        F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.when(F.col("_bad").isNull(), 0).otherwise(F.size("_bad")).cast("long").alias("n_dropped"),
     )
-    return keyed.select(*[pages[c] for c in pages.columns], found.alias("line_dedup"))
+    return joined.select(*[pages[c] for c in pages.columns], found.alias("line_dedup"))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
