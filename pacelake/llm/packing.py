@@ -21,7 +21,9 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,37 +33,97 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 CAPACITY, GROUPS, SMALL, BUCKETS = 2048, 128, 128, 64
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 150_000
+#: Words and letter runs whose ids a worker remembers.
+CACHE_WORDS, CACHE_RUNS = 400_000, 600_000
+#: How the vocabulary's tokenizer splits lower-case text without white space into runs.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
+#: Printable characters below U+0250, where lower case and composition hold no surprises.
+PLAIN = re.compile("[\x21-\x7e\u00a1-\u012f\u0131-\u024f]*")
+PLAIN_TEXT = re.compile("[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u024f]*")
 
 
-def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32). `tokenizer` is the path of a tokenizer that treats words between white space apart."""
+def _byte_characters() -> list[str]:
+    """The visible character that stands for each byte in a byte-level vocabulary: itself, or the next one from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
-    def run(batches):
+
+class WordIds:
+    """Ids of whole texts as bytes, word by word, from a remembered dictionary.
+
+    The tokenizer lower-cases, splits words into runs and merges within a run only, so a word's ids don't depend on
+    its neighbours. Plain words are split here and their runs merged by the tokenizer's model; any other word goes
+    through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
-        known: dict[str, bytes] = {"": b""}
+        self.whole = Tokenizer.from_file(tokenizer)
+        self.whole.encode_special_tokens = True
+        self.merge, self.runs = self.whole.model.tokenize, regex.compile(RUNS).findall
+        self.shown = _byte_characters()
+        self.words: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+
+    def _run(self, run: str) -> bytes:
+        ids = self.known.get(run)
+        if ids is None:
+            text = run if run.isascii() else "".join([self.shown[b] for b in run.encode()])
+            ids = self.known[run] = array("I", [t.id for t in self.merge(text)]).tobytes()
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            low = word.lower()
+            if low.isascii() and low[:-1].isalpha():  # letters, with one mark at the end at most
+                ids = self._run(low) if low[-1].isalpha() else self._run(low[:-1]) + self._run(low[-1])
+            else:
+                ids = b"".join([self._run(r) for r in self.runs(low)])
+        else:
+            ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        self.words[word] = ids
+        return ids
+
+    def of(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if len(self.words) > CACHE_WORDS:
+            self.words = {"": b""}
+        if len(self.known) > CACHE_RUNS:
+            self.known = {}
+        if text.isascii() or PLAIN_TEXT.fullmatch(text):
+            text = text.lower()
+        words, get = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), self.words.get
+        out = [get(w) for w in words]
+        if None in out:
+            out = [self._word(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
+        return b"".join(out)
+
+
+@lru_cache(1)
+def _word_ids(tokenizer: str) -> WordIds:
+    """One dictionary a worker, kept from task to task."""
+    return WordIds(tokenizer)
+
+
+def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32). `tokenizer` is the path of a tokenizer that treats words between white space apart."""
+
+    def run(batches):
+        ids_of = _word_ids(tokenizer).of
         end, width = np.uint32(end_id).tobytes(), 4 * capacity
-        cut = re.compile("[ \t\n\r]").split
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                chunks = [cut(t) if t else [] for t in part.column(1).to_pylist()]
-                if len(known) > CACHE_WORDS:
-                    known = {"": b""}
-                new = list({w for c in chunks for w in c if w not in known})
-                for at in range(0, len(new), 4096):
-                    some = new[at : at + 4096]
-                    known.update(zip(some, (np.array(e.ids, np.uint32).tobytes() for e in model.encode_batch(some, add_special_tokens=False)), strict=True))
                 out = defaultdict(list)
-                for row, c in enumerate(chunks):
-                    ids = b"".join([known[w] for w in c]) + end
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    ids = ids_of(text) + end
                     for k, start in enumerate(range(0, len(ids), width)):
                         body = ids[start : start + width]
                         for name, x in zip(("row", "piece", "start", "length", "ids_crc32"), (row, k, start // 4, len(body) // 4, zlib.crc32(body)), strict=True):
