@@ -146,3 +146,17 @@ def test_filters_and_columns_reach_the_scan(spark, data):
 def test_every_query_is_registered_once_and_runs_empty_safe():
     names = list(__spark_entry__.queries())
     assert len(names) == len(set(names)) and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_entry_works_without_the_corpus_operators(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    shutil.copytree(f"{root}/pacelake", tmp_path / "pacelake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 250 and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
