@@ -30,8 +30,8 @@ R.query("PRJ02_star_computed", "select *, c_acctbal * 2 as doubled, upper(c_name
     lambda t: t.customer.withColumns({"doubled": C("c_acctbal") * 2, "big": F.upper("c_name")}))
 R.query("PRJ03_star_except", "select * exclude (c_acctbal), case when c_acctbal > 0 then c_acctbal end as c_acctbal from customer")(
     lambda t: t.customer.drop("c_acctbal").join(t.customer.select("c_custkey", F.when(C("c_acctbal") > 0, C("c_acctbal")).alias("c_acctbal")), "c_custkey"))
-R.query("PRJ04_constants", "select * from (values ('metric', 0.25, true), ('metric', 1.0, false), ('imperial', 0.25, false)) v(unit, size, canonical)")(
-    lambda t: t.spark.createDataFrame([("metric", 0.25, True), ("metric", 1.0, False), ("imperial", 0.25, False)], "unit string, size double, canonical boolean"))
+R.query("PRJ04_constants", "select o_orderkey, unit, size, canonical from orders join (values (0, 'metric', 0.25::double, true), (1, 'metric', 1.0::double, false), (2, 'imperial', 0.25::double, false)) v(k, unit, size, canonical) on o_orderkey % 3 = k")(
+    lambda t: t.orders.join(F.broadcast(t.spark.createDataFrame([(0, "metric", 0.25, True), (1, "metric", 1.0, False), (2, "imperial", 0.25, False)], "k long, unit string, size double, canonical boolean")), C("o_orderkey") % 3 == C("k")).select("o_orderkey", "unit", "size", "canonical"))
 R.query("PRJ05_distinct", "select distinct c_nationkey, c_mktsegment from customer")(lambda t: t.customer.select("c_nationkey", "c_mktsegment").distinct())
 R.query("FLT01_precedence", "select o_orderkey from orders where o_orderstatus = 'F' and (o_totalprice > 100000 or not o_orderpriority = '5-LOW')")(
     lambda t: t.orders.where((C("o_orderstatus") == "F") & ((C("o_totalprice") > 100000) | ~(C("o_orderpriority") == "5-LOW"))).select("o_orderkey"))

@@ -140,7 +140,7 @@ R.query("ST05_union_aggregate", "select kind, count(*) as n, round(avg(bal), 4)
 R.sql("SQ01_scalar_subquery", "select o_orderkey, o_totalprice, (select count(*) from {customer} c) as n_customers from {orders} o where o_totalprice > 1.5 * (select avg(o_totalprice) from {orders} o2)")
 R.query("SQ02_correlated", "select o_orderkey from orders o where o_totalprice > (select avg(i.o_totalprice) from orders i where i.o_custkey = o.o_custkey)")(
     lambda t: t.orders.withColumn("m", F.avg("o_totalprice").over(Window.partitionBy("o_custkey"))).where("o_totalprice > m").select("o_orderkey"))
-R.sql("SQ03_recursive_cte", "with recursive n(i, total) as (select cast(1 as bigint), cast(1 as bigint) union all select i + 1, total + i + 1 from n where i < 20), m as (select max(total) as top from n) select i, total, top, (select count(*) from {region} r) as regions from n cross join m")
+R.sql("SQ03_recursive_cte", "with recursive n(i) as (select cast(1 as bigint) union all select i + 1 from n where i < 7), q as (select l_linenumber, cast(sum(cast(l_quantity as decimal(18,2))) as double) as qty from {lineitem} l group by l_linenumber), m as (select max(qty) as top from q) select i, qty, top from n left join q on i = l_linenumber cross join m")
 R.query("GN01_sequence", "select l_orderkey, l_linenumber, unnest(range(1, l_linenumber + 1)) as i from lineitem where l_quantity > 48")(lambda t: t.lineitem.where("l_quantity > 48").select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1).cast("long"), C("l_linenumber").cast("long"))).alias("i")))
 
 

@@ -74,5 +74,5 @@ _count("DT07_decoupling_consistency", lambda t: breaks(signals.decoupling_of(t),
 _count("DT08_segments_reconcile", lambda t: reconciliation(segments.segments_of(t), t.vgeo), "select 1 where false")
 _count("DT08_positive_distance_pace", lambda t: breaks(segments.segments_of(t), (C("distance_m") <= 0) | C("pace").isNotNull()), f"select 1 from {segments.SEG} s where not (distance_m <= 0 or pace is not null)")
 _count("DT08_boundaries", lambda t: breaks(segments.segments_of(t), C("distance_m") <= C("length_m") + 1e-6), f"select 1 from {segments.SEG} s where distance_m > length_m + 1e-6")
-_count("DT09_resolutions", lambda t: (lambda r: r.where("segment_length_m <= 0").select("label").unionByName(r.groupBy().agg(F.count_if("is_canonical").alias("n")).where("n <> 1").select(C("n").cast("string").alias("label"))))(segments.segment_resolutions(t.spark)), "select 1 where false")
+_count("DT09_resolutions", lambda t: t.vrun.crossJoin(F.broadcast(segments.segment_resolutions(t.spark))).groupBy("run_id").agg(F.count_if("is_canonical").alias("n"), F.min("segment_length_m").alias("least")).where("n <> 1 or least <= 0"), f"select run_id from {{vrun}} v cross join {segments._RES} r group by run_id having count(*) filter (where is_canonical) <> 1 or min(segment_length_m) <= 0")
 _count("DT10_range_sanity", lambda t: breaks(t.vrec, C("running_cadence").between(0, 170) & C("heart_rate").between(0, 180)), "select 1 from {vrec} r where not (running_cadence between 0 and 170 and heart_rate between 0 and 180)")

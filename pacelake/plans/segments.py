@@ -27,7 +27,8 @@ def segment_resolutions(spark) -> DataFrame:
 
 
 _RES = "(select * from (values " + ", ".join(f"('{u}', cast({v} as decimal(4,2)), cast({m} as double), '{label}', {str(i == 0).lower()})" for i, (u, v, m, label) in enumerate(RESOLUTIONS)) + ") v(unit_system, value, segment_length_m, label, is_canonical))"
-R.query("MD11_segment_resolutions", f"select * from {_RES} r")(lambda t: segment_resolutions(t.spark))
+R.query("MD11_segment_resolutions", f"select run_id, label, is_canonical, value, greatest(cast(ceil(distance_km * 1000 / segment_length_m) as bigint), 1) as n_segments from {{vrun}} v cross join {_RES} r")(
+    lambda t: t.vrun.crossJoin(F.broadcast(segment_resolutions(t.spark))).select("run_id", "label", "is_canonical", "value", F.greatest(F.ceil(C("distance_km") * 1000 / C("segment_length_m")), F.lit(1)).cast("long").alias("n_segments")))
 
 
 def _between(name: str, at: Column) -> Column:

@@ -91,7 +91,15 @@ def existing_manifest(spark: SparkSession, table: str, keys: str = "key string",
 _SNAP = lambda t: t.orders.where("o_orderkey % 10 > 0").select(C("o_orderkey").alias("key"), F.when(C("o_orderkey") % 7 == 0, 1.0).otherwise(C("o_totalprice")).alias("size"), F.when(C("o_orderkey") % 11 == 0, None).otherwise(_day()).alias("mtime"))
 R.query("SRC05_change_plan", "select o_orderkey as key, case when o_orderkey % 10 = 0 then 'parse' when (o_orderkey % 7 = 0 and o_totalprice <> 1) or o_orderkey % 11 = 0 then 'changed' else 'skipped' end as action from orders")(
     lambda t: change_plan(t.orders.select(C("o_orderkey").alias("key"), C("o_totalprice").alias("size"), _day().alias("mtime")), _SNAP(t), ["key"]).select("key", "action"))
-R.query("SRC06_existing_manifest", "select count(*) as n from orders where false")(lambda t: existing_manifest(t.spark, "no_such_table").agg(F.count("*").alias("n")).join(t.orders.limit(1).select(F.lit(1).alias("_")), F.lit(True), "left").select("n"))
+
+
+def _manifest(t):
+    path = shared_folder(t.spark)
+    t.orders.select(C("o_orderkey").alias("key"), C("o_custkey").alias("size"), C("o_orderdate").cast("timestamp").alias("mtime"), "o_totalprice").write.parquet(path)
+    return existing_manifest(t.spark, path, "key long", path=True).unionByName(existing_manifest(t.spark, "no_such_table", "key long"))
+
+
+R.query("SRC06_existing_manifest", "select distinct o_orderkey as key, o_custkey as size, cast(o_orderdate as timestamp) as mtime from orders")(_manifest)
 
 
 def attach_metadata(sessions: DataFrame, children: DataFrame, key: str, start: str) -> DataFrame:
@@ -135,8 +143,9 @@ def declared_schema(roles: dict[str, list[str]], required: set[str]) -> T.Struct
     return T.StructType([T.StructField(n, kinds[k], n not in required) for k, names in roles.items() for n in names])
 
 
-R.query("SRC12_declared_schema", "select * from (values ('run_id', 'string', false), ('distance', 'double', true), ('run_date', 'date', false)) v(name, kind, nullable)")(
-    lambda t: t.spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in declared_schema({"string": ["run_id"], "double": ["distance"], "date": ["run_date"]}, {"run_id", "run_date"}).fields], "name string, kind string, nullable boolean"))
+_ORDER_SCHEMA = lambda: declared_schema({"string": ["run_id", "sport"], "double": ["distance"], "date": ["run_date"]}, {"run_id", "run_date"})
+R.query("SRC12_declared_schema", "select cast(o_orderkey as varchar) as run_id, cast(null as varchar) as sport, o_totalprice as distance, cast(o_orderdate as date) as run_date from orders")(
+    lambda t: align(t.orders.select(C("o_orderkey").alias("run_id"), C("o_totalprice").alias("distance"), C("o_orderdate").alias("run_date")), _ORDER_SCHEMA()))
 
 
 def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
