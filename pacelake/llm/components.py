@@ -29,30 +29,40 @@ def _contract(batches):
     yield pa.RecordBatch.from_pydict({"a": pa.array(nodes[nodes != tops]), "b": pa.array(tops[nodes != tops])})
 
 
+#: Links that one task takes; rounds over few links use few tasks.
+TASK_LINKS = 100_000
+
+
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(id, component) for every id in `links` (a, b): component is the smallest id it can reach. Ids without links aren't in it."""
     edges = tx.cut(links.select("a", "b").mapInArrow(_contract, "a long, b long").distinct())  # a > b: each node with a smaller one
-    before = None
+    tasks = tx.tasks_for(edges, TASK_LINKS)
     for _ in range(max_rounds):
-        edges = tx.cut(_small_star(_large_star(edges)))
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == before:
+        if _is_settled(edges, tasks):
             break
-        before = after
+        edges = tx.cut(_small_star(_large_star(edges, tasks), tasks))
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct().coalesce(tasks))
+
+
+def _is_settled(edges: DataFrame, tasks: int) -> bool:
+    """Whether every node points once and to a node that doesn't point."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    per_node = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).coalesce(tasks)
+    return per_node.where("out > 1 or (out = 1 and in = 1)").isEmpty()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Link every larger neighbour of a node with the node's smallest neighbour or itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")).withColumnRenamed("a", "u")
-    return both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    met = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return met.coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, with the smallest of them."""
     low = edges.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "u")
     moved = edges.join(low, F.col("a") == F.col("u")).where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return moved.unionByName(low.select(F.col("u").alias("a"), F.col("low").alias("b"))).distinct()
+    return moved.unionByName(low.select(F.col("u").alias("a"), F.col("low").alias("b"))).coalesce(tasks).distinct().coalesce(tasks)

@@ -28,6 +28,8 @@ from . import text as tx
 from .components import components
 
 TREES, DEPTH, LEAST, WIDTH = 16, 8, 3, 4
+#: Pairs that one task confirms.
+TASK_PAIRS = 5_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,10 +174,12 @@ def _confirm(percent: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of `pairs` (a, b) whose full sets are similar enough; only texts that occur in a pair are shingled again."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = tx.cut(_sets(texts.join(needed, "id", "left_semi"), size))
+    tasks = tx.tasks_for(pairs, TASK_PAIRS)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().coalesce(tasks)
+    sets = tx.cut(_sets(texts.join(needed, "id", "left_semi").coalesce(max(tasks, 4 * texts.sparkSession.sparkContext.defaultParallelism)), size))
     left, right = (sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long")
+    met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
+    return met.coalesce(tasks).mapInArrow(_confirm(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, width: int = WIDTH) -> DataFrame:
@@ -188,11 +192,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     near = tx.cut(confirm(pairs.where("round = 1"), texts, size, percent))
     label = components(near)
-    rest = pairs.where("round = 2")
     la, lb = (label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    rest = rest.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    more = confirm(tx.cut(rest), texts, size, percent)
-    label = components(tx.cut(near.unionByName(more)))
+    rest = pairs.where("round = 2").join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
+    rest = tx.cut(rest)
+    if not rest.isEmpty():  # these links join components of the first round
+        more = confirm(rest, texts, size, percent).join(rest.select("a", "b", "ca", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        above = components(tx.cut(more)).select(F.col("id").alias("below"), F.col("component").alias("above"))
+        alone = above.select(F.col("below").alias("id"), F.col("below").alias("component")).join(label, "id", "left_anti")
+        label = tx.cut(label.unionByName(alone).join(above, F.col("component") == F.col("below"), "left").select("id", F.coalesce("above", "component").alias("component")))
     names = same.join(label, same["rep"] == label["id"], "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "rep").alias("component"))
     out = signed.join(names, (F.col("set_key") == F.col("_key")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")

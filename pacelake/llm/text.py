@@ -126,3 +126,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def held_out(doc_id) -> "F.Column":
     """Documents whose crc32 of the id as text leaves 2 modulo 4 are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks for a checkpointed table at `rows` rows each: as many as the cluster runs at once at least, as the session's shuffles have at most."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-df.count() // rows)))
