@@ -2,7 +2,8 @@
 
 Every byte that lies in a string of `length` bytes which also starts in a document with a smaller id is removed.
 
-1. Documents are packed into blocks of about a megabyte, compressed, so text moves little.
+1. Documents are packed into blocks of about a megabyte, compressed, so text moves little. A whole text that a
+   smaller id has too, byte for byte, goes at once and is no longer looked at.
 2. Each window of `length` bytes has an anchor, the least hash of its 16-byte pieces; neighbouring windows share
    it in a run. Equal windows have equal anchors, so only runs whose anchor occurs in two documents matter.
    Blocks send the anchors they hold, once each, and learn which of them occur again.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ LENGTH, PIECE = 50, 16
 BLOCK_BYTES, SHARD_BYTES = 1 << 20, 2 << 20
 #: Anchors that one shard takes, by which the number of shards follows the corpus.
 SHARD_ANCHORS = 400_000
-_MASK = np.uint64((1 << 48) - 1)
+#: Bits of an anchor that are sent, besides those that name its shard.
+SENT_BITS = 40
 
 
 # ---- suffix arrays ---------------------------------------------------------------------------------
@@ -112,8 +115,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray
 # ---- anchors ---------------------------------------------------------------------------------------
 
 
-def runs(data: np.ndarray, at: np.ndarray, usable: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: anchor (48 bits), first window, number of windows, row, hash of the run's text."""
+def runs(data: np.ndarray, at: np.ndarray, usable: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: anchor (`bits` for the shard and SENT_BITS), first window, number of windows, row, hash of the run's text."""
     n = len(data)
     none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64))
     if n < length:
@@ -127,7 +130,7 @@ def runs(data: np.ndarray, at: np.ndarray, usable: np.ndarray, length: int) -> t
         width *= 2
     if span > width:
         low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    low &= _MASK
+    low &= np.uint64((1 << (bits + SENT_BITS)) - 1)
     ok = np.zeros(n + 1, np.int64)
     whole = np.flatnonzero((np.diff(at) >= length) & usable)
     np.add.at(ok, at[whole], 1)
@@ -146,8 +149,8 @@ def runs(data: np.ndarray, at: np.ndarray, usable: np.ndarray, length: int) -> t
     return low[start], start, count, row, hashes.of(start, start + count + length - 1)
 
 
-def _bucket(anchor: np.ndarray, bits: int) -> np.ndarray:
-    return (anchor >> np.uint64(48 - bits)).astype(np.int64)
+def _bucket(anchor: np.ndarray) -> np.ndarray:
+    return (anchor >> np.uint64(SENT_BITS)).astype(np.int64)
 
 
 # ---- blocks ----------------------------------------------------------------------------------------
@@ -167,10 +170,11 @@ def _pack(docs: DataFrame) -> DataFrame:
                     "block": pa.array([part << 32 | serial]), "ids": pa.array([some.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()),
                     "known": pa.array([some.is_valid().to_numpy(zero_copy_only=False).tobytes()], pa.binary()), "at": pa.array([at.astype(np.int64).tobytes()], pa.binary()),
                     "body": pa.array([zip_.compress(data.tobytes())], pa.binary()), "n_bytes": pa.array([len(data)]),
+                    "digests": pa.array([[hashlib.blake2b(data[x:y], digest_size=16).digest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]], pa.list_(pa.binary())),
                 })
                 serial += 1
 
-    return docs.mapInArrow(run, "block long, ids binary, known binary, at binary, body binary, n_bytes long")
+    return docs.mapInArrow(run, "block long, ids binary, known binary, at binary, body binary, n_bytes long, digests array<binary>")
 
 
 def _open(batch, i: int):
@@ -190,14 +194,29 @@ def _split(bucket: np.ndarray):
     return zip(bucket[cut].tolist(), cut.tolist(), np.append(cut[1:], len(bucket)).tolist(), strict=True)
 
 
-def _low48(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _low40(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def _from48(raw) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _from40(raw, shard: int = 0) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel() | np.uint64(shard << SENT_BITS)
+
+
+def _copies(blocks: DataFrame, length: int) -> DataFrame:
+    """(block, copies): rows of each block whose whole text, of `length` bytes at least, a smaller id has too."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, known, at = (np.frombuffer(batch.column(n)[i].as_buffer(), k) for n, k in (("ids", np.int64), ("known", bool), ("at", np.int64)))
+                rows = np.flatnonzero(known & (np.diff(at) >= length))
+                yield pa.RecordBatch.from_pydict({"digest": batch.column("digests")[i].values.take(pa.array(rows)), "id": pa.array(ids[rows]), "block": pa.array([batch.column("block")[i].as_py()] * len(rows), pa.int64()), "row": pa.array(rows, pa.int32())})
+
+    texts = blocks.select("block", "ids", "known", "at", "digests").mapInArrow(run, "digest binary, id long, block long, row int")
+    least = texts.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least")
+    return texts.join(least, F.col("digest") == F.col("d")).where("id > least").groupBy("block").agg(F.collect_list("row").alias("copies"))
 
 
 def _anchors(length: int, bits: int):
@@ -207,7 +226,7 @@ def _anchors(length: int, bits: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 data, at, ids, known = _open(batch, i)
-                anchor, _, _, row, _ = runs(data, at, known, length)
+                anchor, _, _, row, _ = runs(data, at, known, length, bits)
                 order = np.lexsort((ids[row], anchor))
                 a, d = anchor[order], ids[row][order]
                 new = np.ones(len(a), bool)
@@ -215,15 +234,15 @@ def _anchors(length: int, bits: int):
                 start = np.flatnonzero(new)
                 twice = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start) if len(start) else np.zeros(0, bool)
                 a = a[new]
-                parts = list(_split(_bucket(a, bits)))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([p[0] for p in parts], pa.int64()), "block": pa.array([batch.column("block")[i].as_py()] * len(parts), pa.int64()), "anchors": pa.array([_low48(a[p[1] : p[2]]) for p in parts], pa.binary()), "twice": pa.array([np.packbits(twice[p[1] : p[2]]).tobytes() for p in parts], pa.binary())})
+                parts = list(_split(_bucket(a)))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([p[0] for p in parts], pa.int64()), "block": pa.array([batch.column("block")[i].as_py()] * len(parts), pa.int64()), "anchors": pa.array([_low40(a[p[1] : p[2]]) for p in parts], pa.binary()), "twice": pa.array([np.packbits(twice[p[1] : p[2]]).tobytes() for p in parts], pa.binary())})
 
     return run
 
 
 def _again(key, table):
     """Of each block, the anchors that occur in two documents somewhere."""
-    lists = [_from48(x) for x in table.column("anchors").to_pylist()]
+    lists = [_from40(x) for x in table.column("anchors").to_pylist()]
     twice = [np.unpackbits(np.frombuffer(t, np.uint8))[: len(a)].astype(bool) for t, a in zip(table.column("twice").to_pylist(), lists, strict=True)]
     values, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     hit = count > 1
@@ -233,8 +252,9 @@ def _again(key, table):
         keep = a[hit[inverse[lo : lo + len(a)]]]
         lo += len(a)
         if len(keep):
-            out.append((block, _low48(keep)))
-    return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "hits": pa.array([o[1] for o in out], pa.binary())})
+            out.append((block, _low40(keep)))
+    shard = table.column("shard").to_pylist()[0]
+    return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "shard": pa.array([shard] * len(out), pa.int64()), "hits": pa.array([o[1] for o in out], pa.binary())})
 
 
 def _texts(length: int, bits: int):
@@ -247,8 +267,10 @@ def _texts(length: int, bits: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 data, at, ids, known = _open(batch, i)
-                anchor, start, count, row, text = runs(data, at, known, length)
-                wanted = np.isin(anchor, np.concatenate([_from48(x) for x in batch.column("hits")[i].as_py()]))
+                anchor, start, count, row, text = runs(data, at, known, length, bits)
+                copies = np.zeros(len(ids), bool)
+                copies[batch.column("copies")[i].as_py() or []] = True
+                wanted = np.isin(anchor, np.concatenate([_from40(x["hits"], x["shard"]) for x in batch.column("hits")[i].as_py()])) & ~copies[row]
                 anchor, start, count, row, text = (x[wanted] for x in (anchor, start, count, row, text))
                 doc = ids[row]
                 order = np.lexsort((doc, text, anchor))
@@ -259,8 +281,8 @@ def _texts(length: int, bits: int):
                 only = np.maximum.reduceat(d, first) == d[first] if len(first) else np.zeros(0, bool)
                 s, c = start[order][first], count[order][first] + length - 1
                 body, a = data.tobytes(), a[first]
-                parts = list(_split(_bucket(a, bits)))
-                cells = [(_low48(a[x:y]), t[first][x:y].tobytes(), d[first][x:y].tobytes(), only[x:y].tobytes(), c[x:y].astype(np.int32).tobytes(), zip_.compress(b"".join([body[p : p + q] for p, q in zip(s[x:y].tolist(), c[x:y].tolist(), strict=True)]))) for _, x, y in parts]
+                parts = list(_split(_bucket(a)))
+                cells = [(_low40(a[x:y]), t[first][x:y].tobytes(), d[first][x:y].tobytes(), only[x:y].tobytes(), c[x:y].astype(np.int32).tobytes(), zip_.compress(b"".join([body[p : p + q] for p, q in zip(s[x:y].tolist(), c[x:y].tolist(), strict=True)]))) for _, x, y in parts]
                 names = ("anchors", "hashes", "docs", "only", "sizes", "body")
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([p[0] for p in parts], pa.int64()), "block": pa.array([batch.column("block")[i].as_py()] * len(parts), pa.int64()), **{n: pa.array([x[k] for x in cells], pa.binary()) for k, n in enumerate(names)}})
 
@@ -317,7 +339,7 @@ def _search(length: int):
         blocks, unzip = table.column("block").to_pylist(), zstandard.ZstdDecompressor()
         kinds = {"hashes": np.uint64, "docs": np.int64, "only": bool, "sizes": np.int32}
         cells = {n: [np.frombuffer(x, k) for x in table.column(n).to_pylist()] for n, k in kinds.items()}
-        anchors = np.concatenate([_from48(x) for x in table.column("anchors").to_pylist()])
+        anchors = np.concatenate([_from40(x) for x in table.column("anchors").to_pylist()])
         body = b"".join(unzip.decompress(x, max_output_size=int(s.sum())) for x, s in zip(table.column("body").to_pylist(), cells["sizes"], strict=True))
         hashes, docs, only, sizes = (np.concatenate(cells[n]) for n in kinds)
         of = np.repeat(np.arange(len(blocks)), [len(x) for x in cells["docs"]])
@@ -358,7 +380,7 @@ def _search(length: int):
     return run
 
 
-def _remove(length: int):
+def _remove(length: int, bits: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -366,7 +388,7 @@ def _remove(length: int):
                 cover = np.zeros(len(data) + 1, np.int64)
                 replies = batch.column("replies")[i].as_py()
                 if replies:
-                    _, start, _, row, text = runs(data, at, known, length)
+                    _, start, _, row, text = runs(data, at, known, length, bits)
                     columns = [np.frombuffer(r, np.int64).reshape(4, -1) for r in replies]
                     key, a, b, g = np.concatenate(columns, 1)
                     key = key.view(np.uint64)
@@ -379,6 +401,9 @@ def _remove(length: int):
                     each, cell = each[use], cell[use]
                     np.add.at(cover, start[each] + a[cell], 1)
                     np.add.at(cover, start[each] + b[cell] + length - 1, -1)
+                copies = np.array(batch.column("copies")[i].as_py() or [], np.int64)
+                np.add.at(cover, at[copies], 1)
+                np.add.at(cover, at[copies + 1], -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 edge = np.zeros(len(data) + 1, bool)
                 edge[at] = True
@@ -401,18 +426,34 @@ def _digest(batches):
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row; `kept` holds the remaining bytes, or with `digest` kept_sha256 their hash."""
-    blocks = tx.cut(_pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))))
+    blocks = _stored(_pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))))
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(4, math.ceil(math.log2(size / (length - PIECE) * 2 / SHARD_ANCHORS + 1)))
-    sent = blocks.select("block", "ids", "known", "at", "body", "n_bytes").mapInArrow(_anchors(length, bits), "shard long, block long, anchors binary, twice binary")
-    again = sent.groupBy("shard").applyInArrow(_again, "block long, hits binary").groupBy("block").agg(F.collect_list("hits").alias("hits"))
-    texts = blocks.join(again, "block").select("block", "ids", "known", "at", "body", "n_bytes", "hits").mapInArrow(_texts(length, bits), "shard long, block long, anchors binary, hashes binary, docs binary, only binary, sizes binary, body binary")
+    body = ("block", "ids", "known", "at", "body", "n_bytes")
+    copies = tx.cut(_copies(blocks, length))
+    sent = blocks.select(*body).mapInArrow(_anchors(length, bits), "shard long, block long, anchors binary, twice binary")
+    again = sent.groupBy("shard").applyInArrow(_again, "block long, shard long, hits binary").groupBy("block").agg(F.collect_list(F.struct("shard", "hits")).alias("hits"))
+    asked = again.join(copies, "block", "left")
+    texts = blocks.select(*body).join(asked, "block").select(*body, "hits", "copies").mapInArrow(_texts(length, bits), "shard long, block long, anchors binary, hashes binary, docs binary, only binary, sizes binary, body binary")
     reply = texts.groupBy("shard").applyInArrow(_search(length), "block long, reply binary").groupBy("block").agg(F.collect_list("reply").alias("replies"))
-    joined = blocks.join(tx.cut(reply), "block", "left").select("block", "ids", "known", "at", "body", "n_bytes", "replies")
+    answers = tx.cut(reply.join(copies, "block", "full"))
+    joined = blocks.select(*body).join(answers, "block", "left").select(*body, "replies", "copies")
+    step = _remove(length, bits)
     if digest:
-        step = _remove(length)
         return joined.mapInArrow(lambda batches: _digest(step(batches)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return joined.mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def _stored(blocks: DataFrame) -> DataFrame:
+    """The blocks as a table of the session's warehouse, bucketed by block: joins on the block then move the other side only.
+
+    Its name is new for each call; it lasts as long as the application's catalog does and may be dropped once the result is used.
+    """
+    spark = blocks.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"pacelake_blocks_{uuid.uuid4().hex}"
+    blocks.repartition(parts, "block").write.format("parquet").option("compression", "none").bucketBy(parts, "block").saveAsTable(name)
+    return spark.table(name)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
