@@ -176,7 +176,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     """Those of `pairs` (a, b) whose full sets are similar enough; only texts that occur in a pair are shingled again."""
     tasks = tx.tasks_for(pairs, TASK_PAIRS)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().coalesce(tasks)
-    sets = tx.cut(_sets(texts.join(needed, "id", "left_semi").coalesce(max(tasks, 4 * texts.sparkSession.sparkContext.defaultParallelism)), size))
+    # Few texts are left after the join, so four of its partitions share a task.
+    wide = -(-int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    sets = tx.cut(_sets(texts.join(needed, "id", "left_semi").coalesce(max(tasks, wide)), size))
     left, right = (sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
     met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
     return met.coalesce(tasks).mapInArrow(_confirm(percent), "a long, b long")
