@@ -160,15 +160,19 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, gain: flo
     configuration would gain less than `gain` of a sequence (or `steps` rounds a size), rounded down, the rest by best fit."""
     m, need = len(sizes), np.array(demand, float)
     basis = np.diag([capacity // s for s in sizes]).astype(float)
+    inverse = np.diag(1 / np.diag(basis))
     for _ in range(steps * m):
-        inverse = np.linalg.inv(basis)
-        worth = np.ones(m) @ inverse
+        worth = inverse.sum(0)
         column = _best_pattern(sizes, worth, capacity)
         if worth @ column <= 1 + gain:
             break
         x, d = inverse @ need, inverse @ column
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
-        basis[:, int(np.argmin(ratio))] = column
+        k = int(np.argmin(ratio))
+        basis[:, k] = column
+        pivot = inverse[k] / d[k]
+        inverse -= np.outer(d, pivot)  # the inverse follows the exchanged column
+        inverse[k] = pivot
     times = np.floor(np.linalg.solve(basis, need) + 1e-9).clip(0).astype(np.int64)
     out, left = [], np.array(demand, np.int64)
     for k in range(m):
@@ -201,6 +205,7 @@ class LargePlan:
         lengths = np.arange(capacity - 1, small, -1)
         ends = np.cumsum(counts[lengths])
         n = int(ends[-1]) if len(ends) else 0
+        groups = min(groups, max(1, n // 8))  # a group of a few pieces gains nothing
         bounds = np.unique([g * n // groups for g in range(groups)])
         rounded = lengths[np.searchsorted(ends, bounds, side="right")] if n else np.zeros(0, int)
         first = np.append(True, rounded[1:] != rounded[:-1]) if n else np.zeros(0, bool)
