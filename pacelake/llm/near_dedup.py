@@ -9,8 +9,14 @@ sorted once more on their own, so no neighbour is lost there. Candidates are con
 the closest ones, then those that still lie in different components. Components come from large-star and
 small-star rounds over the confirmed links.
 
+A run, all texts of a tree that share the first `least` values, may be longer than `width` reaches. Runs that
+then still hold several components are finished exactly: the text with most links of a run meets all others (a
+text with many edited copies joins them here), and where components remain apart, the run is dealt into parts of
+bounded size, any two parts meet in a task of their own, and all pairs of different components are compared on
+the full sets. So every pair with a common prefix is tried or lies in one component already.
+
 A pair at similarity 0.8 shares the first 3 values in one tree with probability 0.51, so it misses all 16 trees
-with probability 1e-5.
+with probability 1e-5, however crowded its region is.
 
 Texts of fewer words than a shingle are one shingle; null texts and texts without words have an empty set and
 link with nothing. Rows with a null id link with nothing, get no component and stay. Repeated rows share their
@@ -30,6 +36,8 @@ from .components import components
 TREES, DEPTH, LEAST, WIDTH = 16, 8, 3, 4
 #: Pairs that one task confirms.
 TASK_PAIRS = 5_000
+#: Shingles in one part of a long run, and long runs that are few enough to be sent to all tasks.
+PART_ITEMS, FEW_RUNS = 100_000, 20_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +96,12 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, trees: int, d
 
 def _neighbours(depth: int, least: int, width: int, percent: int, border: bool):
     """Over rows (tree, label, id, n) in sorted order: pairs of a row with its next `width` ones that agree on `least` values and whose
-    sizes allow the similarity. With `border`, also the first and last rows of the partition, for the pass over borders."""
+    sizes allow the similarity; of a run that goes on behind these, a pair one step further (step `width` + 1) with its label. With
+    `border`, also the first and last rows of the partition, for the pass over borders."""
+    reach = width + 1
 
     def run(batches):
-        tail, head_left, last = None, width, None
+        tail, head_left, last = None, reach, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -111,12 +121,16 @@ def _neighbours(depth: int, least: int, width: int, percent: int, border: bool):
             if found:
                 a, b, step, t = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield _pairs(a, b, step, t, None)
+            if len(ids) > reach:
+                k = np.flatnonzero((tree[:-reach] == tree[reach:]) & (label[:-reach, :least] == label[reach:, :least]).all(1))
+                k = k[np.append(True, (tree[k[1:]] != tree[k[:-1]]) | (label[k[1:], :least] != label[k[:-1], :least]).any(1))] if len(k) else k
+                yield _pairs(ids[k], ids[k + reach], np.full(len(k), reach), tree[k], table.take(k))
             if border:
                 if head_left:
                     head = table.slice(old, head_left)
                     head_left -= head.num_rows
                     yield _pairs(head.column("id").to_numpy(), None, None, head.column("tree").to_numpy(), head)
-            tail = table.slice(max(0, table.num_rows - width))
+            tail = table.slice(max(0, table.num_rows - reach))
             last = tail
         if border and last is not None:
             yield _pairs(last.column("id").to_numpy(), None, None, last.column("tree").to_numpy(), last)
@@ -135,16 +149,24 @@ def _pairs(a, b, step, tree, rows):
 _PAIRS = "a long, b long, step int, tree int, label binary, n long"
 
 
-def candidates(sets: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, width: int = WIDTH, percent: int = 80) -> DataFrame:
-    """(a, b, round): pairs of ids a < b from (id, n, labels); round 1 holds next neighbours of the first two trees, round 2 the others."""
-    rows = sets.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "labels").select("tree", F.expr(f"substring(labels, tree * {2 * depth} + 1, {2 * depth})").alias("label"), "id", "n")
+def _in_trees(sets: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(tree, label, id, n): each text once a tree."""
+    each = sets.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "labels")
+    return each.select("tree", F.expr(f"substring(labels, tree * {2 * depth} + 1, {2 * depth})").alias("label"), "id", "n")
+
+
+def candidates(sets: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, width: int = WIDTH, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(a, b, round): pairs of ids a < b from (id, n, labels); round 1 holds next neighbours of the first two trees, round 2 the others.
+    And (tree, prefix): the runs of more than `width` + 1 texts, of which not all pairs are among these."""
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")
+    ordered = _in_trees(sets, trees, depth).repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")
     found = tx.cut(ordered.mapInArrow(_neighbours(depth, least, width, percent, True), _PAIRS))
     edges = found.where(F.col("b").isNull()).select("tree", "label", F.col("a").alias("id"), "n").distinct()
-    edges = edges.coalesce(1).sortWithinPartitions("tree", "label", "id").mapInArrow(_neighbours(depth, least, width, percent, False), _PAIRS)
+    edges = tx.cut(edges.coalesce(1).sortWithinPartitions("tree", "label", "id").mapInArrow(_neighbours(depth, least, width, percent, False), _PAIRS))
     both = found.where(F.col("b").isNotNull()).unionByName(edges)
-    return both.groupBy("a", "b").agg(F.min(F.when((F.col("step") == 1) & (F.col("tree") < 2), 1).otherwise(2)).alias("round"))
+    long_runs = both.where(F.col("step") > width).select("tree", F.expr(f"substring(label, 1, {2 * least})").alias("prefix")).distinct()
+    near = both.where(F.col("step") <= width).groupBy("a", "b").agg(F.min(F.when((F.col("step") == 1) & (F.col("tree") < 2), 1).otherwise(2)).alias("round"))
+    return near, long_runs
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -184,13 +206,102 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return met.coalesce(tasks).mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
+    """`label` (id, component) after links (a, b) between components; an id without a row is its own component."""
+    above = components(tx.cut(links)).select(F.col("id").alias("below"), F.col("component").alias("above"))
+    alone = above.select(F.col("below").alias("id"), F.col("below").alias("component")).join(label, "id", "left_anti")
+    return tx.cut(label.unionByName(alone).join(above, F.col("component") == F.col("below"), "left").select("id", F.coalesce("above", "component").alias("component")))
+
+
+def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(tree, prefix, id, n, c, total) of the texts in runs that hold several components."""
+    named = members.join(label.select("id", "component"), "id", "left").select("tree", "prefix", "id", "n", F.coalesce("component", "id").alias("c"))
+    runs = named.groupBy("tree", "prefix").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("total")).where("low < high").drop("low", "high")
+    return tx.cut(named.join(runs, ["tree", "prefix"]))
+
+
+def _hub_pairs(open_: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): of each run the text with most links, with all texts of other components."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    hubs = open_.join(degree, "id", "left").groupBy("tree", "prefix").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("c").alias("ch"), F.col("n").alias("nh")), F.struct(F.coalesce("links", F.lit(0)), -F.col("id"))).alias("h"))
+    met = open_.join(hubs.select("tree", "prefix", "h.*"), ["tree", "prefix"]).where("c != ch")
+    low = F.col("id") < F.col("hub")
+    return met.select("n", "nh", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.when(low, F.col("c")).otherwise(F.col("ch")).alias("ca"), F.when(low, F.col("ch")).otherwise(F.col("c")).alias("cb"))
+
+
+def _meet(percent: int):
+    """Links between components of one part of a run, or of two: (a, b) as components, by exact intersections of all pairs."""
+
+    def run(key, table):
+        comp, rank = table.column("c").to_numpy(), table.column("place").to_numpy()
+        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        n = np.array([len(x) for x in items])
+        first, second = rank == key[2].as_py(), rank == key[3].as_py()
+        rows = np.repeat(np.arange(len(n)), n)
+        _, column, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        shared = count > 1
+        code = (np.cumsum(shared) - 1)[column]
+        use = shared[column]
+        rows, code = rows[use], code[use]
+        order = np.argsort(code, kind="stable")
+        rows, code = rows[order], code[order]
+        x, y = np.flatnonzero(first), np.flatnonzero(second)
+        at_x, at_y = (np.cumsum(m) - 1 for m in (first, second))
+        both = np.zeros((len(x), len(y)), np.float32)
+        step = max(256, (1 << 22) // max(1, len(n)))
+        for lo in range(0, int(shared.sum()), step):
+            i, j = np.searchsorted(code, [lo, lo + step])
+            r, c = rows[i:j], code[i:j] - lo
+            left, right = np.zeros((len(x), step), np.float32), np.zeros((len(y), step), np.float32)
+            left[at_x[r[first[r]]], c[first[r]]] = 1
+            right[at_y[r[second[r]]], c[second[r]]] = 1
+            both += left @ right.T
+        hit = (100 * both.astype(np.int64) >= percent * (n[x][:, None] + n[y][None, :] - both.astype(np.int64))) & (comp[x][:, None] != comp[y][None, :])
+        i, j = np.nonzero(hit)
+        links = np.unique(np.stack([np.minimum(comp[x[i]], comp[y[j]]), np.maximum(comp[x[i]], comp[y[j]])], 1), axis=0)
+        return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+
+    return run
+
+
+def _all_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components over all pairs of each run; parts hold PART_ITEMS shingles on average, or one text."""
+    parts = F.ceil(F.col("total") / PART_ITEMS).cast("int")
+    dealt = open_.select("tree", "prefix", "id", "c", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("place"))
+    sets = tx.cut(_sets(texts.join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), size))
+    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    sent = other.select("tree", "prefix", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place", "id", "c").join(sets, "id").drop("id")
+    return sent.groupBy("tree", "prefix", "i", "j").applyInArrow(_meet(percent), "a long, b long").distinct()
+
+
+def _finish_runs(firsts: DataFrame, long_runs: DataFrame, label: DataFrame, links: DataFrame, texts: DataFrame, size: int, percent: int, trees: int, depth: int, least: int) -> DataFrame:
+    """`label` after every pair of every long run has been tried or found in one component."""
+    long_runs = tx.cut(long_runs)
+    count = long_runs.count()
+    if not count:
+        return label
+    rows = _in_trees(firsts, trees, depth).select("tree", F.expr(f"substring(label, 1, {2 * least})").alias("prefix"), "id", "n")
+    members = tx.cut(rows.join(F.broadcast(long_runs) if count <= FEW_RUNS else long_runs, ["tree", "prefix"]))
+    open_ = _unsettled(members, label)
+    if open_.isEmpty():
+        return label
+    pairs = _hub_pairs(open_, links).where(100 * F.least("n", "nh") >= percent * F.greatest("n", "nh")).select("a", "b", "ca", "cb").distinct()
+    pairs = tx.cut(pairs)
+    if not pairs.isEmpty():
+        more = confirm(pairs, texts, size, percent).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        label = _relabel(label, more)
+        open_ = _unsettled(members, label)
+    return label if open_.isEmpty() else _relabel(label, _all_pairs(open_, texts, size, percent))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs`; the smallest id of a component is kept."""
     signed = tx.cut(signatures(docs, doc_id, text, size, trees, depth))
     real = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     same = tx.cut(real.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     firsts = real.join(same, (real["set_key"] == same["set_key"]) & (real["doc_id"] == same["rep"]), "left_semi").select(F.col("doc_id").alias("id"), "n", "labels").dropDuplicates(["id"])
-    pairs = tx.cut(candidates(firsts, trees, depth, least, width, percent))
+    pairs, long_runs = candidates(firsts, trees, depth, least, width, percent)
+    pairs = tx.cut(pairs)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     near = tx.cut(confirm(pairs.where("round = 1"), texts, size, percent))
     label = components(near)
@@ -198,10 +309,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = pairs.where("round = 2").join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
     rest = tx.cut(rest)
     if not rest.isEmpty():  # these links join components of the first round
-        more = confirm(rest, texts, size, percent).join(rest.select("a", "b", "ca", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        above = components(tx.cut(more)).select(F.col("id").alias("below"), F.col("component").alias("above"))
-        alone = above.select(F.col("below").alias("id"), F.col("below").alias("component")).join(label, "id", "left_anti")
-        label = tx.cut(label.unionByName(alone).join(above, F.col("component") == F.col("below"), "left").select("id", F.coalesce("above", "component").alias("component")))
+        linked = tx.cut(confirm(rest, texts, size, percent))
+        label = _relabel(label, linked.join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        near = near.unionByName(linked)
+    label = _finish_runs(firsts, long_runs, label, near, texts, size, percent, trees, depth, least)
     names = same.join(label, same["rep"] == label["id"], "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "rep").alias("component"))
     out = signed.join(names, (F.col("set_key") == F.col("_key")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")

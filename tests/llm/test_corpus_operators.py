@@ -141,6 +141,38 @@ def test_near_dedup_against_all_pairs(spark, odd, empty):
     assert all(r.component_id is None and r.kept for r in out if r.doc_id is None) and near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_star_of_edited_copies(spark):
+    r = np.random.default_rng(77)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1201):  # each at 0.82 to the original, about 0.68 to another
+        w = list(base)
+        for k in r.choice(np.arange(2, 298, 5), 6, replace=False):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    texts = [[set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in rows][k] for k in (0, 1, 2)]
+    assert len(texts[0] & texts[1]) >= 0.8 * len(texts[0] | texts[1]) and len(texts[1] & texts[2]) < 0.8 * len(texts[1] | texts[2])
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter(x.component_id for x in got) == {0: 1201}
+
+
+def test_near_dedup_crowded_pairs_without_hub(spark):
+    r = np.random.default_rng(78)
+    base, rows = [f"w{k}" for k in range(300)], []
+    for i in range(300):  # copies of one text below 0.8 to each other, each with a partner of its own
+        w = list(base)
+        for k in r.choice(np.arange(2, 298, 5), 9, replace=False):
+            w[k] = f"x{i}_{k}"
+        p = list(w)
+        for k in r.choice(np.arange(4, 298, 5), 5, replace=False):
+            p[k] = f"y{i}_{k}"
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(p))]
+    want = plain_near(rows, 5, 80)
+    assert len(set(c for _, c in want.values())) == 300
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 200)] + [(300 + i, 301 + i) for i in range(0, 50, 2)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()))
