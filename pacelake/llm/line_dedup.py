@@ -3,8 +3,9 @@
 For each host, the pages holding a line (whatever its place, compared without ASCII white space around it) are
 divided by the host's pages; lines with `min_pages` pages or more whose part exceeds `ratio` are dropped from
 all of them. Lines travel as 128-bit hashes. Blank lines are never judged. Null text stays null and has no
-lines; pages without a host are left alone; rows are told apart by a key given in the call, and each row counts
-as a page, repeated rows too. An empty table gives an empty result.
+lines; pages without a host are left alone. Each row counts as a page, repeated rows too. Rows find their lines
+again by the key given in the call (null is a key as any other) together with host and text, so repeated keys with
+differing texts stay apart and identical rows are judged alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,16 +51,18 @@ def boilerplate_lines(keyed: DataFrame, ratio: float, min_pages: int) -> DataFra
 
 
 def dedup_lines(pages: DataFrame, key: str, host: str, text: str, ratio: float = 0.25, min_pages: int = 3) -> DataFrame:
-    """`pages` with a struct `line_dedup` of the cleaned text, n_lines and n_dropped. `key` must tell rows apart.
+    """`pages` with a struct `line_dedup` of the cleaned text, n_lines and n_dropped.
 
     Hashes of all lines are worked out once and kept in the shared folder; what goes back to the pages are the
     places of the lines to drop.
     """
-    keyed = tx.cut(pages.where(F.col(host).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(host).alias("h"), _keys(F.split(F.col(text), "\n")).alias("keys")))
+    row = F.struct(F.col(key).alias("key"), F.xxhash64(F.col(host), F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(host), F.col(text)).alias("b"))
+    keyed = tx.cut(pages.where(F.col(host).isNotNull() & F.col(text).isNotNull()).select(row.alias("_key"), F.col(host).alias("h"), _keys(F.split(F.col(text), "\n")).alias("keys")))
     bad = boilerplate_lines(keyed, ratio, min_pages).select(F.col("h").alias("bad_h"), F.col("k").alias("bad_k"))
     lines = keyed.select("_key", "h", F.posexplode("keys").alias("place", "k")).where(F.col("k").isNotNull())
-    hits = lines.join(bad, (F.col("h") == F.col("bad_h")) & (F.col("k") == F.col("bad_k"))).groupBy("_key").agg(F.collect_list("place").alias("_bad"))
-    joined = pages.join(hits, F.col(key) == F.col("_key"), "left")
+    hits = lines.join(bad, (F.col("h") == F.col("bad_h")) & (F.col("k") == F.col("bad_k"))).groupBy("_key").agg(F.collect_set("place").alias("_bad"))
+    met = (F.xxhash64(F.col(host), F.col(text)) == F.col("_key.a")) & (F.xxhash64(F.lit(1), F.col(host), F.col(text)) == F.col("_key.b"))
+    joined = pages.join(hits, F.col(key).eqNullSafe(F.col("_key.key")) & met & F.col(host).isNotNull() & F.col(text).isNotNull(), "left")
     all_lines = F.split(F.col(text), "\n")
     left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_bad", i)), "\n")
     n_lines = F.size(F.filter(all_lines, lambda x: F.btrim(x, F.lit(SPACES)) != ""))

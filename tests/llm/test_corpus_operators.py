@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pacelake.llm import components, language_id, line_dedup, mixing, near_dedup, packing, pii, quality_mil, quality_rules, substrings, topk
 
@@ -100,6 +101,14 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty, "doc_id", "source", "text").count() == 0
 
 
+def test_line_dedup_repeated_and_null_keys(spark):
+    texts = ["Menu\nbody one", "first\nMenu", "Menu\nbody one", "clean\nalso clean"]
+    rows = [(7, "h", t) for t in texts] + [(None, "h", "Menu\nno key"), (None, "h", "kept\nlines"), (None, None, "Menu\nno host"), (None, "h", None)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "page_id long, host string, text string"), "page_id", "host", "text").select("page_id", "host", "text", F.col("line_dedup.text").alias("left"), "line_dedup.n_dropped").collect()
+    want = [(7, "h", texts[0], "body one", 1)] * 2 + [(7, "h", texts[1], "first", 1), (7, "h", texts[3], texts[3], 0), (None, "h", "Menu\nno key", "no key", 1), (None, "h", "kept\nlines", "kept\nlines", 0), (None, None, "Menu\nno host", "Menu\nno host", 0), (None, "h", None, None, 0)]
+    assert Counter(map(tuple, out)) == Counter(want)
+
+
 def plain_near(rows, size, percent):
     sets = {}
     for i, t in rows:
