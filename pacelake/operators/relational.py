@@ -89,6 +89,10 @@ _CELLS = "select run_id, subject, cast(floor(record_distance_m / 250) as bigint)
 R.query("JN10_band", f"select a.run_id as l, b.run_id as r, a.cell, a.pos, b.pos as r_pos from ({_CELLS}) a join ({_CELLS}) b on a.subject = b.subject and a.cell = b.cell and abs(a.pos - b.pos) <= 1 and a.run_id < b.run_id")(
     lambda t: (lambda x: band_join(x, x, ["subject", "cell"], "pos", 1).where("run_id < r_run_id").select(C("run_id").alias("l"), C("r_run_id").alias("r"), "cell", "pos", "r_pos"))(
         t.vrec.where("record_distance_m is not null and k % 10 < 3").select("run_id", "subject", F.floor(C("record_distance_m") / 250).cast("long").alias("pos"), C("k").cast("long").alias("cell"))))
+# Over all records; DuckDB would meet all pairs of a subject and cell, so tests compare it with brute force.
+R.query("JN10_band_whole")(
+    lambda t: (lambda x: band_join(x, x, ["subject", "cell"], "pos", 1).where("run_id < r_run_id").select(C("run_id").alias("l"), C("r_run_id").alias("r"), "cell", "pos", "r_pos"))(
+        t.vrec.where("record_distance_m is not null").select("run_id", "subject", F.floor(C("record_distance_m") / 250).cast("long").alias("pos"), C("k").cast("long").alias("cell"))))
 
 
 def _load(t):
@@ -140,6 +144,8 @@ R.query("JN18_nearest_value", """with r as (select run_id, cast(record_index as
     lambda t: nearest_value(t.vrec.where("k % 3 = 0").select("run_id", C("record_index").cast("double").alias("p"), C("k").cast("double").alias("v")), t.vrec.select("run_id", (C("record_index").cast("double") + 0.4).alias("p")), "run_id", "p", "v", 1.5))
 R.query("JN19_using", "select l_orderkey as k, l_linenumber, o_totalprice from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1")(
     lambda t: t.lineitem.where("l_linenumber = 1").select(C("l_orderkey").alias("k"), "l_linenumber").join(t.orders.select(C("o_orderkey").alias("k"), "o_totalprice"), "k"))
+R.query("JN19_using_whole", "select l_orderkey as k, l_linenumber, o_totalprice from lineitem join orders on l_orderkey = o_orderkey")(
+    lambda t: t.lineitem.select(C("l_orderkey").alias("k"), "l_linenumber").join(t.orders.select(C("o_orderkey").alias("k"), "o_totalprice"), "k"))
 R.query("JN20_chain", "select r_name, n_name, count(*) as n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey group by r_name, n_name")(
     lambda t: _OC(t).join(t.nation, C("c_nationkey") == C("n_nationkey")).join(t.region, C("n_regionkey") == C("r_regionkey"), "left").groupBy("r_name", "n_name").agg(F.count("*").alias("n")))
 R.query("JN21_fallback_key", """select c_custkey, coalesce(a.n_name, b.n_name, 'unknown') as name from (select c_custkey, case when c_custkey % 3 = 0 then c_nationkey end as code, case when c_custkey % 3 = 1 then ' algeria ' end as label from customer) c

@@ -160,3 +160,25 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 250 and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+def test_whole_table_queries(spark, data):
+    t, q = binding.Tables(spark, data), __spark_entry__.queries()
+    run = lambda name: q[f"{name}_whole"](spark, data)
+    rows = t.vrec.where("record_distance_m is not null").select("run_id", "subject", "k", "record_distance_m").collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.subject, int(r.k)), []).append((r.run_id, int(r.record_distance_m // 250)))
+    want = sorted((a, b, cell, x, y) for (_, cell), g in groups.items() for a, x in g for b, y in g if a < b and abs(x - y) <= 1)
+    got = sorted(map(tuple, run("JN10_band").collect()))
+    assert got == want and any(r[2] % 10 >= 3 for r in got)
+    lines = t.lineitem.select("l_orderkey", "l_linenumber").collect()
+    assert sorted(map(tuple, run("GN01_sequence").collect())) == sorted((r[0], r[1], i) for r in lines for i in range(1, r[1] + 1))
+    price = dict(map(tuple, t.orders.select("o_orderkey", "o_totalprice").collect()))
+    assert sorted(map(tuple, run("JN19_using").collect())) == sorted((k, n, price[k]) for k, n in lines if k in price)
+    assert sorted(map(tuple, run("GN03_posexplode").collect())) == sorted((v, i, float(x)) for v, e in t.embeddings.select("vec_id", "embedding").collect() for i, x in enumerate(e or []))
+    last = lambda name: [r[1] is None for r in run(name).collect()]
+    for name, size in (("SO02_nulls_last", t.vrec.count()), ("SO07_directed", t.vrun.count())):
+        nulls = last(name)
+        assert len(nulls) == size and nulls == sorted(nulls)
+    assert any(last("SO02_nulls_last"))
