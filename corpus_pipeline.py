@@ -22,7 +22,7 @@ def _as_documents(docs: DataFrame, text: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go from every document, and documents that the rules reject go."""
-    return _as_documents(quality_rules.clean_lines(docs, carry=("lang", "source"), with_text=True).where("kept"), "clean_text")
+    return _as_documents(quality_rules.clean_lines(docs, carry=("lang", "source"), with_text=True, phrase_words=30).where("kept"), "clean_text")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

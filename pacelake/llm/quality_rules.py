@@ -6,7 +6,8 @@ A line (between newlines) fails if it has a word and meets any of these rules:
   at least 10 ASCII letters are capitals; or it has under 5 words and its last byte is a letter or digit
   of ASCII or a comma, colon or hyphen (an unfinished fragment)
 * navigation: under 8 words and it starts with a navigation phrase
-* boilerplate: it holds a boilerplate phrase (both lists ignore the case of A-Z)
+* boilerplate: it holds a boilerplate phrase (both lists ignore the case of A-Z); with `phrase_words`, only where it
+  has under so many words or its phrases hold a tenth of its word characters
 
 A document is rejected by the base rules (too few words, or mostly repeated three-word windows), or if its
 failing lines hold more than `max_lost` of all word characters. Null or empty texts have no words and fail
@@ -59,7 +60,7 @@ def _count(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return total[ends] - total[starts]
 
 
-def judge(data: np.ndarray, at: np.ndarray, min_words: int, max_lost: float) -> tuple[dict[str, np.ndarray], tuple]:
+def judge(data: np.ndarray, at: np.ndarray, min_words: int, max_lost: float, phrase_words: int | None = None) -> tuple[dict[str, np.ndarray], tuple]:
     """The figures of each text of a block, and its lines with the verdict on each."""
     n = len(at) - 1
     ws, we, wrow = tx.words(data, at)
@@ -101,9 +102,12 @@ def judge(data: np.ndarray, at: np.ndarray, min_words: int, max_lost: float) ->
     raw = data.tobytes()
     for i in np.flatnonzero(~failed & (per_line < 8) & (per_line > 0)):
         failed[i] = _NAV.match(raw, ws[lo[i]], le[i]) is not None
+    held = np.zeros(len(ls), np.int64)
     for m in _BOILER.finditer(raw):
         i = np.searchsorted(ls, m.start(), side="right") - 1
-        failed[i] |= m.end() <= le[i]
+        if m.end() <= le[i]:
+            held[i] += inside[m.end()] - inside[m.start()]
+    failed |= (held > 0) & (True if phrase_words is None else (per_line < phrase_words) | (10 * held >= chars))
     failed &= per_line > 0
 
     all_chars = np.bincount(lrow, chars, n).astype(np.int64)
@@ -118,7 +122,7 @@ def judge(data: np.ndarray, at: np.ndarray, min_words: int, max_lost: float) ->
     return out, (ls, le, lrow, failed)
 
 
-def clean_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, max_lost: float = 0.5, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+def clean_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, max_lost: float = 0.5, carry: tuple[str, ...] = (), with_text: bool = False, phrase_words: int | None = None) -> DataFrame:
     """One row for each of `docs`: the figures and verdict, `carry` columns as they are, and with `with_text` the `clean_text` left of each."""
     cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry]]
     kinds = dict(docs.dtypes)
@@ -128,7 +132,7 @@ def clean_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         for batch in batches:
             texts = batch.column(1)
             for i, j, data, at in tx.blocks(texts):
-                figures, (ls, le, lrow, failed) = judge(data, at, min_words, max_lost)
+                figures, (ls, le, lrow, failed) = judge(data, at, min_words, max_lost, phrase_words)
                 cells = {"doc_id": batch.column(0).slice(i, j - i)} | {k: pa.array(v, pa.bool_() if v.dtype == bool else pa.int64()) for k, v in figures.items()}
                 if with_text:
                     raw, left = data.tobytes(), [[] for _ in range(j - i)]

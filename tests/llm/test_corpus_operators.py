@@ -72,6 +72,15 @@ def test_quality_rules_lines(spark):
     assert row.clean_text == "\n".join([good, "", good]) and row.n_lines_failed == 5
 
 
+def test_quality_rules_long_line_with_phrase(spark):
+    import corpus_pipeline
+
+    texts = [prose(400, 31) + " See the privacy policy there. " + prose(400, 32), prose(100, 33) + "\nClick here to read all of our privacy policy and terms of use."]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert got == {0: texts[0], 1: texts[1].split("\n")[0]}
+
+
 def test_mixing_meets_targets(spark, odd, empty):
     r = np.random.default_rng(1)
     docs = spark.createDataFrame([(i, ["a", "b", "c", None][min(3, int(r.integers(0, 6)) // 2 if i % 3 else 0)], int(r.integers(1, 400))) for i in range(4000)], "doc_id long, source string, size long")
