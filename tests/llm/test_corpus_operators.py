@@ -191,6 +191,22 @@ def test_near_dedup_crowded_pairs_without_hub(spark):
     assert got == want
 
 
+def test_near_dedup_all_pairs_of_a_run(spark, monkeypatch):
+    r = np.random.default_rng(79)
+    rows = []
+    for i in range(120):
+        w = words(prose(100, 500 + i // 6))
+        for k in r.integers(0, 100, int(r.integers(0, 9))):
+            w[k] = f"z{i}_{k}"
+        rows.append((i, " ".join(w)))
+    sets = [set(zip(*(words(t.lower())[k:] for k in range(2)), strict=False)) for _, t in rows]
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    monkeypatch.setattr(near_dedup, "PART_ITEMS", 1500)
+    open_ = spark.createDataFrame([(0, b"", i, len(x), i, sum(map(len, sets))) for i, x in enumerate(sets)], "tree int, prefix binary, id long, n long, c long, total long")
+    got = near_dedup._all_pairs(open_, spark.createDataFrame(rows, "id long, text string"), 2, 80).collect()
+    assert set(map(tuple, got)) == want and want
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 200)] + [(300 + i, 301 + i) for i in range(0, 50, 2)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()))
