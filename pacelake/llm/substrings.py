@@ -2,20 +2,24 @@
 
 Every byte that lies in a string of `length` bytes which also starts in a document with a smaller id is removed.
 
-1. Documents are packed into blocks of about a megabyte, compressed, so text moves little. A whole text that a
-   smaller id has too, byte for byte, goes at once and is no longer looked at.
-2. Each window of `length` bytes has an anchor, the least hash of its 16-byte pieces; neighbouring windows share
+1. Documents are packed into blocks of about a megabyte, compressed, so text moves little.
+2. Each window of `length` bytes has an anchor, the least hash of its `PIECE`-byte pieces; neighbouring windows share
    it in a run. Equal windows have equal anchors, so only runs whose anchor occurs in two documents matter.
    Blocks send the anchors they hold, once each, and learn which of them occur again.
-3. The text of such runs goes, once a block, to the shard of its anchor. A run text alone under its anchor needs
-   no search. The others are searched with suffix arrays, one for each part of a shard of `SHARD_BYTES`
-   (Larsson-Sadakane refinement) and common prefixes after Kasai; parts are merged by binary search into one
-   sorted table of windows with the smallest id that holds each.
+3. The text of such runs goes, once a block, to the shard of its anchor. Run texts are told apart by their bytes;
+   hashes only bring equal ones together. Where an anchor has one text only, all its windows belong to the smallest id
+   with that text. The other texts are searched with suffix arrays, one for each part of a shard of `PART_BYTES`
+   (Larsson-Sadakane refinement) and common prefixes after Kasai; parts are merged by binary search into one sorted
+   table of windows, kept as positions, with the smallest id that holds each.
 4. Blocks get back, for each run text, the smallest id by window, and remove what smaller ids cover.
 
-A hot passage costs one entry a block. Matches never cross documents. Null texts are empty; rows without id
-neither lose text nor take it from others; rows with equal ids don't count against each other; texts shorter
-than `length` stay. An empty table gives an empty result; extra columns are ignored.
+An anchor that more than `hot` blocks hold would bring all its texts to one shard. Its runs are sent window by window
+instead, to the shard of the window's own hash, so they spread over all shards; a hot window costs an entry a block.
+
+Matches never cross documents. Null texts are empty; rows without id neither lose text nor take it from others; rows
+with equal ids don't count against each other; texts shorter than `length` stay. An empty table gives an empty
+result; extra columns are ignored. The blocks are kept in a table of the session's warehouse while this runs; the
+result is written to the checkpoint folder and the table dropped, also when a step fails.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-LENGTH, PIECE = 50, 16
-BLOCK_BYTES, SHARD_BYTES = 1 << 20, 2 << 20
+LENGTH, PIECE = 50, 24
+BLOCK_BYTES, PART_BYTES = 1 << 20, 2 << 20
 #: Anchors that one shard takes, by which the number of shards follows the corpus.
 SHARD_ANCHORS = 400_000
 #: Bits of an anchor that are sent, besides those that name its shard.
 SENT_BITS = 40
+#: Blocks that may hold an anchor before its runs are sent by window.
+HOT_BLOCKS = 5_000
 
 
 # ---- suffix arrays ---------------------------------------------------------------------------------
@@ -69,12 +75,12 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         if not len(at):
             break
         suffix = order[at]
-        group = rank[suffix]
         follow = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)] + 1, 0)
-        by = np.lexsort((follow, group))
-        suffix, group, follow = suffix[by], group[by], follow[by]
+        key = rank[suffix] << 32 | follow  # a part holds fewer than 2^31 bytes
+        by = np.argsort(key)
+        suffix, key = suffix[by], key[by]
         new = np.ones(len(at), bool)
-        new[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
+        new[1:] = key[1:] != key[:-1]
         order[at], head[at] = suffix, new
         rank[suffix] = np.maximum.accumulate(np.where(new, at, 0))
         h *= 2
@@ -112,6 +118,39 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray
     return np.minimum(shared, cap)[order]
 
 
+def same_bytes(words: np.ndarray, p: np.ndarray, q: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether `size` bytes from `p` and from `q` on are equal, by the 8 bytes that `words` holds of each position."""
+    same = np.ones(len(p), bool)
+    for k in range(0, int(size.max()) if len(size) else 0, 8):
+        live = np.flatnonzero(same & (size > k))
+        spare = np.uint64(8) * (8 - np.minimum(size[live] - k, 8)).astype(np.uint64)
+        same[live] = (words[p[live] + k] ^ words[q[live] + k]) >> spare == 0
+    return same
+
+
+def _find(words: np.ndarray, sorted_: np.ndarray, wanted: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search among windows in order, all given by position: place of the first one that isn't less, and whether it is equal."""
+    spare = np.uint64(8 * (-length % 8))
+
+    def column(at: np.ndarray, k: int) -> np.ndarray:
+        return words[at + k] >> spare << spare if k + 8 > length else words[at + k]
+
+    low, high, equal = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(sorted_)), np.zeros(len(wanted), bool)
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_]) // 2
+        less, same = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+        for k in range(0, length, 8):
+            live = np.flatnonzero(same)
+            if not len(live):
+                break
+            x, y = column(sorted_[middle[live]], k), column(wanted[open_[live]], k)
+            less[live], same[live] = x < y, x == y
+        low[open_] = np.where(less, middle + 1, low[open_])
+        high[open_] = np.where(less, high[open_], middle)
+        equal[open_[same]] = True  # once met, the search narrows down to it
+    return low, equal
+
+
 # ---- anchors ---------------------------------------------------------------------------------------
 
 
@@ -122,8 +161,7 @@ def runs(data: np.ndarray, at: np.ndarray, usable: np.ndarray, length: int, bits
     if n < length:
         return none
     hashes = tx.Hashes(data)
-    p = np.arange(n - PIECE + 1)
-    low = hashes.of(p, p + PIECE)
+    low = hashes.rolling(PIECE)
     span, width = length - PIECE + 1, 1
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
@@ -131,7 +169,7 @@ def runs(data: np.ndarray, at: np.ndarray, usable: np.ndarray, length: int, bits
     if span > width:
         low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
     low &= np.uint64((1 << (bits + SENT_BITS)) - 1)
-    ok = np.zeros(n + 1, np.int64)
+    ok = np.zeros(n + 1, np.int32)
     whole = np.flatnonzero((np.diff(at) >= length) & usable)
     np.add.at(ok, at[whole], 1)
     np.add.at(ok, at[whole + 1] - length + 1, -1)
@@ -149,6 +187,31 @@ def runs(data: np.ndarray, at: np.ndarray, usable: np.ndarray, length: int, bits
     return low[start], start, count, row, hashes.of(start, start + count + length - 1)
 
 
+def _by_window(data: np.ndarray, found: tuple[np.ndarray, ...], hot: np.ndarray, length: int, bits: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Runs with those under `hot` anchors cut into single windows, whose anchor is their own hash; and which ones are such windows."""
+    anchor, start, count, row, text = found
+    split = np.isin(anchor, hot) if len(hot) else np.zeros(len(anchor), bool)
+    if not split.any():
+        return found, split
+    place = start[split].repeat(count[split])
+    place += np.arange(len(place)) - (np.cumsum(count[split]) - count[split]).repeat(count[split])
+    own = tx.Hashes(data).of(place, place + length)
+    windows = (tx.mix(own) & np.uint64((1 << (bits + SENT_BITS)) - 1), place, np.ones(len(place), np.int64), row[split].repeat(count[split]), own)
+    return tuple(np.concatenate([x[~split], y]) for x, y in zip(found, windows, strict=True)), np.arange(len(place) + int((~split).sum())) >= int((~split).sum())
+
+
+def _groups(words: np.ndarray, anchor: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by anchor, text and id, and where in it a new text begins: equal in anchor and hash, and compared byte by byte."""
+    order = np.lexsort((docs, text, anchor))
+    new = np.ones(len(order), bool)
+    if len(order):
+        p, q = order[1:], order[:-1]
+        new[1:] = (anchor[p] != anchor[q]) | (text[p] != text[q]) | (size[p] != size[q])
+        k = np.flatnonzero(~new[1:])
+        new[1 + k] = ~same_bytes(words, start[p[k]], start[q[k]], size[p[k]])
+    return order, new
+
+
 def _bucket(anchor: np.ndarray) -> np.ndarray:
     return (anchor >> np.uint64(SENT_BITS)).astype(np.int64)
 
@@ -170,11 +233,10 @@ def _pack(docs: DataFrame) -> DataFrame:
                     "block": pa.array([part << 32 | serial]), "ids": pa.array([some.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()),
                     "known": pa.array([some.is_valid().to_numpy(zero_copy_only=False).tobytes()], pa.binary()), "at": pa.array([at.astype(np.int64).tobytes()], pa.binary()),
                     "body": pa.array([zip_.compress(data.tobytes())], pa.binary()), "n_bytes": pa.array([len(data)]),
-                    "digests": pa.array([[hashlib.blake2b(data[x:y], digest_size=16).digest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]], pa.list_(pa.binary())),
                 })
                 serial += 1
 
-    return docs.mapInArrow(run, "block long, ids binary, known binary, at binary, body binary, n_bytes long, digests array<binary>")
+    return docs.mapInArrow(run, "block long, ids binary, known binary, at binary, body binary, n_bytes long")
 
 
 def _open(batch, i: int):
@@ -204,21 +266,6 @@ def _from40(raw, shard: int = 0) -> np.ndarray:
     return out.view("<u8").ravel() | np.uint64(shard << SENT_BITS)
 
 
-def _copies(blocks: DataFrame, length: int) -> DataFrame:
-    """(block, copies): rows of each block whose whole text, of `length` bytes at least, a smaller id has too."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, known, at = (np.frombuffer(batch.column(n)[i].as_buffer(), k) for n, k in (("ids", np.int64), ("known", bool), ("at", np.int64)))
-                rows = np.flatnonzero(known & (np.diff(at) >= length))
-                yield pa.RecordBatch.from_pydict({"digest": batch.column("digests")[i].values.take(pa.array(rows)), "id": pa.array(ids[rows]), "block": pa.array([batch.column("block")[i].as_py()] * len(rows), pa.int64()), "row": pa.array(rows, pa.int32())})
-
-    texts = blocks.select("block", "ids", "known", "at", "digests").mapInArrow(run, "digest binary, id long, block long, row int")
-    least = texts.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least")
-    return texts.join(least, F.col("digest") == F.col("d")).where("id > least").groupBy("block").agg(F.collect_list("row").alias("copies"))
-
-
 def _anchors(length: int, bits: int):
     """Of each block, its distinct anchors by shard, and which of them two of its documents hold."""
 
@@ -240,25 +287,30 @@ def _anchors(length: int, bits: int):
     return run
 
 
-def _again(key, table):
-    """Of each block, the anchors that occur in two documents somewhere."""
-    lists = [_from40(x) for x in table.column("anchors").to_pylist()]
-    twice = [np.unpackbits(np.frombuffer(t, np.uint8))[: len(a)].astype(bool) for t, a in zip(table.column("twice").to_pylist(), lists, strict=True)]
-    values, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    hit = count > 1
-    hit[inverse[np.concatenate(twice)]] = True
-    out, lo = [], 0
-    for block, a in zip(table.column("block").to_pylist(), lists, strict=True):
-        keep = a[hit[inverse[lo : lo + len(a)]]]
-        lo += len(a)
-        if len(keep):
-            out.append((block, _low40(keep)))
-    shard = table.column("shard").to_pylist()[0]
-    return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "shard": pa.array([shard] * len(out), pa.int64()), "hits": pa.array([o[1] for o in out], pa.binary())})
+def _again(hot: int):
+    """Of each block, the anchors that occur in two documents somewhere, and those that more than `hot` blocks hold."""
+
+    def run(key, table):
+        lists = [_from40(x) for x in table.column("anchors").to_pylist()]
+        twice = [np.unpackbits(np.frombuffer(t, np.uint8))[: len(a)].astype(bool) for t, a in zip(table.column("twice").to_pylist(), lists, strict=True)]
+        values, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        hit, often = count > 1, count > hot
+        hit[inverse[np.concatenate(twice)]] = True
+        out, lo = [], 0
+        for block, a in zip(table.column("block").to_pylist(), lists, strict=True):
+            kind = inverse[lo : lo + len(a)]
+            lo += len(a)
+            keep = a[hit[kind]]
+            if len(keep):
+                out.append((block, _low40(keep), _low40(a[often[kind]])))
+        shard = table.column("shard").to_pylist()[0]
+        return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "shard": pa.array([shard] * len(out), pa.int64()), "hits": pa.array([o[1] for o in out], pa.binary()), "hot": pa.array([o[2] for o in out], pa.binary())})
+
+    return run
 
 
 def _texts(length: int, bits: int):
-    """Of each block, the distinct run texts under anchors that occur again, by shard: anchor, hash, smallest id, whether it is the only one, text."""
+    """Of each block, the distinct run texts under anchors that occur again, by shard: anchor, place, smallest id, whether it is the only one, size, text."""
 
     def run(batches):
         import zstandard
@@ -267,144 +319,143 @@ def _texts(length: int, bits: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 data, at, ids, known = _open(batch, i)
-                anchor, start, count, row, text = runs(data, at, known, length, bits)
-                copies = np.zeros(len(ids), bool)
-                copies[batch.column("copies")[i].as_py() or []] = True
-                wanted = np.isin(anchor, np.concatenate([_from40(x["hits"], x["shard"]) for x in batch.column("hits")[i].as_py()])) & ~copies[row]
-                anchor, start, count, row, text = (x[wanted] for x in (anchor, start, count, row, text))
-                doc = ids[row]
-                order = np.lexsort((doc, text, anchor))
-                a, t, d = anchor[order], text[order], doc[order]
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1])
+                found, asked = runs(data, at, known, length, bits), batch.column("hits")[i].as_py()
+                wanted = np.isin(found[0], np.concatenate([_from40(x["hits"], x["shard"]) for x in asked]))
+                hot = np.concatenate([_from40(x["hot"], x["shard"]) for x in asked])
+                (anchor, start, count, row, text), single = _by_window(data, tuple(x[wanted] for x in found), hot, length, bits)
+                size, doc = count + length - 1, ids[row]
+                order, new = _groups(_words(data), anchor, text, start, size, doc)
                 first = np.flatnonzero(new)
-                only = np.maximum.reduceat(d, first) == d[first] if len(first) else np.zeros(0, bool)
-                s, c = start[order][first], count[order][first] + length - 1
-                body, a = data.tobytes(), a[first]
+                only = np.maximum.reduceat(doc[order], first) == doc[order][first] if len(first) else np.zeros(0, bool)
+                k = order[first]
+                body, a = data.tobytes(), anchor[k]
                 parts = list(_split(_bucket(a)))
-                cells = [(_low40(a[x:y]), t[first][x:y].tobytes(), d[first][x:y].tobytes(), only[x:y].tobytes(), c[x:y].astype(np.int32).tobytes(), zip_.compress(b"".join([body[p : p + q] for p, q in zip(s[x:y].tolist(), c[x:y].tolist(), strict=True)]))) for _, x, y in parts]
-                names = ("anchors", "hashes", "docs", "only", "sizes", "body")
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([p[0] for p in parts], pa.int64()), "block": pa.array([batch.column("block")[i].as_py()] * len(parts), pa.int64()), **{n: pa.array([x[k] for x in cells], pa.binary()) for k, n in enumerate(names)}})
+                columns = (a, start[k].astype(np.int32), doc[k], only, single[k], size[k].astype(np.int32))
+                cells = [[_low40(columns[0][x:y]), *[c[x:y].tobytes() for c in columns[1:]], zip_.compress(b"".join([body[p : p + q] for p, q in zip(columns[1][x:y].tolist(), columns[5][x:y].tolist(), strict=True)]))] for _, x, y in parts]
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([p[0] for p in parts], pa.int64()), "block": pa.array([batch.column("block")[i].as_py()] * len(parts), pa.int64()), **{n: pa.array([x[j] for x in cells], pa.binary()) for j, n in enumerate(("anchors", *CELLS, "body"))}})
 
     return run
 
 
-def _windows(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts laid end to end: position and text of every window."""
-    n = sizes - length + 1
-    which = np.repeat(np.arange(len(sizes)), n)
-    begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    first = np.concatenate([[0], np.cumsum(n)])[:-1]
-    return begin[which] + np.arange(len(which)) - first[which], which
-
-
-def window_owners(texts: list[bytes], docs: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For every window of every text the smallest of `docs` with that window: suffix arrays by part, merged by binary search."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    part = np.cumsum(sizes) // shard_bytes
-    keys, owner, found = np.zeros(0, f"S{length + 1}"), np.zeros(0, np.int64), []
-    for _, lo, hi in _split(part):
-        data = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
-        place, which = _windows(sizes[lo:hi], length)
-        order = suffix_array(data, length)
+#: What is sent of each run text, besides anchor and bytes.
+CELLS = {"starts": np.int32, "docs": np.int64, "only": bool, "single": bool, "sizes": np.int32}
+#: What comes back for windows `a` to `b` of the run text at `start`: the smallest id that holds them.
+REPLY = np.dtype([("start", "<i4"), ("single", "?"), ("a", "<i4"), ("b", "<i4"), ("owner", "<i8")])
+
+
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of `counts` in turn."""
+    return np.arange(int(counts.sum())) - _begins(counts).repeat(counts)
+
+
+def window_owners(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int, part_bytes: int = PART_BYTES) -> np.ndarray:
+    """For every window of texts laid end to end the smallest of `docs` (one a text) with that window: suffix arrays by part, merged by binary search."""
+    sizes, words, begin = sizes.astype(np.int64), _words(data), _begins(sizes.astype(np.int64))
+    heads, owner, found = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for _, lo, hi in _split(np.cumsum(sizes) // part_bytes):
+        base, n = int(begin[lo]), sizes[lo:hi] - length + 1
+        part = data[base : base + int(sizes[lo:hi].sum())]
+        place = (begin[lo:hi] - base).repeat(n) + _within(n)
+        doc = docs[lo:hi].repeat(n)
+        order = suffix_array(part, length)
         group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(common_prefixes(data, order, length) < length)
-        group = group[place]
-        by = np.argsort(group, kind="stable")
-        new = np.ones(len(by), bool)
-        new[1:] = group[by][1:] != group[by][:-1]
-        first = np.flatnonzero(new)
-        least = np.minimum.reduceat(docs[lo:hi][which][by], first)
-        inverse = np.empty(len(by), np.int64)
-        inverse[by] = np.cumsum(new) - 1
-        # The last byte keeps zeros at the end of a window from being taken for padding.
-        view = np.concatenate([data[place[by[first]][:, None] + np.arange(length)], np.ones((len(first), 1), np.uint8)], 1)
-        mine = np.ascontiguousarray(view).view(f"S{length + 1}").ravel()
-        at = np.searchsorted(keys, mine)
-        known = np.zeros(len(mine), bool)
-        known[at < len(keys)] = keys[at[at < len(keys)]] == mine[at < len(keys)]
+        group[order] = np.cumsum(common_prefixes(part, order, length) < length)
+        # Groups of equal windows, numbered in their order without those that hold no window.
+        used, inverse = np.zeros(len(part) + 1, np.int64), group[place]
+        used[inverse] = 1
+        inverse = (np.cumsum(used) - 1)[inverse]
+        least, mine = np.full(int(used.sum()), np.iinfo(np.int64).max), np.zeros(int(used.sum()), np.int64)
+        np.minimum.at(least, inverse, doc)
+        mine[inverse] = place + base
+        at, known = _find(words, heads, mine, length)
         owner[at[known]] = np.minimum(owner[at[known]], least[known])
-        keys, owner = np.insert(keys, at[~known], mine[~known]), np.insert(owner, at[~known], least[~known])
-        found.append((mine, inverse, sizes[lo:hi] - length + 1))
-    out = []
-    for mine, inverse, n in found:
-        out += np.split(owner[np.searchsorted(keys, mine)][inverse], np.cumsum(n)[:-1])
-    return out
+        heads, owner = np.insert(heads, at[~known], mine[~known]), np.insert(owner, at[~known], least[~known])
+        found.append((mine, inverse))
+    if len(found) == 1:
+        return owner[found[0][1]]
+    return np.concatenate([owner[_find(words, heads, mine, length)[0]][inverse] for mine, inverse in found]) if found else np.zeros(0, np.int64)
 
 
 def _search(length: int):
     def run(key, table):
         import zstandard
 
-        blocks, unzip = table.column("block").to_pylist(), zstandard.ZstdDecompressor()
-        kinds = {"hashes": np.uint64, "docs": np.int64, "only": bool, "sizes": np.int32}
-        cells = {n: [np.frombuffer(x, k) for x in table.column(n).to_pylist()] for n, k in kinds.items()}
+        unzip = zstandard.ZstdDecompressor()
+        cells = {n: [np.frombuffer(x, k) for x in table.column(n).to_pylist()] for n, k in CELLS.items()}
         anchors = np.concatenate([_from40(x) for x in table.column("anchors").to_pylist()])
-        body = b"".join(unzip.decompress(x, max_output_size=int(s.sum())) for x, s in zip(table.column("body").to_pylist(), cells["sizes"], strict=True))
-        hashes, docs, only, sizes = (np.concatenate(cells[n]) for n in kinds)
-        of = np.repeat(np.arange(len(blocks)), [len(x) for x in cells["docs"]])
-        begin = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])[:-1]
+        body = b"".join([unzip.decompress(x, max_output_size=int(s.sum())) for x, s in zip(table.column("body").to_pylist(), cells["sizes"], strict=True)])
+        starts, docs, only, single, sizes = (np.concatenate(cells[n]) for n in CELLS)
+        of = np.repeat(np.arange(len(cells["docs"])), [len(x) for x in cells["docs"]])
+        data, sizes = np.frombuffer(body, np.uint8), sizes.astype(np.int64)
+        begin = _begins(sizes)
+        hashes = np.concatenate([tx.Hashes(data[begin[x] : begin[y - 1] + sizes[y - 1]]).of(begin[x:y] - begin[x], begin[x:y] - begin[x] + sizes[x:y]) for _, x, y in _split(begin // tx.STEP_BYTES)])
         # Distinct texts, by anchor, with the smallest id of each.
-        order = np.lexsort((docs, hashes, anchors))
-        new = np.ones(len(order), bool)
-        new[1:] = (anchors[order][1:] != anchors[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+        order, new = _groups(_words(data), anchors, hashes, begin, sizes, docs)
         text = np.empty(len(order), np.int64)
         text[order] = np.cumsum(new) - 1
         heads = order[new]
-        least, n_windows = docs[heads], sizes[heads].astype(np.int64) - length + 1
-        _, which, many = np.unique(anchors[heads], return_inverse=True, return_counts=True)
-        owners: list[np.ndarray | None] = [None] * len(heads)
-        shared = np.flatnonzero(many[which] > 1)
-        for k, o in zip(shared.tolist(), window_owners([body[begin[h] : begin[h] + sizes[h]] for h in heads[shared]], least[shared], length), strict=True):
-            owners[k] = o
-        rows: dict[int, list] = {}
-        for e in range(len(docs)):
-            k = int(text[e])
-            if owners[k] is None:
-                if only[e] and least[k] >= docs[e]:
-                    continue
-                a, b, g = np.zeros(1, np.int64), n_windows[k : k + 1], least[k : k + 1]
-            else:
-                o = owners[k]
-                a = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-                b, g = np.append(a[1:], len(o)), o[a]
-                if only[e]:
-                    use = g < docs[e]
-                    if not use.any():
-                        continue
-                    a, b, g = a[use], b[use], g[use]
-            rows.setdefault(int(of[e]), []).append((np.full(len(a), hashes[e]), a, b, g))
-        merged = {i: [np.concatenate(x) for x in zip(*parts, strict=True)] for i, parts in rows.items()}
-        return pa.table({"block": pa.array([blocks[i] for i in merged], pa.int64()), "reply": pa.array([m[0].astype(np.uint64).tobytes() + b"".join(x.astype(np.int64).tobytes() for x in m[1:]) for m in merged.values()], pa.binary())})
+        least, windows = docs[heads], sizes[heads] - length + 1
+        alone = np.diff(np.append(np.flatnonzero(np.append(True, anchors[heads][1:] != anchors[heads][:-1])), len(heads)))
+        shared = np.flatnonzero(np.repeat(alone, alone) > 1)
+        h = heads[shared]
+        owners = window_owners(data[begin[h].repeat(sizes[h]) + _within(sizes[h])], sizes[h], least[shared], length, PART_BYTES)
+        # Stretches of windows with one owner: of texts alone under their anchor, one each.
+        place, of_text = _within(windows[shared]), shared.repeat(windows[shared])
+        begins = np.flatnonzero(np.append(True, (owners[1:] != owners[:-1]) | (place[1:] == 0))) if len(owners) else np.zeros(0, np.int64)
+        ends = np.append(place[begins[1:] - 1], place[-1:]) + 1
+        rest = np.setdiff1d(np.arange(len(heads)), shared, assume_unique=True)
+        t, a, b, g = (np.concatenate(x) for x in ((of_text[begins], rest), (place[begins], np.zeros(len(rest), np.int64)), (ends, windows[rest]), (owners[begins], least[rest])))
+        by = np.argsort(t, kind="stable")
+        t, a, b, g = t[by], a[by], b[by], g[by]
+        lo, n = np.searchsorted(t, text), np.bincount(t, minlength=len(heads))[text]
+        each = np.repeat(np.arange(len(text)), n)
+        k = lo.repeat(n) + _within(n)
+        use = ~only[each] | (g[k] < docs[each])
+        each, k = each[use], k[use]
+        out = np.zeros(len(each), REPLY)
+        out["start"], out["single"], out["a"], out["b"], out["owner"] = starts[each], single[each], a[k], b[k], g[k]
+        blocks = table.column("block").to_pylist()
+        sent = [(blocks[c], out[x:y].tobytes()) for c, x, y in _split(of[each])]
+        return pa.table({"block": pa.array([x[0] for x in sent], pa.int64()), "reply": pa.array([x[1] for x in sent], pa.binary())})
 
     return run
 
 
+def _covered(data: np.ndarray, at: np.ndarray, ids: np.ndarray, known: np.ndarray, replies: list[bytes], length: int, bits: int) -> np.ndarray:
+    """Which bytes of a block go."""
+    cover = np.zeros(len(data) + 1, np.int32)
+    told = np.concatenate([np.frombuffer(r, REPLY) for r in replies])
+    found = runs(data, at, known, length, bits)
+    meant = np.searchsorted(found[1], told["start"], side="right") - 1
+    wanted = np.isin(found[0], found[0][meant])
+    (anchor, start, count, row, text), _ = _by_window(data, tuple(x[wanted] for x in found), found[0][meant[told["single"]]], length, bits)
+    order, new = _groups(_words(data), anchor, text, start, count + length - 1, ids[row])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    by_start = np.argsort(start)
+    told_group = group[by_start[np.searchsorted(start[by_start], told["start"])]]
+    by = np.argsort(told_group, kind="stable")
+    told, told_group = told[by], told_group[by]
+    lo, n = np.searchsorted(told_group, group), np.bincount(told_group, minlength=int(new.sum()))[group]
+    each, k = np.repeat(np.arange(len(group)), n), lo.repeat(n) + _within(n)
+    use = told["owner"][k] < ids[row[each]]
+    each, k = each[use], k[use]
+    np.add.at(cover, start[each] + told["a"][k], 1)
+    np.add.at(cover, start[each] + told["b"][k] + length - 1, -1)
+    return np.cumsum(cover)[:-1] > 0
+
+
 def _remove(length: int, bits: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 data, at, ids, known = _open(batch, i)
-                cover = np.zeros(len(data) + 1, np.int64)
                 replies = batch.column("replies")[i].as_py()
-                if replies:
-                    _, start, _, row, text = runs(data, at, known, length, bits)
-                    columns = [np.frombuffer(r, np.int64).reshape(4, -1) for r in replies]
-                    key, a, b, g = np.concatenate(columns, 1)
-                    key = key.view(np.uint64)
-                    by = np.argsort(key, kind="stable")
-                    key, a, b, g = key[by], a[by], b[by], g[by]
-                    lo, hi = np.searchsorted(key, text), np.searchsorted(key, text, side="right")
-                    each = np.repeat(np.arange(len(text)), hi - lo)
-                    cell = np.arange(len(each)) - np.repeat(np.concatenate([[0], np.cumsum(hi - lo)])[:-1], hi - lo) + lo[each]
-                    use = g[cell] < ids[row[each]]
-                    each, cell = each[use], cell[use]
-                    np.add.at(cover, start[each] + a[cell], 1)
-                    np.add.at(cover, start[each] + b[cell] + length - 1, -1)
-                copies = np.array(batch.column("copies")[i].as_py() or [], np.int64)
-                np.add.at(cover, at[copies], 1)
-                np.add.at(cover, at[copies + 1], -1)
-                gone = np.cumsum(cover)[:-1] > 0
+                gone = _covered(data, at, ids, known, replies, length, bits) if replies else np.zeros(len(data), bool)
                 edge = np.zeros(len(data) + 1, bool)
                 edge[at] = True
                 first = gone.copy()
@@ -424,36 +475,33 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column(4)], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, digest: bool = False, hot: int = HOT_BLOCKS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row; `kept` holds the remaining bytes, or with `digest` kept_sha256 their hash."""
-    blocks = _stored(_pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))))
-    size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = max(4, math.ceil(math.log2(size / (length - PIECE) * 2 / SHARD_ANCHORS + 1)))
-    body = ("block", "ids", "known", "at", "body", "n_bytes")
-    copies = tx.cut(_copies(blocks, length))
-    sent = blocks.select(*body).mapInArrow(_anchors(length, bits), "shard long, block long, anchors binary, twice binary")
-    again = sent.groupBy("shard").applyInArrow(_again, "block long, shard long, hits binary").groupBy("block").agg(F.collect_list(F.struct("shard", "hits")).alias("hits"))
-    asked = again.join(copies, "block", "left")
-    texts = blocks.select(*body).join(asked, "block").select(*body, "hits", "copies").mapInArrow(_texts(length, bits), "shard long, block long, anchors binary, hashes binary, docs binary, only binary, sizes binary, body binary")
-    reply = texts.groupBy("shard").applyInArrow(_search(length), "block long, reply binary").groupBy("block").agg(F.collect_list("reply").alias("replies"))
-    answers = tx.cut(reply.join(copies, "block", "full"))
-    joined = blocks.select(*body).join(answers, "block", "left").select(*body, "replies", "copies")
-    step = _remove(length, bits)
-    if digest:
-        return joined.mapInArrow(lambda batches: _digest(step(batches)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return joined.mapInArrow(step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def _stored(blocks: DataFrame) -> DataFrame:
-    """The blocks as a table of the session's warehouse, bucketed by block: joins on the block then move the other side only.
-
-    Its name is new for each call; it lasts as long as the application's catalog does and may be dropped once the result is used.
-    """
-    spark = blocks.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
     name = f"pacelake_blocks_{uuid.uuid4().hex}"
+    try:
+        blocks = _stored(_pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), name)
+        size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+        bits = max(4, math.ceil(math.log2(size / (length - PIECE) * 2 / SHARD_ANCHORS + 1)))
+        sent = blocks.mapInArrow(_anchors(length, bits), "shard long, block long, anchors binary, twice binary")
+        again = sent.groupBy("shard").applyInArrow(_again(hot), "block long, shard long, hits binary, hot binary").groupBy("block").agg(F.collect_list(F.struct("shard", "hits", "hot")).alias("hits"))
+        cells = ", ".join(f"{c} binary" for c in ("anchors", *CELLS, "body"))
+        texts = blocks.join(again, "block").select(*blocks.columns, "hits").mapInArrow(_texts(length, bits), f"shard long, block long, {cells}")
+        replies = texts.groupBy("shard").applyInArrow(_search(length), "block long, reply binary").groupBy("block").agg(F.collect_list("reply").alias("replies"))
+        joined = blocks.join(tx.cut(replies), "block", "left").select(*blocks.columns, "replies")
+        step = _remove(length, bits)
+        if digest:
+            return tx.cut(joined.mapInArrow(lambda batches: _digest(step(batches)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+        return tx.cut(joined.mapInArrow(step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def _stored(blocks: DataFrame, name: str) -> DataFrame:
+    """The blocks as a table of the session's warehouse, bucketed by block: joins on the block then move the other side only."""
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks.repartition(parts, "block").write.format("parquet").option("compression", "none").bucketBy(parts, "block").saveAsTable(name)
-    return spark.table(name)
+    return blocks.sparkSession.table(name)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -62,6 +62,11 @@ class Hashes:
         raw = (self.sums[ends] - self.sums[starts]) * self.back[starts]
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def rolling(self, size: int) -> np.ndarray:
+        """Hashes of all ranges of `size` bytes, by their start."""
+        raw = (self.sums[size:] - self.sums[:-size]) * self.back[: len(self.sums) - size]
+        return mix(raw + np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column, null as empty, and where each text starts (one more at the end)."""

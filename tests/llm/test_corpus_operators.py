@@ -289,10 +289,27 @@ def test_substrings_against_all_windows(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK_BYTES", 3000)
     got = sorted(map(tuple, substrings.remove_repeats(docs, digest=True).collect()))
     assert got == plain_repeats(rows, 50)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pacelake_blocks")]
     out = substrings.remove_repeats(odd).collect()
     assert len(out) == odd.count() and all(x.n_removed == 0 for x in out if x.doc_id is None) and substrings.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 30])
+def test_substrings_hot_passage_in_every_block(spark, monkeypatch, hot):
+    passage, r = prose(40, 880), np.random.default_rng(9)
+    rows = [(int(i), prose(int(r.integers(1, 30)), 6000 + int(i)) + " " + passage[: int(r.integers(100, len(passage)))] + prose(12, 7000 + int(i) % 9)) for i in r.permutation(160)] + [(900, "z" * 400), (901, "y" + "z" * 300), (902, "ab" * 100)]
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(substrings, "PART_BYTES", 4000)
+    got = sorted(map(tuple, substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), digest=True, hot=hot).collect()))
+    assert got == plain_repeats(rows, 50)
+
+
+def test_same_bytes_tells_texts_apart():
+    data = np.frombuffer(b"abcdefghijklmnop" * 2 + b"abcdefghijklmnoX" + bytes(8), np.uint8)
+    words, at = substrings._words(data), np.array([0, 0, 0, 0])
+    assert substrings.same_bytes(words, at, np.array([16, 32, 32, 1]), np.array([16, 16, 15, 3])).tolist() == [True, False, True, False]
+
+
 def test_suffix_array_parts_merge():
     r = np.random.default_rng(2)
     texts = [bytes(r.integers(97, 99, int(n)).astype(np.uint8)) for n in r.integers(50, 90, 60)] + [b"a" * 70, b"a" * 55, b"\0" * 60]
@@ -302,8 +319,8 @@ def test_suffix_array_parts_merge():
         for k in range(len(t) - 9):
             least[t[k : k + 10]] = min(least.get(t[k : k + 10], 99), d)
     for part in (100, 1 << 20):
-        for t, o in zip(texts, substrings.window_owners(texts, docs, 10, part), strict=True):
-            assert o.tolist() == [least[t[k : k + 10]] for k in range(len(t) - 9)]
+        owners = substrings.window_owners(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), docs, 10, part)
+        assert owners.tolist() == [least[t[k : k + 10]] for t in texts for k in range(len(t) - 9)]
     data = np.frombuffer(b"".join(texts), np.uint8)
     order = substrings.suffix_array(data, 64)
     raw = data.tobytes()
