@@ -11,7 +11,7 @@ Every byte that lies in a string of `length` bytes which also starts in a docume
    with that text. The other texts are searched with suffix arrays, one for each part of a shard of `PART_BYTES`
    (Larsson-Sadakane refinement) and common prefixes after Kasai; parts are merged by binary search into one sorted
    table of windows, kept as positions, with the smallest id that holds each.
-4. Blocks get back, for each run text, the smallest id by window, and remove what smaller ids cover.
+4. Blocks get back, for each place of a run text, the stretches that smaller ids cover, and remove them.
 
 An anchor that more than `hot` blocks hold would bring all its texts to one shard. Its runs are sent window by window
 instead, to the shard of the window's own hash, so they spread over all shards; a hot window costs an entry a block.
@@ -51,11 +51,8 @@ HOT_BLOCKS = 5_000
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on as one big-endian number, zeros beyond the end."""
-    n, out = len(data), np.zeros(len(data), np.uint64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : n + k]
-    return out
+    return np.ndarray((len(data),), ">u8", padded, 0, (1,)).astype(np.uint64)
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
@@ -169,11 +166,11 @@ def runs(data: np.ndarray, at: np.ndarray, usable: np.ndarray, length: int, bits
     if span > width:
         low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
     low &= np.uint64((1 << (bits + SENT_BITS)) - 1)
-    ok = np.zeros(n + 1, np.int32)
+    ok = np.zeros(n + 1, np.int8)
     whole = np.flatnonzero((np.diff(at) >= length) & usable)
     np.add.at(ok, at[whole], 1)
     np.add.at(ok, at[whole + 1] - length + 1, -1)
-    ok = np.cumsum(ok)[: len(low)] > 0
+    ok = np.cumsum(ok, dtype=np.int8)[: len(low)] > 0
     first = ok.copy()
     edge = np.zeros(n + 1, bool)
     edge[at] = True
@@ -187,17 +184,25 @@ def runs(data: np.ndarray, at: np.ndarray, usable: np.ndarray, length: int, bits
     return low[start], start, count, row, hashes.of(start, start + count + length - 1)
 
 
-def _by_window(data: np.ndarray, found: tuple[np.ndarray, ...], hot: np.ndarray, length: int, bits: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """Runs with those under `hot` anchors cut into single windows, whose anchor is their own hash; and which ones are such windows."""
-    anchor, start, count, row, text = found
-    split = np.isin(anchor, hot) if len(hot) else np.zeros(len(anchor), bool)
+def _by_window(data: np.ndarray, found: tuple[np.ndarray, ...], hot: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, ...]:
+    """Runs with those under `hot` anchors cut into single windows, whose anchor is their own hash."""
+    split = np.isin(found[0], hot) if len(hot) else np.zeros(0, bool)
     if not split.any():
-        return found, split
-    place = start[split].repeat(count[split])
-    place += np.arange(len(place)) - (np.cumsum(count[split]) - count[split]).repeat(count[split])
+        return found
+    _, start, count, row, _ = (x[split] for x in found)
+    place = start.repeat(count) + _within(count)
     own = tx.Hashes(data).of(place, place + length)
-    windows = (tx.mix(own) & np.uint64((1 << (bits + SENT_BITS)) - 1), place, np.ones(len(place), np.int64), row[split].repeat(count[split]), own)
-    return tuple(np.concatenate([x[~split], y]) for x, y in zip(found, windows, strict=True)), np.arange(len(place) + int((~split).sum())) >= int((~split).sum())
+    windows = (tx.mix(own) & np.uint64((1 << (bits + SENT_BITS)) - 1), place, np.ones(len(place), np.int64), row.repeat(count), own)
+    return tuple(np.concatenate([x[~split], y]) for x, y in zip(found, windows, strict=True))
+
+
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of `counts` in turn."""
+    return np.arange(int(counts.sum())) - _begins(counts).repeat(counts)
 
 
 def _groups(words: np.ndarray, anchor: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,8 +314,12 @@ def _again(hot: int):
     return run
 
 
+#: What is sent of each run text, and of each place where the block holds it.
+OF_TEXT, OF_PLACE = {"sizes": np.int32, "times": np.int32}, {"starts": np.int32, "docs": np.int64}
+
+
 def _texts(length: int, bits: int):
-    """Of each block, the distinct run texts under anchors that occur again, by shard: anchor, place, smallest id, whether it is the only one, size, text."""
+    """Of each block, the distinct run texts under anchors that occur again, by shard: anchor, size, bytes, and places with their ids."""
 
     def run(batches):
         import zstandard
@@ -322,36 +331,20 @@ def _texts(length: int, bits: int):
                 found, asked = runs(data, at, known, length, bits), batch.column("hits")[i].as_py()
                 wanted = np.isin(found[0], np.concatenate([_from40(x["hits"], x["shard"]) for x in asked]))
                 hot = np.concatenate([_from40(x["hot"], x["shard"]) for x in asked])
-                (anchor, start, count, row, text), single = _by_window(data, tuple(x[wanted] for x in found), hot, length, bits)
+                anchor, start, count, row, text = _by_window(data, tuple(x[wanted] for x in found), hot, length, bits)
                 size, doc = count + length - 1, ids[row]
                 order, new = _groups(_words(data), anchor, text, start, size, doc)
-                first = np.flatnonzero(new)
-                only = np.maximum.reduceat(doc[order], first) == doc[order][first] if len(first) else np.zeros(0, bool)
-                k = order[first]
-                body, a = data.tobytes(), anchor[k]
-                parts = list(_split(_bucket(a)))
-                columns = (a, start[k].astype(np.int32), doc[k], only, single[k], size[k].astype(np.int32))
-                cells = [[_low40(columns[0][x:y]), *[c[x:y].tobytes() for c in columns[1:]], zip_.compress(b"".join([body[p : p + q] for p, q in zip(columns[1][x:y].tolist(), columns[5][x:y].tolist(), strict=True)]))] for _, x, y in parts]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([p[0] for p in parts], pa.int64()), "block": pa.array([batch.column("block")[i].as_py()] * len(parts), pa.int64()), **{n: pa.array([x[j] for x in cells], pa.binary()) for j, n in enumerate(("anchors", *CELLS, "body"))}})
+                first = np.append(np.flatnonzero(new), len(order))
+                k, body = order[first[:-1]], data.tobytes()
+                begin, sizes, starts, docs = start[k].tolist(), size[k].astype(np.int32), start[order].astype(np.int32), doc[order]
+                times, ends = np.diff(first).astype(np.int32), (start[k] + size[k]).tolist()
+                rows = [(shard, _low40(anchor[k[x:y]]), sizes[x:y].tobytes(), times[x:y].tobytes(), starts[first[x] : first[y]].tobytes(), docs[first[x] : first[y]].tobytes(), zip_.compress(b"".join([body[p:q] for p, q in zip(begin[x:y], ends[x:y], strict=True)]))) for shard, x, y in _split(_bucket(anchor[k]))]
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(columns[0], pa.int64()), "block": pa.array([batch.column("block")[i].as_py()] * len(rows), pa.int64()), **{n: pa.array(c, pa.binary()) for n, c in zip(("anchors", *OF_TEXT, *OF_PLACE, "body"), columns[1:], strict=True)}})
 
     return run
 
 
-#: What is sent of each run text, besides anchor and bytes.
-CELLS = {"starts": np.int32, "docs": np.int64, "only": bool, "single": bool, "sizes": np.int32}
-#: What comes back for windows `a` to `b` of the run text at `start`: the smallest id that holds them.
-REPLY = np.dtype([("start", "<i4"), ("single", "?"), ("a", "<i4"), ("b", "<i4"), ("owner", "<i8")])
-
-
-def _begins(sizes: np.ndarray) -> np.ndarray:
-    return np.cumsum(sizes) - sizes
-
-
-def _within(counts: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each of `counts` in turn."""
-    return np.arange(int(counts.sum())) - _begins(counts).repeat(counts)
-
-
 def window_owners(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int, part_bytes: int = PART_BYTES) -> np.ndarray:
     """For every window of texts laid end to end the smallest of `docs` (one a text) with that window: suffix arrays by part, merged by binary search."""
     sizes, words, begin = sizes.astype(np.int64), _words(data), _begins(sizes.astype(np.int64))
@@ -381,43 +374,43 @@ def window_owners(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length:
 
 
 def _search(length: int):
+    """Of each block, the stretches (begin, end) of bytes that smaller ids cover, from the run texts of one shard."""
+
     def run(key, table):
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
-        cells = {n: [np.frombuffer(x, k) for x in table.column(n).to_pylist()] for n, k in CELLS.items()}
+        cells = {n: [np.frombuffer(x, k) for x in table.column(n).to_pylist()] for n, k in (OF_TEXT | OF_PLACE).items()}
         anchors = np.concatenate([_from40(x) for x in table.column("anchors").to_pylist()])
-        body = b"".join([unzip.decompress(x, max_output_size=int(s.sum())) for x, s in zip(table.column("body").to_pylist(), cells["sizes"], strict=True)])
-        starts, docs, only, single, sizes = (np.concatenate(cells[n]) for n in CELLS)
-        of = np.repeat(np.arange(len(cells["docs"])), [len(x) for x in cells["docs"]])
-        data, sizes = np.frombuffer(body, np.uint8), sizes.astype(np.int64)
+        data = np.frombuffer(b"".join([unzip.decompress(x, max_output_size=int(s.sum())) for x, s in zip(table.column("body").to_pylist(), cells["sizes"], strict=True)]), np.uint8)
+        of = np.repeat(np.arange(table.num_rows), [len(x) for x in cells["docs"]])
+        sizes, times, starts, docs = (np.concatenate(cells[n]).astype(np.int64) for n in (*OF_TEXT, *OF_PLACE))
         begin = _begins(sizes)
         hashes = np.concatenate([tx.Hashes(data[begin[x] : begin[y - 1] + sizes[y - 1]]).of(begin[x:y] - begin[x], begin[x:y] - begin[x] + sizes[x:y]) for _, x, y in _split(begin // tx.STEP_BYTES)])
-        # Distinct texts, by anchor, with the smallest id of each.
-        order, new = _groups(_words(data), anchors, hashes, begin, sizes, docs)
+        # Texts of all blocks, by anchor, with the smallest id of each.
+        order, new = _groups(_words(data), anchors, hashes, begin, sizes, docs[_begins(times)])
         text = np.empty(len(order), np.int64)
         text[order] = np.cumsum(new) - 1
         heads = order[new]
-        least, windows = docs[heads], sizes[heads] - length + 1
-        alone = np.diff(np.append(np.flatnonzero(np.append(True, anchors[heads][1:] != anchors[heads][:-1])), len(heads)))
-        shared = np.flatnonzero(np.repeat(alone, alone) > 1)
+        least, windows = docs[_begins(times)[heads]], sizes[heads] - length + 1
+        many = np.diff(np.append(np.flatnonzero(np.append(True, anchors[heads][1:] != anchors[heads][:-1])), len(heads)))
+        shared = np.flatnonzero(np.repeat(many, many) > 1)
         h = heads[shared]
         owners = window_owners(data[begin[h].repeat(sizes[h]) + _within(sizes[h])], sizes[h], least[shared], length, PART_BYTES)
-        # Stretches of windows with one owner: of texts alone under their anchor, one each.
+        # Stretches of windows with one owner; texts alone under their anchor have one each.
         place, of_text = _within(windows[shared]), shared.repeat(windows[shared])
-        begins = np.flatnonzero(np.append(True, (owners[1:] != owners[:-1]) | (place[1:] == 0))) if len(owners) else np.zeros(0, np.int64)
-        ends = np.append(place[begins[1:] - 1], place[-1:]) + 1
-        rest = np.setdiff1d(np.arange(len(heads)), shared, assume_unique=True)
-        t, a, b, g = (np.concatenate(x) for x in ((of_text[begins], rest), (place[begins], np.zeros(len(rest), np.int64)), (ends, windows[rest]), (owners[begins], least[rest])))
+        first = np.flatnonzero(np.append(True, (owners[1:] != owners[:-1]) | (place[1:] == 0))) if len(owners) else np.zeros(0, np.int64)
+        last = np.append(place[first[1:] - 1], place[-1:]) + 1
+        alone = np.setdiff1d(np.arange(len(heads)), shared, assume_unique=True)
+        t, a, b, g = (np.concatenate(x) for x in ((of_text[first], alone), (place[first], np.zeros(len(alone), np.int64)), (last, windows[alone]), (owners[first], least[alone])))
         by = np.argsort(t, kind="stable")
         t, a, b, g = t[by], a[by], b[by], g[by]
-        lo, n = np.searchsorted(t, text), np.bincount(t, minlength=len(heads))[text]
-        each = np.repeat(np.arange(len(text)), n)
-        k = lo.repeat(n) + _within(n)
-        use = ~only[each] | (g[k] < docs[each])
+        text = text.repeat(times)  # now of each place
+        n = np.bincount(t, minlength=len(heads))[text]
+        each, k = np.repeat(np.arange(len(text)), n), np.searchsorted(t, text).repeat(n) + _within(n)
+        use = g[k] < docs[each]
         each, k = each[use], k[use]
-        out = np.zeros(len(each), REPLY)
-        out["start"], out["single"], out["a"], out["b"], out["owner"] = starts[each], single[each], a[k], b[k], g[k]
+        out = np.stack([starts[each] + a[k], starts[each] + b[k] + length - 1], 1).astype(np.int32)
         blocks = table.column("block").to_pylist()
         sent = [(blocks[c], out[x:y].tobytes()) for c, x, y in _split(of[each])]
         return pa.table({"block": pa.array([x[0] for x in sent], pa.int64()), "reply": pa.array([x[1] for x in sent], pa.binary())})
@@ -425,49 +418,30 @@ def _search(length: int):
     return run
 
 
-def _covered(data: np.ndarray, at: np.ndarray, ids: np.ndarray, known: np.ndarray, replies: list[bytes], length: int, bits: int) -> np.ndarray:
-    """Which bytes of a block go."""
-    cover = np.zeros(len(data) + 1, np.int32)
-    told = np.concatenate([np.frombuffer(r, REPLY) for r in replies])
-    found = runs(data, at, known, length, bits)
-    meant = np.searchsorted(found[1], told["start"], side="right") - 1
-    wanted = np.isin(found[0], found[0][meant])
-    (anchor, start, count, row, text), _ = _by_window(data, tuple(x[wanted] for x in found), found[0][meant[told["single"]]], length, bits)
-    order, new = _groups(_words(data), anchor, text, start, count + length - 1, ids[row])
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    by_start = np.argsort(start)
-    told_group = group[by_start[np.searchsorted(start[by_start], told["start"])]]
-    by = np.argsort(told_group, kind="stable")
-    told, told_group = told[by], told_group[by]
-    lo, n = np.searchsorted(told_group, group), np.bincount(told_group, minlength=int(new.sum()))[group]
-    each, k = np.repeat(np.arange(len(group)), n), lo.repeat(n) + _within(n)
-    use = told["owner"][k] < ids[row[each]]
-    each, k = each[use], k[use]
-    np.add.at(cover, start[each] + told["a"][k], 1)
-    np.add.at(cover, start[each] + told["b"][k] + length - 1, -1)
-    return np.cumsum(cover)[:-1] > 0
-
-
-def _remove(length: int, bits: int):
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data, at, ids, known = _open(batch, i)
-                replies = batch.column("replies")[i].as_py()
-                gone = _covered(data, at, ids, known, replies, length, bits) if replies else np.zeros(len(data), bool)
-                edge = np.zeros(len(data) + 1, bool)
-                edge[at] = True
-                first = gone.copy()
-                first[1:] &= ~gone[:-1] | edge[1 : len(data)]
-                raw = data.tobytes()
-                removed = tx.per_row(gone, at)
-                kept = [data[x:y][~gone[x:y]].tobytes() if r else raw[x:y] for x, y, r in zip(at[:-1].tolist(), at[1:].tolist(), removed.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(ids, pa.int64(), mask=~known), "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(removed), "n_spans": pa.array(tx.per_row(first, at)), "kept": pa.array(kept, pa.binary()),
-                })
-
-    return run
+def _counted(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of the flags are set in each text."""
+    return np.diff(np.searchsorted(np.flatnonzero(flags), at))
+
+
+def _remove(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            data, at, ids, known = _open(batch, i)
+            cover = np.zeros(len(data) + 1, np.int32)
+            for reply in batch.column("replies")[i].as_py() or []:
+                stretch = np.frombuffer(reply, np.int32).reshape(-1, 2)
+                np.add.at(cover, stretch[:, 0], 1)
+                np.add.at(cover, stretch[:, 1], -1)
+            gone = np.cumsum(cover, dtype=np.int32)[:-1] > 0
+            edge = np.zeros(len(data) + 1, bool)
+            edge[at] = True
+            first = gone.copy()
+            first[1:] &= ~gone[:-1] | edge[1 : len(data)]
+            raw, removed = data.tobytes(), _counted(gone, at)
+            kept = [data[x:y][~gone[x:y]].tobytes() if r else raw[x:y] for x, y, r in zip(at[:-1].tolist(), at[1:].tolist(), removed.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(ids, pa.int64(), mask=~known), "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(removed), "n_spans": pa.array(_counted(first, at)), "kept": pa.array(kept, pa.binary()),
+            })
 
 
 def _digest(batches):
@@ -485,14 +459,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         bits = max(4, math.ceil(math.log2(size / (length - PIECE) * 2 / SHARD_ANCHORS + 1)))
         sent = blocks.mapInArrow(_anchors(length, bits), "shard long, block long, anchors binary, twice binary")
         again = sent.groupBy("shard").applyInArrow(_again(hot), "block long, shard long, hits binary, hot binary").groupBy("block").agg(F.collect_list(F.struct("shard", "hits", "hot")).alias("hits"))
-        cells = ", ".join(f"{c} binary" for c in ("anchors", *CELLS, "body"))
+        cells = ", ".join(f"{c} binary" for c in ("anchors", *OF_TEXT, *OF_PLACE, "body"))
         texts = blocks.join(again, "block").select(*blocks.columns, "hits").mapInArrow(_texts(length, bits), f"shard long, block long, {cells}")
         replies = texts.groupBy("shard").applyInArrow(_search(length), "block long, reply binary").groupBy("block").agg(F.collect_list("reply").alias("replies"))
         joined = blocks.join(tx.cut(replies), "block", "left").select(*blocks.columns, "replies")
-        step = _remove(length, bits)
         if digest:
-            return tx.cut(joined.mapInArrow(lambda batches: _digest(step(batches)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
-        return tx.cut(joined.mapInArrow(step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
+            return tx.cut(joined.mapInArrow(lambda batches: _digest(_remove(batches)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+        return tx.cut(joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
     finally:
         spark.sql(f"drop table if exists {name}")
 
