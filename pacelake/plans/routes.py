@@ -8,22 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.scalars import grid_cell
 from ..operators.joins import band_join, nearest_place
 from ..registry import Registry
+from ..session import cut
 from .telemetry import downsample_even
 
 R = Registry()
 C = F.col
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut an iteration's lineage into the session's shared checkpoint folder (a private one only where none is set)."""
-    context = df.sparkSession.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pacelake-ckpt-"))
-    return df.checkpoint()
-
-
 def observations(records: DataFrame, runs: DataFrame, bucket_m: float = 250.0) -> DataFrame:
     """One row a run: cells of the first record in each distance bucket in order, distance bucket of half kilometres, start and end
     cell, and the path as text. Buckets whose first record has no cell are left out."""

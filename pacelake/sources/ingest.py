@@ -5,7 +5,6 @@ Plans stay DataFrames: nothing is collected to decide what changed.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import degrees
 from ..registry import Registry
+from ..session import shared_folder
 
 R = Registry()
 C = F.col
@@ -158,14 +158,6 @@ R.query("SRC13_as_text", "select event_id, event_type as t, cast(user_id as varc
     lambda t: as_text(t.events.select("event_id", C("event_type").alias("t"), C("user_id").alias("u"), F.struct("user_id").alias("s")), ["t", "u", "s"]))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the place that all executors share: the session's checkpoint folder, or a private one where none is set."""
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pacelake-ckpt-"))
-    return f"{context.getCheckpointDir().get()}/{uuid.uuid4().hex}"
-
-
 def write_partitioned(df: DataFrame, path: str, by: list[str], overwrite: bool = False) -> None:
     """Append, or overwrite only the partitions that `df` holds. Rows of a partition meet in a few files."""
     writer = df.repartition(*by, F.pmod(F.xxhash64(*df.columns[:1]), F.lit(4))).write.partitionBy(*by)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import Registry
-from ..sources.ingest import keyed_replace, shared_folder
+from ..session import shared_folder
+from ..sources.ingest import keyed_replace
 
 R = Registry()
 C = F.col
