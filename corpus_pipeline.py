@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of a source go from its documents; a document that was nothing else stays, empty."""
-    return _as_documents(line_dedup.dedup_lines(docs, "doc_id", "source", "text", ratio=0.05).withColumn("clean_text", F.col("line_dedup.text")), "clean_text")
+    return _as_documents(line_dedup.dedup_lines(docs, "source", "text", ratio=0.05).withColumn("clean_text", F.col("line_dedup.text")), "clean_text")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

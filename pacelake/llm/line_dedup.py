@@ -3,9 +3,10 @@
 For each host, the pages holding a line (whatever its place, compared without ASCII white space around it) are
 divided by the host's pages; lines with `min_pages` pages or more whose part exceeds `ratio` are dropped from
 all of them. Lines travel as 128-bit hashes. Blank lines are never judged. Null text stays null and has no
-lines; pages without a host are left alone. Each row counts as a page, repeated rows too. Rows find their lines
-again by the key given in the call (null is a key as any other) together with host and text, so repeated keys with
-differing texts stay apart and identical rows are judged alike. An empty table gives an empty result.
+lines; pages without a host are left alone. Each row counts as a page and is cleaned for itself, repeated rows and
+rows with equal or null ids too: the input is written once with a number for each row, which its lines carry. All
+columns pass through whatever their names; a column named `line_dedup` gives way to the result. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ def host_of(url):
 
 def lines_of_html(html):
     """Text lines of a page: block elements break lines, scripts, styles, comments and other tags go."""
-    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
-    return F.regexp_replace(F.regexp_replace(bare, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n"), r"<[^>]*>", "")
+    bare = F.regexp_replace(html, r"(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)", "")
+    return F.regexp_replace(F.regexp_replace(bare, rf"<(?i:/?(?:{BLOCKS}))(?:\s[^>]*+)?/?>", "\n"), r"<[^>]*+>", "")
 
 
 def _keys(lines):
@@ -50,33 +51,34 @@ def boilerplate_lines(keyed: DataFrame, ratio: float, min_pages: int) -> DataFra
     return counts.join(totals, F.col("h") == F.col("h2")).where(F.col("n") > ratio * F.col("total")).select("h", "k")
 
 
-def dedup_lines(pages: DataFrame, key: str, host: str, text: str, ratio: float = 0.25, min_pages: int = 3) -> DataFrame:
-    """`pages` with a struct `line_dedup` of the cleaned text, n_lines and n_dropped.
+def _without(lines, places):
+    """`lines` joined again without those at `places` (in order, from 0): the stretches between them, each copied once."""
+    one = F.array(F.struct(lines.alias("lines"), F.concat(F.array(F.lit(-1)), places, F.array(F.size(lines))).alias("ends")))  # worked out once
+    between = lambda x, j: F.slice(x["lines"], x["ends"][j] + 2, x["ends"][j + 1] - x["ends"][j] - 1)
+    return F.array_join(F.flatten(F.transform(one, lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["ends"]) - 2), lambda j: between(x, j))))), "\n")
 
-    Hashes of all lines are worked out once and kept in the shared folder; what goes back to the pages are the
-    places of the lines to drop.
-    """
-    row = F.struct(F.col(key).alias("key"), F.xxhash64(F.col(host), F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(host), F.col(text)).alias("b"))
-    keyed = tx.cut(pages.where(F.col(host).isNotNull() & F.col(text).isNotNull()).select(row.alias("_key"), F.col(host).alias("h"), _keys(F.split(F.col(text), "\n")).alias("keys")))
+
+def dedup_lines(pages: DataFrame, host: str, text: str, ratio: float = 0.25, min_pages: int = 3) -> DataFrame:
+    """`pages` with a struct `line_dedup` of the cleaned text, n_lines and n_dropped."""
+    names = [c for c in pages.columns if c != "line_dedup"]
+    rows = tx.stored(pages.select(F.monotonically_increasing_id().alias("row"), F.struct(*[pages[c] for c in names]).alias("page")))
+    h, t = F.col("page")[host], F.col("page")[text]
+    keyed = rows.where(h.isNotNull() & t.isNotNull()).select("row", h.alias("h"), _keys(F.split(t, "\n")).alias("keys"))
     bad = boilerplate_lines(keyed, ratio, min_pages).select(F.col("h").alias("bad_h"), F.col("k").alias("bad_k"))
-    lines = keyed.select("_key", "h", F.posexplode("keys").alias("place", "k")).where(F.col("k").isNotNull())
-    hits = lines.join(bad, (F.col("h") == F.col("bad_h")) & (F.col("k") == F.col("bad_k"))).groupBy("_key").agg(F.collect_set("place").alias("_bad"))
-    met = (F.xxhash64(F.col(host), F.col(text)) == F.col("_key.a")) & (F.xxhash64(F.lit(1), F.col(host), F.col(text)) == F.col("_key.b"))
-    joined = pages.join(hits, F.col(key).eqNullSafe(F.col("_key.key")) & met & F.col(host).isNotNull() & F.col(text).isNotNull(), "left")
-    all_lines = F.split(F.col(text), "\n")
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_bad", i)), "\n")
-    n_lines = F.size(F.filter(all_lines, lambda x: F.btrim(x, F.lit(SPACES)) != ""))
+    lines = keyed.select("row", "h", F.posexplode("keys").alias("place", "k")).where(F.col("k").isNotNull())
+    hits = lines.join(bad, (F.col("h") == F.col("bad_h")) & (F.col("k") == F.col("bad_k"))).groupBy(F.col("row").alias("hit_row")).agg(F.array_sort(F.collect_list("place")).alias("places"))
+    joined = rows.join(hits, F.col("row") == F.col("hit_row"), "left")
+    n_lines = F.size(F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
     found = F.struct(
-        F.when(F.col("_bad").isNull(), F.col(text)).otherwise(left).alias("text"),
-        F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(F.col("_bad").isNull(), 0).otherwise(F.size("_bad")).cast("long").alias("n_dropped"),
-    )
-    return joined.select(*[pages[c] for c in pages.columns], found.alias("line_dedup"))
+        F.when(F.col("places").isNull(), t).otherwise(_without(F.split(t, "\n"), F.col("places"))).alias("text"),
+        F.when(t.isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
+    return joined.select("page", found.alias("found")).select(*[F.col("page")[c].alias(c) for c in names], F.col("found").alias("line_dedup"))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host_of(F.col("url")).alias("host"), lines_of_html(F.col("html")).alias("text"))
-    out = dedup_lines(pages, "page_id", "host", "text")
+    out = dedup_lines(pages, "host", "text")
     return out.select("page_id", "host", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.text", 256).alias("kept_sha256"))
 
 

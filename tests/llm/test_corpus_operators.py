@@ -104,20 +104,29 @@ def test_mixing_meets_targets(spark, odd, empty):
 
 def test_line_dedup(spark, empty):
     rows = [(i, "h" if i < 8 else "one" if i == 8 else None, f"Menu\nbody {i}\n\n Menu ") for i in range(10)] + [(10, "h", None)]
-    out = {r.page_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "page_id long, host string, text string"), "page_id", "host", "text").select("page_id", "line_dedup.*").collect()}
+    out = {r.page_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "page_id long, host string, text string"), "host", "text").select("page_id", "line_dedup.*").collect()}
     assert out[0].text == "body 0\n" and (out[0].n_lines, out[0].n_dropped) == (3, 2)
     assert out[8].text == rows[8][2] and out[9].text == rows[9][2] and out[10].text is None and len(out) == 11
-    assert line_dedup.dedup_lines(empty, "doc_id", "source", "text").count() == 0
+    assert line_dedup.dedup_lines(empty, "source", "text").count() == 0
 
 
 def test_line_dedup_repeated_and_null_keys(spark):
     texts = ["Menu\nbody one", "first\nMenu", "Menu\nbody one", "clean\nalso clean"]
     rows = [(7, "h", t) for t in texts] + [(None, "h", "Menu\nno key"), (None, "h", "kept\nlines"), (None, None, "Menu\nno host"), (None, "h", None)]
-    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "page_id long, host string, text string"), "page_id", "host", "text").select("page_id", "host", "text", F.col("line_dedup.text").alias("left"), "line_dedup.n_dropped").collect()
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "page_id long, host string, text string"), "host", "text").select("page_id", "host", "text", F.col("line_dedup.text").alias("left"), "line_dedup.n_dropped").collect()
     want = [(7, "h", texts[0], "body one", 1)] * 2 + [(7, "h", texts[1], "first", 1), (7, "h", texts[3], texts[3], 0), (None, "h", "Menu\nno key", "no key", 1), (None, "h", "kept\nlines", "kept\nlines", 0), (None, None, "Menu\nno host", "Menu\nno host", 0), (None, "h", None, None, 0)]
     assert Counter(map(tuple, out)) == Counter(want)
 
 
+def test_line_dedup_clashing_names_and_many_lines(spark):
+    many = "\n".join("Menu" if k % 2 else f"line {k}" for k in range(9000))
+    rows = [(0, "h", many, 1, 2, "a")] + [(i, "h", f"Menu\nbody {i}", 1, 2, "a") for i in range(1, 5)]
+    names = "row long, host string, text string, _key int, bad_h int, line_dedup string"
+    out = {r[0]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, names).withColumnsRenamed({"_key": "places"}), "host", "text").collect()}
+    assert out[0].line_dedup.text == "\n".join(f"line {k}" for k in range(0, 9000, 2)) and (out[0].line_dedup.n_lines, out[0].line_dedup.n_dropped) == (9000, 4500)
+    assert out[3].line_dedup.text == "body 3" and (out[3].places, out[3].bad_h) == (1, 2)
+
+
 def plain_near(rows, size, percent):
     sets = {}
     for i, t in rows:
