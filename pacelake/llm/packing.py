@@ -4,15 +4,16 @@ Documents are tokenised whole; longer ones are cut into pieces of the capacity.
 the capacity), so all planning works on a histogram of lengths, whatever the number of documents:
 
 1. Pieces of full length are sequences of their own.
-2. Large pieces, sorted by length, fall into groups of equal cardinality; each length is rounded up to its
-   group's largest. Configurations of these few sizes are optimised by column generation (the linear relaxation
+2. Large pieces, sorted by length, fall into groups of equal cardinality, of 8 pieces at least; each length is rounded
+   up to its group's largest. Configurations of these few sizes are optimised by column generation (the linear relaxation
    of cutting stock); whole multiples are used, what is left is placed by best fit.
 3. Actual pieces take the slots of their group, which frees the room that rounding had added.
 4. Small pieces go, longest first, to the tightest room that still holds them; new sequences open only when
    none does.
 
-A piece finds its slot from its rank by length: counts of small cells plus a row number in the cell. Null text
-counts as empty (one end token). Rows with equal or null ids are separate documents. An empty table gives no
+A piece finds its slot from its rank by length: counts of small cells plus a row number in the cell. The number of
+cells follows the counts, so a frequent length, or room, is spread over more of them. Null text counts as empty (one
+end token). Texts that hold a token added to the vocabulary go through the tokenizer whole, as it treats these itself. Rows with equal or null ids are separate documents. An empty table gives no
 rows. Extra columns are ignored.
 """
 
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-CAPACITY, GROUPS, SMALL, BUCKETS = 2048, 128, 128, 64
+CAPACITY, GROUPS, SMALL = 2048, 128, 128
+#: Rows of one cell, on average, of those with one value.
+CELL_ROWS = 50_000
 #: Words and letter runs whose ids a worker remembers.
 CACHE_WORDS, CACHE_RUNS = 400_000, 600_000
 #: How the vocabulary's tokenizer splits lower-case text without white space into runs.
@@ -65,7 +68,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer)
-        self.whole.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added), re.I).search if added else lambda text: None
         self.merge, self.runs = self.whole.model.tokenize, regex.compile(RUNS).findall
         self.shown = _byte_characters()
         self.words: dict[str, bytes] = {"": b""}
@@ -93,6 +97,8 @@ class WordIds:
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.added(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         if len(self.words) > CACHE_WORDS:
             self.words = {"": b""}
         if len(self.known) > CACHE_RUNS:
@@ -205,7 +211,7 @@ class LargePlan:
         lengths = np.arange(capacity - 1, small, -1)
         ends = np.cumsum(counts[lengths])
         n = int(ends[-1]) if len(ends) else 0
-        groups = min(groups, max(1, n // 8))  # a group of a few pieces gains nothing
+        groups = min(groups, max(1, n // 8))  # smaller groups gain nothing
         bounds = np.unique([g * n // groups for g in range(groups)])
         rounded = lengths[np.searchsorted(ends, bounds, side="right")] if n else np.zeros(0, int)
         first = np.append(True, rounded[1:] != rounded[:-1]) if n else np.zeros(0, bool)
@@ -281,13 +287,15 @@ class SmallPlan:
         return self.origin[k], self.first[k] + (rank - self.slot[k]) // self.each[k]
 
 
-def _ranked(df: DataFrame, value: str, bucket, order: list) -> DataFrame:
-    """`df` with `_rank`, the place of each row among those of its value: cell counts before it and a row number in its cell."""
-    df = df.withColumn("_bucket", bucket)
-    cells = df.groupBy(F.col(value).alias("_v"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+def _ranked(df: DataFrame, value: str, most: int, order: list) -> DataFrame:
+    """`df` with `_rank`, the place of each row among those of its value, of which none has more than `most` rows: cell counts before
+    it and a row number in its cell."""
+    cells = 1 << max(0, int(most) // CELL_ROWS).bit_length()
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(cells)))
+    counts = df.groupBy(F.col(value).alias("_v"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_v").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("_v", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = df.join(cells, (F.col(value) == F.col("_v")) & (F.col("_bucket") == F.col("_b")))
+    counts = counts.select("_v", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = df.join(counts, (F.col(value) == F.col("_v")) & (F.col("_bucket") == F.col("_b")))
     place = F.row_number().over(Window.partitionBy("_v", "_b").orderBy(*order))
     return out.withColumn("_rank", F.col("_before") + place - 1).drop("_bucket", "_v", "_b", "_before")
 
@@ -309,8 +317,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small
         counts[length] = n
     longer = counts[::-1].cumsum()[::-1] - counts  # pieces that are longer
     large = LargePlan(counts, small, groups)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS))
-    ranked = _ranked(found, "length", bucket, ["doc_id", "piece", "ids_crc32"])
+    ranked = _ranked(found, "length", counts.max(), ["doc_id", "piece", "ids_crc32"])
     big = _mapped(ranked.where(F.col("length") > small), ["length", "_rank"], [], {"sequence_id": "long"}, lambda length, rank: [large.sequence_of(longer[length] + rank)]).drop("_rank")
     if not counts[1 : small + 1].any():
         return _with_offsets(big)
@@ -320,7 +327,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small
     plan = SmallPlan(rooms, counts, small)
     tiny = _mapped(ranked.where(F.col("length") <= small), ["length", "_rank"], [], {"_room": "long", "_nth": "long"}, plan.place_of).drop("_rank")
     fresh = tiny.where("_room < 0").withColumn("sequence_id", F.col("_nth") + F.lit(large.sequences)).drop("_room", "_nth")
-    places = _ranked(room, "room", F.pmod(F.xxhash64("sequence_id"), F.lit(BUCKETS)), ["sequence_id"]).select(F.col("room").alias("_r"), F.col("_rank").alias("_k"), "sequence_id")
+    places = _ranked(room, "room", max(rooms.values(), default=0), ["sequence_id"]).select(F.col("room").alias("_r"), F.col("_rank").alias("_k"), "sequence_id")
     filled = tiny.where("_room >= 0").join(places, (F.col("_room") == F.col("_r")) & (F.col("_nth") == F.col("_k"))).drop("_room", "_nth", "_r", "_k")
     return _with_offsets(big.unionByName(filled).unionByName(fresh))
 
