@@ -1,14 +1,16 @@
 """Mixing sources to target weights by systematic sampling.
 
 Each source gets a target in words; every document of it expects target / source size copies. Documents are
-put in a fixed order (size class, hash bucket, size, id), the expected copies are summed along that order, one
+put in a fixed order (size class, hash of id and size, size, id), the expected copies are summed along that order, one
 offset drawn per source is added, and a document is taken once for each whole number its stretch crosses.
 The order by size class makes each source's words come near the target. Running positions come from counts of
-small cells plus a row number within a cell, so no task holds a whole source.
+small cells, ranges of the hash whose number follows the number of documents, plus a row number within a cell, so no
+task holds a whole source or class of size.
 
 Null text has size 0; the null source is a source of its own, last in order. Rows with equal ids are separate
-documents. An empty table gives no rows. Where all sizes are 0, targets and copies are 0. Extra columns pass
-through in `mix` and are left out of the query.
+documents; of rows equal in source, size and id any may be taken. An empty table gives no rows. Where all sizes are 0,
+targets and copies are 0. All columns pass through whatever their names; a column named `mix` gives way to the result.
+Targets are worked out in one window over all sources, which are few by their meaning (not hosts).
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from . import text as tx
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2, 17
-#: Cells of a source: classes of size, an eighth of a doubling each, by buckets of the id's hash.
-BUCKETS = 64
+#: Rows of one cell on average. Cells are classes of size, an eighth of a doubling each, by ranges of a hash.
+CELL_ROWS = 50_000
 
 
 def size_of(text: str):
@@ -50,25 +52,26 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """`docs` with source_size, target, expected and copies added (all under a struct `mix`)."""
-    cells = ("_source", "_class", "_bucket")
-    marked = docs.select(
-        "*", F.col(source).alias("_source"), F.floor(8 * F.log2(F.col(size) + F.lit(1.0)) + 1e-9).cast("int").alias("_class"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int").bitwiseAND(BUCKETS - 1).alias("_bucket"),
-    )
-    counts = marked.groupBy(*cells).agg(F.count("*").alias("_n"), F.sum(size).alias("_size"))
-    counts = tx.cut(counts)
-    goal = targets(counts.groupBy("_source").agg(F.sum("_size").alias("source_size")).withColumnRenamed("_source", "source"), weights, share, cap)
-    along = Window.partitionBy("_source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
-    goal = goal.select(F.col("source").alias("_s"), "source_size", "target")
-    counts = counts.join(goal, counts["_source"].eqNullSafe(goal["_s"])).select(*[F.col(c).alias(c + "2") for c in cells], "_before", "source_size", "target")
-    joined = marked.join(counts, F.col("_source").eqNullSafe(F.col("_source2")) & (F.col("_class") == F.col("_class2")) & (F.col("_bucket") == F.col("_bucket2")))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_source2", "_class2", "_bucket2").orderBy(size, doc_id))
+    names = [c for c in docs.columns if c != "mix"]
+    wide = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[doc_id].alias("id"), docs[source].alias("source"), docs[size].alias("size"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", "size", "id")), 1, 8), 16, 10).cast("long")
+    step = F.lit((1 << 32) >> (wide.count() // CELL_ROWS).bit_length())
+    marked = wide.select("*", F.floor(8 * F.log2(F.col("size") + F.lit(1.0)) + 1e-9).cast("int").alias("class"), hashed.alias("hash"), F.floor(hashed / step).alias("cell"))
+    counts = tx.cut(marked.groupBy("source", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    goal = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap).select(F.col("source").alias("s"), "source_size", "target")
+    before = lambda n, *by: F.coalesce(F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = counts.groupBy("source", "class").agg(F.sum("n").alias("n")).select(F.col("source").alias("s2"), F.col("class").alias("c2"), before("n", "source", "class").alias("of_class"))
+    cells = counts.select("source", "class", "cell", before("n", "source", "class", "cell").alias("of_cell"))
+    cells = cells.join(classes, F.col("source").eqNullSafe(F.col("s2")) & (F.col("class") == F.col("c2"))).join(goal, F.col("source").eqNullSafe(F.col("s")))
+    cells = cells.select(F.col("source").alias("s3"), F.col("class").alias("c3"), F.col("cell").alias("b3"), (F.col("of_class") + F.col("of_cell")).alias("before"), "source_size", "target")
+    joined = marked.join(cells, F.col("source").eqNullSafe(F.col("s3")) & (F.col("class") == F.col("c3")) & (F.col("cell") == F.col("b3")))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("s3", "c3", "b3").orderBy("hash", "size", "id"))
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_source"), F.lit("null")))), 1, 8), 16, 10).cast("double") / math.ldexp(1, 32)
-    out = joined.withColumn("_place", place).withColumn("_rate", rate).withColumn("_offset", offset)
-    copies = F.floor(F.col("_offset") + F.col("_place") * F.col("_rate")) - F.floor(F.col("_offset") + (F.col("_place") - 1) * F.col("_rate"))
-    return out.select(*[docs[c] for c in docs.columns], F.struct("source_size", "target", F.col("_rate").alias("expected"), F.least(copies, F.lit(int(math.ceil(cap)))).cast("long").alias("copies")).alias("mix"))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("null")))), 1, 8), 16, 10).cast("double") / math.ldexp(1, 32)
+    out = joined.select("row", "source_size", "target", place.alias("place"), rate.alias("rate"), offset.alias("offset"))
+    copies = F.floor(F.col("offset") + F.col("place") * F.col("rate")) - F.floor(F.col("offset") + (F.col("place") - 1) * F.col("rate"))
+    found = F.struct("source_size", "target", F.col("rate").alias("expected"), F.least(copies, F.lit(int(math.ceil(cap)))).cast("long").alias("copies"))
+    return out.select("row", found.alias("found")).select(*[F.col("row")[c].alias(c) for c in names], F.col("found").alias("mix"))
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -78,8 +81,8 @@ def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = rf"""
 with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '{tx.WORD}')), 0) as bigint) as size from documents),
-m as (select *, cast(floor(8 * log2(size + 1.0::double) + 1e-9) as int) as c, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 2) as int) & 63 as b from d),
-p as (select *, row_number() over (partition by source order by c, b, size, doc_id) as place from m),
+m as (select *, cast(floor(8 * log2(size + 1.0::double) + 1e-9) as int) as c, cast('0x' || substr(md5(concat_ws(':', size, doc_id)), 1, 8) as bigint) as h from d),
+p as (select *, row_number() over (partition by source order by c, h, size, doc_id) as place from m),
 s as (select source, cast(sum(size) as double) as source_size from d group by source),
 w as (select *, cast([3, 1, 2][1 + (row_number() over (order by source nulls last) - 1) % 3] as double) as w from s),
 l as (select *, (1.5 * sum(source_size) over () - coalesce(sum(2 * source_size) over (order by source_size / w, source nulls last rows between unbounded preceding and 1 preceding), 0))
