@@ -5,8 +5,9 @@ of character classes, word length, repeated words), a tanh layer learns the enco
 passages, and the weighted representation is scored. Only document labels are needed; encoder, attention and
 scorer are trained together, by Adam over mini-batches of documents.
 
-The model is fitted on at most `max_rows` labelled documents, chosen by hash of the id; all passages of all
-rows are scored. A text without words (null, empty, blank) is one passage of zeros. Without labels of both
+The model is fitted on at most `max_rows` labelled documents, chosen by hash of the id, one row of an id (the one
+whose text comes first), and of each on at most `max_passages` passages, evenly spread; so what reaches the driver is
+bounded. All passages of all rows are scored. No word is looked at as such, only its form. A text without words (null, empty, blank) is one passage of zeros. Without labels of both
 kinds everything scores the share of label 1 (0.5 without labels). Labels that are null are ignored; where an
 id has several labels the greatest counts. Repeated rows score alike; extra columns are ignored.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-SPAN, MAX_ROWS, WIDTH, THRESHOLD = 50, 4000, 24, 0.7
+SPAN, MAX_ROWS, MAX_PASSAGES, WIDTH, THRESHOLD = 50, 4000, 100, 24, 0.7
 
 #: Classes of bytes. Letters small, capital, digits, space, newline, sentence marks, other marks, symbols, beyond ASCII.
 _CLASS = np.full(256, 8, np.uint8)
@@ -143,19 +144,21 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, width: int = WIDTH, epochs:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, span: int = SPAN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, max_passages: int = MAX_PASSAGES, span: int = SPAN) -> Model:
     """Fit on the documents of `docs` that `labels` marks, the `max_rows` with the smallest hash of the id at most."""
     marked = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("i")).agg(F.max(label).cast("int").alias("y"))
-    marked = marked.join(docs.select(F.col(doc_id).cast("long").alias("i")).distinct(), "i", "left_semi").orderBy(F.xxhash64(F.col("i").cast("string"))).limit(max_rows)
+    marked = marked.join(docs.select(F.col(doc_id).cast("long").alias("i")), "i", "left_semi").orderBy(F.xxhash64(F.col("i").cast("string"))).limit(max_rows)
 
     def run(batches):
         for batch in batches:
             for i, j, data, at in tx.blocks(batch.column(1)):
                 x, row = passages(data, at, span)
                 ends = np.searchsorted(row, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_pydict({"y": batch.column(0).slice(i, j - i), "x": pa.array([x[a:b].astype(np.float16).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+                some = [np.unique(np.linspace(a, b - 1, min(b - a, max_passages)).astype(np.int64)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_pydict({"y": batch.column(0).slice(i, j - i), "x": pa.array([x[k].astype(np.float16).tobytes() for k in some], pa.binary())})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(F.broadcast(marked), "i").select("y", "t").mapInArrow(run, "y int, x binary").collect()
+    one = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(F.broadcast(marked), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
+    rows = one.orderBy(F.xxhash64(F.col("i").cast("string"))).select("y", "t").mapInArrow(run, "y int, x binary").collect()
     bags = [np.frombuffer(r.x, np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
     return fit(bags, np.array([r.y for r in rows], float))
 
