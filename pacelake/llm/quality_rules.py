@@ -5,7 +5,7 @@ A line (between newlines) fails if it has a word and meets any of these rules:
 * punctuation: symbols ``#*$%&|<>`` number at least 3 and at least 3 for 10 words; or more than 60 % of
   at least 10 ASCII letters are capitals; or it has under 5 words and its last byte is a letter or digit
   of ASCII or a comma, colon or hyphen (an unfinished fragment)
-* navigation: under 8 words and it starts with a navigation phrase
+* navigation: under 8 words and it starts with a navigation phrase that no ASCII letter or digit follows
 * boilerplate: it holds a boilerplate phrase (both lists ignore the case of A-Z); with `phrase_words`, only where it
   has under so many words or its phrases hold a tenth of its word characters
 
@@ -30,7 +30,7 @@ NAVIGATION = ("home", "menu", "next", "previous", "login", "log in", "sign in",
 BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies", "enable javascript", "click here", "lorem ipsum")
 SYMBOLS = b"#*$%&|<>"
 
-_NAV = re.compile(b"(?:" + b"|".join(x.encode() for x in NAVIGATION) + b")", re.I)
+_NAV = re.compile(b"(?:" + b"|".join(x.encode() for x in NAVIGATION) + b")(?![0-9A-Za-z])", re.I)
 _BOILER = re.compile(b"|".join(x.encode() for x in BOILERPLATE), re.I)
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -164,7 +164,7 @@ m as (select doc_id, i, line, len(regexp_extract_all(line, '{_W}')) as n, length
   length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) as s, length(regexp_replace(line, '[^A-Z]', '', 'g')) as up, length(regexp_replace(line, '[^a-z]', '', 'g')) as low,
   row_number() over (partition by doc_id, line order by i) as nth from l),
 f as (select *, n > 0 and ((s >= 3 and 10 * s >= 3 * n) or (up + low >= 10 and 10 * up > 6 * (up + low)) or (n < 5 and regexp_matches(line, '[0-9A-Za-z,:-]$'))
-  or (n < 8 and regexp_matches(line, '^[\x20\x09-\x0D]*({_ALT(NAVIGATION)})', 'i')) or regexp_matches(line, '({_ALT(BOILERPLATE)})', 'i')) as failed from m),
+  or (n < 8 and regexp_matches(line, '^[\x20\x09-\x0D]*({_ALT(NAVIGATION)})([^0-9A-Za-z]|$)', 'i')) or regexp_matches(line, '({_ALT(BOILERPLATE)})', 'i')) as failed from m),
 t as (select doc_id, sum(chars) as word_chars, sum(s) as n_symbols, count(*) filter (where n > 0 and nth > 1) as n_dup_lines, count(*) filter (where n > 0) as n_lines,
   count(*) filter (where failed) as n_lines_failed, coalesce(sum(chars) filter (where failed), 0) as lost_chars from f group by doc_id),
 a as (select t.doc_id, cast(coalesce(n_words, 0) as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
