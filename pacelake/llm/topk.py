@@ -1,9 +1,10 @@
 """Exact top-k by inner product with norm-bucketed retrieval.
 
-Vectors are grouped by length: classes of a quarter of a doubling, cut into blocks of bounded size by id hash
+Vectors are grouped by length: classes of a quarter of a doubling, cut into blocks of bounded rows and bytes by hash
 and sorted by length inside. Queries, in blocks of their own, first meet the block of the longest vectors, which
-gives each a floor under its k-th score. Then every query block meets every vector block. With a query's floor
-and the block's greatest length, the local threshold is the cosine a vector needs to matter: above 1 the block
+gives each a floor under its k-th score, and so a length that a vector needs at least. Query blocks are paired with the
+blocks of those classes only that are long enough for one of their queries, before any vector moves. With a query's
+floor and the block's greatest length, the local threshold is the cosine a vector needs to matter: above 1 the block
 is skipped; below `switch` vectors are pruned by length (a prefix of the block); otherwise by the coordinates
 where the query is largest, with a bound on the rest. Survivors are verified by exact integer products.
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 SCALE, BLOCK, QUERY_BLOCK, FOCUS, SWITCH = 1024, 8192, 512, 16, 0.3
+#: Bytes of vectors in one block.
+BLOCK_BYTES = 8 << 20
 
 
 def integers(rows: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -36,13 +39,13 @@ def integers(rows: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> D
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """(block, dim, ids, matrix, norms): vectors of like length, longest first, as byte strings. A block takes about `size` rows."""
+    """(block, dim, ids, matrix, norms): vectors of like length, longest first, as byte strings. A block takes about `size` rows, or BLOCK_BYTES."""
     level = F.when(F.col("norm") > 0, F.floor(4 * F.log2("norm"))).otherwise(-1).cast("int")
     marked = vectors.withColumn("level", level)
-    plan = marked.groupBy("dim", "level").agg(F.greatest(F.ceil(F.count("*") / F.lit(size)), F.lit(1)).alias("parts"))
+    plan = marked.groupBy("dim", "level").agg(F.ceil(F.count("*") / F.greatest(F.lit(1), F.least(F.lit(size), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))))).alias("parts"))
     plan = plan.select(F.col("dim").alias("d"), F.col("level").alias("l"), "parts")
     marked = marked.join(F.broadcast(plan), (F.col("dim") == F.col("d")) & (F.col("level") == F.col("l")))  # bounded: lengths of doubles have some 8,000 levels for each dimension
-    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    part = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("parts"))  # an id may have many rows
 
     def gather(key, table):
         norms = table.column("norm").to_numpy()
@@ -96,6 +99,24 @@ def _unit(matrix, norms):
     return matrix / np.where(norms > 0, norms, 1)[:, None]
 
 
+def block_pairs(asked: DataFrame, levels: DataFrame) -> DataFrame:
+    """(q_block, dim, level, part): of each query block, the vector blocks of the classes whose longest vector is long enough for a query of
+    it. The stated queries against all rows, in blocks; rows here are names of blocks without vectors."""
+
+    def needs(batches):
+        for batch in batches:
+            least = []
+            for floor, norm in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                floor, norm = np.frombuffer(floor, np.float64), np.frombuffer(norm, np.float64)
+                # A floor that even a vector of length 0 reaches, or a query of length 0, asks for all classes.
+                least.append(float(np.where((floor > 0) & (norm > 0), floor / np.where(norm > 0, norm, 1) * (1 - 1e-9), 0).min()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.float64())], ["q_block", "q_dim", "least"])
+
+    needed = asked.select("q_block", "q_dim", "q_floor", "q_norms").mapInArrow(needs, "q_block string, q_dim int, least double")
+    met = needed.join(levels, (F.col("q_dim") == F.col("dim")) & (F.col("top") >= F.col("least")))
+    return met.select("q_block", "dim", "level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+
 def top_k(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK, focus: int = FOCUS, switch: float = SWITCH) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for each query."""
     base = tx.cut(_blocks(integers(rows, vec_id, vector), block))
@@ -125,11 +146,10 @@ def top_k(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: s
                 best = [search_block(q, qi, qn, fl, k, ids, matrix, norms, unit, focus, switch) for q, qi, qn, fl in zip(q_matrix, q_ids, q_norms, floor, strict=True)]
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(q_ids, [len(b[0]) for b in best])), "vec_id": pa.array(np.concatenate([b[0] for b in best])), "score": pa.array(np.concatenate([b[1] for b in best]).astype(np.int64))})
 
-    # Every block's key goes to every query block of its dimension: the stated queries against all rows, in blocks.
-    keys = base.select("dim", "level", "part").distinct().groupBy("dim").agg(F.collect_list(F.struct("level", "part")).alias("keys"))
-    wanted = asked.join(F.broadcast(keys), F.col("q_dim") == F.col("dim")).select("q_block", "dim", F.explode("keys").alias("key"), "q_ids", "q_matrix", "q_norms", "q_floor")
-    wanted = wanted.select("*", F.col("key.level").alias("lv"), F.col("key.part").alias("pt")).drop("key")
-    met = wanted.join(base.withColumnRenamed("dim", "d"), (F.col("dim") == F.col("d")) & (F.col("lv") == F.col("level")) & (F.col("pt") == F.col("part")))
+    levels = base.groupBy("dim", "level").agg((F.max("part") + 1).alias("parts"), F.max("top").alias("top"))
+    pairs = block_pairs(asked, levels)
+    wanted = pairs.join(asked, "q_block").select("q_block", F.col("dim").alias("d"), F.col("level").alias("lv"), F.col("part").alias("pt"), "q_ids", "q_matrix", "q_norms", "q_floor")
+    met = wanted.join(base, (F.col("dim") == F.col("d")) & (F.col("lv") == F.col("level")) & (F.col("pt") == F.col("part")))
     found = met.select("ids", "matrix", "norms", "q_ids", "q_matrix", "q_norms", "q_floor").mapInArrow(verify, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
