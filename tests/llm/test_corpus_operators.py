@@ -67,6 +67,9 @@ def test_quality_rules_figures(odd, empty):
 
 def test_quality_rules_lines(spark):
     good = prose(60, 9)
+    fine = ["Homework is due on the first day.", "Nextdoor they all sang songs.", "Searching for a way out, still."]
+    kept = quality_rules.clean_lines(spark.createDataFrame([(1, "\n".join([good, *fine, "Home: start here and go on.", "NEXT to the last page, and on."]))], "doc_id long, text string"), with_text=True).first()
+    assert kept.clean_text == "\n".join([good, *fine])
     text = "\n".join([good, "Home | News | About", "Subscribe to our letters today now", "We say all rights RESERVED in a line.", "SHOUTING WORDS ARE NOT FINE HERE.", "unfinished bit", "", good])
     row = quality_rules.clean_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), with_text=True).first()
     assert row.clean_text == "\n".join([good, "", good]) and row.n_lines_failed == 5
@@ -102,6 +105,16 @@ def test_mixing_meets_targets(spark, odd, empty):
     assert mixing.mix(sized, size="_n").count() == odd.count() and mixing.mix(empty.withColumn("_n", mixing.size_of("text")), size="_n").count() == 0
 
 
+def test_mixing_cells_and_clashing_names(spark, monkeypatch):
+    rows = [(i if i % 4 else None, "a" if i % 3 else "b", 7 if i < 2000 else i % 50, i, "x", "y") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, class long, mix string, row string")
+    whole = sorted(map(tuple, mixing.mix(docs).select("source", "size", "mix.target", "mix.copies").collect()))
+    monkeypatch.setattr(mixing, "CELL_ROWS", 20)
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "source", "size", "class", "row", "mix"]
+    assert sorted(map(tuple, out.select("source", "size", "mix.target", "mix.copies").collect())) == whole
+
+
 def test_line_dedup(spark, empty):
     rows = [(i, "h" if i < 8 else "one" if i == 8 else None, f"Menu\nbody {i}\n\n Menu ") for i in range(10)] + [(10, "h", None)]
     out = {r.page_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "page_id long, host string, text string"), "host", "text").select("page_id", "line_dedup.*").collect()}
@@ -228,7 +241,6 @@ def test_packing_round_trip(spark, odd, empty):
 
     path = public.path("word_bpe_49k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     extra = [(100 + i, prose(int(n), 50 + i)) for i, n in enumerate(np.random.default_rng(8).integers(1, 900, 300))] + [(900, "it's ÀÉ don't <|endoftext|> \x1c x y ﬁ 12ab c é I'LL")]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     rows = packing.pack_documents(docs, path, groups=16).collect()
@@ -252,6 +264,21 @@ def test_packing_round_trip(spark, odd, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_near_the_volume_bound(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    lengths = np.minimum(2048, np.exp(r.normal(5.6, 1.1, 40_000)).astype(int) + 1).tolist() + [300] * 9000
+    monkeypatch.setattr(packing, "CELL_ROWS", 500)
+    found = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(found).select("sequence_id", "offset", "length").collect()
+    spans = defaultdict(list)
+    for x in rows:
+        spans[x.sequence_id].append((x.offset, x.length))
+    assert sorted(x.length for x in rows) == sorted(lengths) and len(spans) <= 1.005 * sum(lengths) / 2048 + 1
+    for s in spans.values():
+        s.sort()
+        assert [o for o, _ in s] == [0, *np.cumsum([n for _, n in s])[:-1].tolist()] and sum(n for _, n in s) <= 2048
+
+
 def test_configurations_cover_demand():
     for seed in range(5):
         r = np.random.default_rng(seed)
@@ -416,6 +443,29 @@ def test_quality_model_learns(spark, odd, empty):
     assert quality_mil.train(empty, labels).flat == 0.5
 
 
+def test_quality_score_equals_a_plain_pass_and_training_is_bounded(spark):
+    rows = [(i % 60, prose(int(np.random.default_rng(i).integers(20, 300)), i) if i % 3 else " ".join(f"{w}###" for w in words(prose(150, i)))) for i in range(120)] + [(7, prose(20_000, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    fit, quality_mil.fit = quality_mil.fit, lambda bags, y: seen.append([len(b) for b in bags]) or fit(bags, y)
+    try:
+        model = quality_mil.train(docs, labels, max_rows=40, max_passages=10)
+    finally:
+        quality_mil.fit = fit
+    assert len(seen[0]) == 40 and max(seen[0]) <= 10
+    got = Counter((r.doc_id, round(r.score, 9)) for r in quality_mil.score(docs, model).collect())
+    want, p = Counter(), model.p
+    for i, t in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        z = (quality_mil.passages(raw, np.array([0, len(raw)]), 50)[0] - model.mean) / model.scale
+        h = [np.tanh(x @ p["W"] + p["b"]) for x in z]
+        e = [float((np.tanh(x @ p["V"]) / (1 + np.exp(-x @ p["U"]))) @ p["w"]) for x in h]
+        a = np.exp(np.array(e) - max(e))
+        want[i, round(float(1 / (1 + np.exp(-(sum(k * x for k, x in zip(a / a.sum(), h, strict=True)) @ p["c"] + p["d"])))), 9)] += 1
+    assert got == want
+
+
 def test_quality_gradients():
     r = np.random.default_rng(0)
     bags = [r.normal(size=(int(n), quality_mil.FEATURES)).astype(np.float32) for n in r.integers(1, 6, 12)]
@@ -454,3 +504,24 @@ def test_top_k_against_products(spark):
     assert set(got) == {i for i in ints if i % 100 == 0}
     none = docs.where("vec_id < 0")
     assert topk.top_k(none, none).count() == 0
+
+
+def test_top_k_pairs_only_long_enough_classes(spark):
+    asked = spark.createDataFrame([("q1", 4, np.array([10.0, 99.0]).tobytes(), np.array([1.0, 3.0]).tobytes()), ("q2", 4, np.array([-5.0]).tobytes(), np.array([1.0]).tobytes())], "q_block string, q_dim int, q_floor binary, q_norms binary")
+    levels = spark.createDataFrame([(4, 0, 2, 5.0), (4, 1, 1, 10.0), (4, 2, 3, 40.0), (5, 2, 9, 99.0)], "dim int, level int, parts long, top double")
+    got = Counter((r.q_block, r.level) for r in topk.block_pairs(asked, levels).collect())
+    assert got == {("q1", 1): 1, ("q1", 2): 3, ("q2", 0): 2, ("q2", 1): 1, ("q2", 2): 3}
+
+
+def test_top_k_blocks_by_bytes_and_repeated_ids(spark, monkeypatch):
+    r = np.random.default_rng(15)
+    rows = [(i if i < 300 else 7, [float(np.float32(c)) for c in x]) for i, x in enumerate(r.normal(size=(900, 16)))]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 16 * 8 * 20)
+    most = topk._blocks(topk.integers(docs, "vec_id", "embedding"), 8192).select((F.length("ids") / 8).alias("n")).agg(F.max("n")).first()[0]
+    assert most < 60
+    got = {(x.query_id, x["rank"]): x.score for x in topk.top_k(docs, docs.where("vec_id in (0, 100)")).collect()}
+    ints = [(i, np.floor(np.array(x) * 1024).astype(np.int64)) for i, x in rows]
+    for q in (0, 100):
+        v = dict(ints[:300])[q]
+        assert [got[q, k] for k in range(1, 11)] == sorted((int(v @ x) for i, x in ints if i != q), reverse=True)[:10]
