@@ -402,6 +402,46 @@ def test_pii_base_and_candidates(spark, odd, empty):
     assert len(pii.find(odd).collect()) == odd.count() and pii.find(empty).count() == 0
 
 
+def test_pii_adds_planted_variants_and_leaves_decoys(spark):
+    r = np.random.default_rng(21)
+    phone = lambda i: f"({200 + i % 700}) 555-{1000 + i}"
+    digits = lambda n: "".join(map(str, r.integers(1, 10, n)))
+
+    def card(sep):
+        d = "4" + digits(14)
+        total = sum(x if k % 2 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(int(c) for c in reversed(d)))
+        d += str(-total % 10)
+        return sep.join(d[k : k + 4] for k in range(0, 16, 4))
+
+    rows = []
+    for i in range(400):
+        text = [f"{prose(8, i)} call +1 {phone(i)} today", f"{prose(8, i)} write to user{i}@site{i % 7}.example.com now", f"{prose(8, i)} pay with card {card(' ')} soon", f"{prose(8, i)} server 10.{i % 200}.3.{i % 90} is up"][i % 4]
+        rows.append((i, text))
+    decoys = ["on 2024-01-15 12:30 it was", "part 12345678901234567890123 is out", "version 10.0.3 and 3.14159265", "we met at noon dot and then", "order 4539148803436468 failed", "look at home. Then go", "10.300.2.1 is none"]
+    rows += [(1000 + i, f"{prose(5, 2000 + i)} {t} {prose(5, 3000 + i)}") for i, t in enumerate(decoys * 8)]
+    planted = [(2000, "phone", f"please call {phone(3)} today"), (2001, "email", "write to user77 [at] site1.example.com now"), (2002, "email", "contact me.too at site2 dot example dot com now"), (2003, "card", f"pay with card {card('.')} soon"), (2004, "ip", "the server 10[.]1[.]3[.]17 is up")]
+    rows += [(i, t) for i, _, t in planted]
+    out = {x.doc_id: x for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for i, kind, t in planted:
+        assert [k for _, k, _ in out[i].base] == [] and [pii.KINDS[k] for _, k, _ in out[i].spans] == [kind], (t, out[i])
+        start, _, end = out[i].spans[0]
+        assert t[start:end] == {2000: phone(3), 2001: "user77 [at] site1.example.com", 2002: "me.too at site2 dot example dot com", 2004: "10[.]1[.]3[.]17"}.get(i, t[14:33])
+    for i, t in rows[400:-5]:
+        assert out[i].spans == out[i].base, (t, out[i])
+    for i, t in rows[:400]:
+        assert [tuple(x) for x in out[i].base] == plain_pii(t) and len(out[i].base) == 1 and out[i].spans == out[i].base
+
+
+def test_pii_many_spans_and_touching(spark):
+    text = " ".join(f"user{i}@site.example.com" for i in range(3000))
+    docs = spark.createDataFrame([(0, text), (1, None)], "doc_id long, text string")
+    out = {x.doc_id: x for x in pii.find(docs).collect()}
+    assert [tuple(x) for x in out[0].base] == plain_pii(text) and out[0].spans == out[0].base and out[1].base == []
+    spans = [(0, 5, True), (3, 9, False), (9, 12, False), (12, 15, False), (14, 20, True), (20, 22, False), (25, 40, False), (30, 31, True), (50, 60, True), (55, 56, False), (70, 75, False), (70, 72, True)]
+    rows = spark.createDataFrame([(1, *x) for x in spans], "row long, start int, end int, base boolean").select("*", pii._touches(F.col("base"), "row").alias("hit")).where("not base").collect()
+    assert {(x.start, x.end): x.hit for x in rows} == {(s, e): any(b and s < y and x < e for x, y, b in spans) for s, e, f in spans if not f}
+
+
 def test_pii_boosting_separates():
     code = np.arange(1 << 6)
     known = ((code & 1) & ((code >> 3) & 1)) * 50.0
