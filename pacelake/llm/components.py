@@ -12,21 +12,25 @@ from . import text as tx
 
 def _contract(batches):
     """Links of one partition to links of each node with the smallest id it reaches there; memory is bounded by the partition."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    nodes = np.fromiter((x for x in root), np.int64, len(root))
-    tops = np.fromiter((find(int(x)) for x in nodes), np.int64, len(nodes))
-    yield pa.RecordBatch.from_pydict({"a": pa.array(nodes[nodes != tops]), "b": pa.array(tops[nodes != tops])})
+    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not found:
+        return
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    low = np.arange(len(nodes))  # the smallest node known to be reached, as a place
+    while True:
+        x, y = low[a], low[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        a, b, least = a[open_], b[open_], np.minimum(x, y)[open_]
+        np.minimum.at(low, x[open_], least)
+        np.minimum.at(low, y[open_], least)
+        while (low[low] != low).any():
+            low = low[low]
+    moved = low != np.arange(len(nodes))
+    yield pa.RecordBatch.from_pydict({"a": pa.array(nodes[moved]), "b": pa.array(nodes[low[moved]])})
 
 
 #: Links that one task takes; rounds over few links use few tasks.

@@ -1,7 +1,7 @@
 """MinHash near-dedup with an LSH forest.
 
 Every text becomes its set of word shingles (64-bit hashes) and, for each of `trees` trees, a label of `depth`
-MinHash values. Texts with the same set collapse to one first. Each tree's labels are sorted over the whole
+MinHash values. Texts with the same set, by a cryptographic digest of the whole set in order, collapse to one first. Each tree's labels are sorted over the whole
 corpus by range partitions; in sorted order, the texts that share the longest label prefix with a text stand
 next to it, so a text's candidates are its next `width` neighbours whose common prefix reaches `least` values:
 in a crowded region these share long prefixes, in an empty one short prefixes are enough. Partition borders are
@@ -25,6 +25,8 @@ id and so their component. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,7 +71,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, n, set_key, labels): set size, 128 bits that name the set, and the trees' labels end to end as big-endian 16-bit values."""
+    """(doc_id, n, set_key, labels): set size, digest of the set, and the trees' labels end to end as big-endian 16-bit values."""
     seeds = tx.mix(np.arange(1, trees * depth + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
     def run(batches):
@@ -78,17 +80,15 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, trees: int, d
                 keys, begin = shingle_sets(data, at, size)
                 count = np.diff(begin)
                 full = np.flatnonzero(count)
-                labels, names = np.zeros((j - i, trees * depth), ">u2"), np.zeros((j - i, 2), np.uint64)
+                labels, raw = np.zeros((j - i, trees * depth), ">u2"), keys.tobytes()
                 if len(full):
                     for k, seed in enumerate(seeds):
                         x = keys * seed
                         low = np.minimum.reduceat(x ^ (x >> np.uint64(29)), begin[full])
                         labels[full, k] = (tx.mix(low) >> np.uint64(48)).astype(">u2")
-                    names[full, 0] = np.add.reduceat(tx.mix(keys + np.uint64(1)), begin[full])
-                    names[full, 1] = np.add.reduceat(tx.mix(keys ^ np.uint64(0x5851F42D4C957F2D)), begin[full])
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(i, j - i), "n": pa.array(count, pa.int64()),
-                    "set_key": pa.array([x.tobytes() for x in names], pa.binary()), "labels": pa.array([x.tobytes() for x in labels], pa.binary()),
+                    "set_key": pa.array([hashlib.blake2b(raw[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()), "labels": pa.array([x.tobytes() for x in labels], pa.binary()),
                 })
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, set_key binary, labels binary")
@@ -213,18 +213,25 @@ def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
     return tx.cut(label.unionByName(alone).join(above, F.col("component") == F.col("below"), "left").select("id", F.coalesce("above", "component").alias("component")))
 
 
+def _few(runs: DataFrame) -> DataFrame:
+    """A table of runs, one row each, sent to all tasks where it is small, so no task gets a whole long run; else written, so that the join may
+    split one."""
+    runs = tx.cut(runs)
+    return F.broadcast(runs) if runs.count() <= FEW_RUNS else runs
+
+
 def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
     """(tree, prefix, id, n, c, total) of the texts in runs that hold several components."""
     named = members.join(label.select("id", "component"), "id", "left").select("tree", "prefix", "id", "n", F.coalesce("component", "id").alias("c"))
     runs = named.groupBy("tree", "prefix").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("total")).where("low < high").drop("low", "high")
-    return tx.cut(named.join(runs, ["tree", "prefix"]))
+    return tx.cut(named.join(_few(runs), ["tree", "prefix"]))
 
 
 def _hub_pairs(open_: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b, ca, cb): of each run the text with most links, with all texts of other components."""
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     hubs = open_.join(degree, "id", "left").groupBy("tree", "prefix").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("c").alias("ch"), F.col("n").alias("nh")), F.struct(F.coalesce("links", F.lit(0)), -F.col("id"))).alias("h"))
-    met = open_.join(hubs.select("tree", "prefix", "h.*"), ["tree", "prefix"]).where("c != ch")
+    met = open_.join(_few(hubs.select("tree", "prefix", "h.*")), ["tree", "prefix"]).where("c != ch")
     low = F.col("id") < F.col("hub")
     return met.select("n", "nh", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.when(low, F.col("c")).otherwise(F.col("ch")).alias("ca"), F.when(low, F.col("ch")).otherwise(F.col("c")).alias("cb"))
 
@@ -276,12 +283,11 @@ def _all_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 def _finish_runs(firsts: DataFrame, long_runs: DataFrame, label: DataFrame, links: DataFrame, texts: DataFrame, size: int, percent: int, trees: int, depth: int, least: int) -> DataFrame:
     """`label` after every pair of every long run has been tried or found in one component."""
-    long_runs = tx.cut(long_runs)
-    count = long_runs.count()
-    if not count:
+    long_runs = _few(long_runs)
+    if long_runs.isEmpty():
         return label
     rows = _in_trees(firsts, trees, depth).select("tree", F.expr(f"substring(label, 1, {2 * least})").alias("prefix"), "id", "n")
-    members = tx.cut(rows.join(F.broadcast(long_runs) if count <= FEW_RUNS else long_runs, ["tree", "prefix"]))
+    members = tx.cut(rows.join(long_runs, ["tree", "prefix"]))
     open_ = _unsettled(members, label)
     if open_.isEmpty():
         return label
