@@ -85,3 +85,11 @@ def instant(text: Column) -> Column:
     number = text.try_cast("double")
     epoch = F.timestamp_millis(F.when(number > 1e11, number).otherwise(number * 1000).cast("long"))
     return F.when(text.rlike(r"^[0-9]+$"), epoch).otherwise(text.try_cast("timestamp"))
+
+
+def exact_mean(column: str, digits: int, window=None):
+    """Mean of numbers of `digits` decimals, null without any: summed as decimals and divided once, so it doesn't depend on the order of rows."""
+    total, n = F.sum(F.col(column).cast(f"decimal(38,{digits})")), F.count(column)
+    if window is not None:
+        total, n = total.over(window), n.over(window)
+    return total.cast("double") / F.nullif(n, F.lit(0))

@@ -39,7 +39,7 @@ R.query("FLT02_between", "select l_orderkey, l_linenumber, l_quantity from linei
     lambda t: t.lineitem.where(C("l_quantity").between(10, 12) & _day("l_shipdate").between("1995-06-01", "1996-06-30")).select("l_orderkey", "l_linenumber", "l_quantity"))
 R.query("FLT03_in", "select c_custkey from customer where c_mktsegment in ('BUILDING', 'MACHINERY') and c_nationkey in (select n_nationkey from nation where n_regionkey = 1)")(
     lambda t: t.customer.where(C("c_mktsegment").isin("BUILDING", "MACHINERY")).join(t.nation.where("n_regionkey = 1"), C("c_nationkey") == C("n_nationkey"), "left_semi").select("c_custkey"))
-R.query("FLT04_like", "select p_partkey from part where p_name like '%a%' and p_type ilike '%Steel%'")(lambda t: t.part.where(C("p_name").like("%a%") & C("p_type").ilike("%Steel%")).select("p_partkey"))
+R.query("FLT04_like", "select p_partkey from part where p_name like '%a%' and p_type ilike '%Econ%'")(lambda t: t.part.where(C("p_name").like("%a%") & C("p_type").ilike("%Econ%")).select("p_partkey"))
 R.query("FLT05_rlike", "select event_id, props from events where regexp_matches(json_extract_string(props, '$.k'), '^[0-9]$')")(
     lambda t: t.events.where(F.get_json_object("props", "$.k").rlike("^[0-9]$")).select("event_id", "props"))
 R.query("FLT06_null_tests", "select event_id, heart_rate is null as missing, (heart_rate > 150) is true as high, (heart_rate > 150) is not true as not_high from {vrec} r")(
@@ -75,8 +75,8 @@ R.query("JN03_full_parity", "select coalesce(o_orderkey, l_orderkey) as k, o_ord
     lambda t: t.orders.where("o_orderkey % 3 > 0").select("o_orderkey").join(t.lineitem.where("l_orderkey % 5 > 0").select("l_orderkey").distinct(), C("o_orderkey") == C("l_orderkey"), "full").select(F.coalesce("o_orderkey", "l_orderkey").alias("k"), C("o_orderkey").isNull().alias("only_right"), C("l_orderkey").isNull().alias("only_left")))
 R.query("JN04_left_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000)")(
     lambda t: t.customer.join(t.orders.where("o_totalprice > 200000"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey"))
-R.query("JN05_left_is_null", "select p_partkey from part left join (select distinct l_partkey from lineitem where l_discount >= 0.05) l on p_partkey = l_partkey where l_partkey is null")(
-    lambda t: t.part.join(t.lineitem.where("l_discount >= 0.05"), C("p_partkey") == C("l_partkey"), "left_anti").select("p_partkey"))
+R.query("JN05_left_is_null", "select p_partkey from part left join (select distinct l_partkey from lineitem where l_discount >= 0.1 and l_quantity >= 45) l on p_partkey = l_partkey where l_partkey is null")(
+    lambda t: t.part.join(t.lineitem.where("l_discount >= 0.1 and l_quantity >= 45"), C("p_partkey") == C("l_partkey"), "left_anti").select("p_partkey"))
 R.query("JN06_exists", "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'F') and not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderpriority = '1-URGENT')")(
     lambda t: t.customer.join(t.orders.where("o_orderstatus = 'F'"), C("c_custkey") == C("o_custkey"), "left_semi").join(t.orders.where("o_orderpriority = '1-URGENT'"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey"))
 R.query("JN07_scalar_row", "select o_orderkey, o_totalprice / m.top as share from orders cross join (select max(o_totalprice) as top from orders) m")(

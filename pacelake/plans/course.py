@@ -95,7 +95,7 @@ for _name, _text in {
     "Q09_01_with_without": "select count(*) as n, count(heart_rate) as with_hr, count(*) - count(heart_rate) as without_hr from {vrec} r",
     "Q09_02_null_rows": "select event_id, run_id from {vrec} r where heart_rate is null",
     "Q09_03_multi_coalesce": "select run_id, coalesce(avg_heart_rate, cast(duration_seconds as double), 0) as first_known from {vrun} r",
-    "Q09_04_completeness": "select round(100.0 * count(heart_rate) / count(*), 4) as hr_pct, round(100.0 * count(record_distance_m) / count(*), 4) as distance_pct from {vrec} r",
+    "Q09_04_completeness": "select round(cast(100 * count(heart_rate) as double) / nullif(count(*), 0), 4) as hr_pct, round(cast(100 * count(record_distance_m) as double) / nullif(count(*), 0), 4) as distance_pct from {vrec} r",
     "Q09_05_outliers": "select event_id, round((value - s.m) / s.sd, 6) as z from {events} e cross join (select avg(value) as m, stddev_samp(value) as sd from {events} e2) s where abs(value - s.m) > 3 * s.sd",
     "Q09_06_gap": "select run_id, max(heart_rate) as top from {vrec} r group by run_id having max(heart_rate) is not null and count(heart_rate) < count(*)",
     "Q10_01_week_growth": f"select week_start, round(100 * (total - lag(total) over (order by week_start)) / nullif(lag(total) over (order by week_start), 0), 4) as growth_pct from {_WEEKS} w",

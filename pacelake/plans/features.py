@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import instant
+from ..functions.scalars import exact_mean, instant
 from ..operators.joins import trailing_sum
 from ..registry import Registry
 
@@ -46,13 +46,12 @@ def route_prediction_features(runs: DataFrame) -> DataFrame:
     """For each attempt at a route: means of the attempts before it (inputs), and figures of all attempts, later ones too (`leak_`), and the label."""
     along = Window.partitionBy("route").orderBy("activity_date", "run_id")
     before, every = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("route")
-    km = C("distance").cast("double")
-    return runs.select("run_id", "route", F.count("*").over(before).alias("prior_attempts"), F.round(F.avg(km).over(before), 4).alias("prior_avg_distance"), F.round(F.avg("duration_seconds").over(before), 4).alias("prior_avg_seconds"), F.round(F.avg("avg_heart_rate").over(before), 6).alias("prior_avg_hr"),
-                       F.count("*").over(every).alias("leak_attempts"), F.round(F.avg(km).over(every), 4).alias("leak_avg_distance"), C("duration_seconds").alias("label_seconds"))
+    return runs.select("run_id", "route", F.count("*").over(before).alias("prior_attempts"), exact_mean("distance", 2, before).alias("prior_avg_distance"), exact_mean("duration_seconds", 0, before).alias("prior_avg_seconds"), F.round(F.avg("avg_heart_rate").over(before), 6).alias("prior_avg_hr"),
+                       F.count("*").over(every).alias("leak_attempts"), exact_mean("distance", 2, every).alias("leak_avg_distance"), C("duration_seconds").alias("label_seconds"))
 
 
 _B = "over (partition by route order by activity_date, run_id rows between unbounded preceding and 1 preceding)"
-R.query("MD29_route_features", f"select run_id, route, count(*) {_B} as prior_attempts, round(avg(cast(distance as double)) {_B}, 4) as prior_avg_distance, round(avg(duration_seconds) {_B}, 4) as prior_avg_seconds, round(avg(avg_heart_rate) {_B}, 6) as prior_avg_hr, count(*) over (partition by route) as leak_attempts, round(avg(cast(distance as double)) over (partition by route), 4) as leak_avg_distance, duration_seconds as label_seconds from {{vnat}} v")(
+R.query("MD29_route_features", f"select run_id, route, count(*) {_B} as prior_attempts, cast(sum(distance) {_B} as double) / nullif(count(distance) {_B}, 0) as prior_avg_distance, cast(sum(cast(duration_seconds as decimal(38,0))) {_B} as double) / nullif(count(duration_seconds) {_B}, 0) as prior_avg_seconds, round(avg(avg_heart_rate) {_B}, 6) as prior_avg_hr, count(*) over (partition by route) as leak_attempts, cast(sum(distance) over (partition by route) as double) / count(distance) over (partition by route) as leak_avg_distance, duration_seconds as label_seconds from {{vnat}} v")(
     lambda t: route_prediction_features(t.vnat))
 
 

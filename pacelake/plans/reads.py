@@ -66,7 +66,10 @@ R.query("RD04_map_profile", "select run_id, record_index, lat, lon, altitude_m f
 
 
 #: Sort keys of the run list and the columns they stand for.
-SORT_KEYS = {"date": "activity_date", "distance": "distance", "duration": "duration_seconds", "heart_rate": "avg_heart_rate", "recovery": "recovery_drop", "ending_heart_rate": "ending_heart_rate", "route": "route", "id": "run_id", "subject": "subject"}
+SORT_KEYS = {
+    "date": "activity_date", "distance": "distance", "distance_km": "distance_km", "duration": "duration_seconds", "pace": "pace", "heart_rate": "avg_heart_rate", "recovery": "recovery_drop", "ending_heart_rate": "ending_heart_rate", "ascent": "ascent_m", "prior_7d": "prior_7d_distance",
+    "prior_28d": "prior_28d_distance", "route": "route", "route_id": "route_id", "coverage": "distance_coverage", "distance_economy": "m_per_beat", "elevation_economy": "climb_per_beat", "decoupling": "decoupling_pct", "efficiency": "score", "id": "run_id", "subject": "subject",
+}
 
 
 def run_page(runs: DataFrame, sort: str = "date", descending: bool = True, limit: int = 25, offset: int = 0, first: str | None = None, last: str | None = None, ranges: dict | None = None, metric: tuple[str, bool | None] | None = None) -> DataFrame:
@@ -107,6 +110,21 @@ R.query("RD09_dashboard", f"select a.subject, run_count, a.distance, latest_date
     lambda t: dashboard(t.vnat, rollups.days_of(t)))
 
 
+def dashboard_status(runs: DataFrame, days: DataFrame, landed: DataFrame, as_of: str) -> DataFrame:
+    """`dashboard` with the week so far and the landing status: the latest day of health data, how many days behind it is, and whether it is stale."""
+    week = rollups.current_week(days, as_of).select(C("subject").alias("_w"), "week_start_date", C("run_count").alias("week_runs"), C("distance").alias("week_distance"), C("active_days").alias("week_active_days"), "days_so_far")
+    last = landed.where(C("calendar_date") <= F.lit(as_of).cast("date")).groupBy(C("subject").alias("_l")).agg(F.max("calendar_date").alias("latest_landed"))
+    behind = F.datediff(F.lit(as_of).cast("date"), "latest_landed").cast("long")
+    out = dashboard(runs, days).join(week, C("subject") == C("_w"), "left").join(last, C("subject") == C("_l"), "left").drop("_w", "_l")
+    return out.withColumn("days_behind", behind).withColumn("landing_status", F.when(behind.isNull(), "missing").when(behind <= 1, "current").otherwise("stale"))
+
+
+R.query("RD09_dashboard_status", f"""select a.*, week_start_date, w.run_count as week_runs, w.distance as week_distance, w.active_days as week_active_days, days_so_far, latest_landed, date_diff('day', latest_landed, date '2001-07-19') as days_behind,
+ case when latest_landed is null then 'missing' when date_diff('day', latest_landed, date '2001-07-19') <= 1 then 'current' else 'stale' end as landing_status from ({R.oracles["RD09_dashboard"]}) a left join ({rollups.R.oracles["MD09_current_week"]}) w on a.subject = w.subject
+ left join (select subject, max(calendar_date) as latest_landed from {{vrest}} h where calendar_date <= date '2001-07-19' group by subject) h on a.subject = h.subject""")(
+    lambda t: dashboard_status(t.vnat, rollups.days_of(t), t.vrest, "2001-07-19"))
+
+
 def compared(runs: DataFrame, primary: tuple[str, str], other: tuple[str, str]) -> DataFrame:
     """Runs and distance of each subject in two windows side by side."""
     part = lambda w, p: window(runs, "activity_date", *w).groupBy(C("subject").alias(f"{p}_s")).agg(F.count("*").alias(f"{p}_runs"), F.sum("distance").cast("double").alias(f"{p}_distance"))

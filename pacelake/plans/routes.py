@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import grid_cell
+from ..functions.scalars import exact_mean, grid_cell
 from ..operators.joins import band_join, nearest_place
 from ..registry import Registry
 from ..session import cut
@@ -73,9 +73,20 @@ def edges_of(t) -> DataFrame:
     return similarity(observed(t), _LEAST, KEYS)
 
 
+def graph_of(t) -> tuple[DataFrame, DataFrame]:
+    """Observations and edges, each worked out once."""
+    obs = cut(observed(t))
+    return obs, cut(similarity(obs, _LEAST, KEYS))
+
+
 R.query("MD23_route_similarity", f"select run_id, connected_run_id, round(similarity, 9) as similarity from {EDGES} e")(lambda t: edges_of(t).withColumn("similarity", F.round("similarity", 9)))
 
 
+_STRICT = _ONE.replace("and l.start_cell = r.start_cell", "and l.start_cell = r.start_cell and l.end_cell = r.end_cell")
+R.query("MD23_route_similarity_strict", f"select l_id as run_id, r_id as connected_run_id, round(similarity, 9) as similarity from {_STRICT} x where similarity >= 0.9 union all select r_id, l_id, round(similarity, 9) from {_STRICT} y where similarity >= 0.9")(
+    lambda t: similarity(observed(t)).withColumn("similarity", F.round("similarity", 9)))
+
+
 def chronological_roots(obs: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
     """(run_id, ord, root): runs by (date, id) order; root starts as the least of a run and its direct neighbours and follows
     pointers until nothing changes (`rounds` at most). Links are never taken up again, so roots are not components.
@@ -104,7 +115,7 @@ def _root_steps(n: int) -> str:
 
 
 ROOTS = _root_steps(12)
-R.query("MD24_chronological_roots", f"{ROOTS} select a.run_id, b.run_id as root_run_id from s12 a join o b on a.root = b.ord")(lambda t: chronological_roots(observed(t), edges_of(t)))
+R.query("MD24_chronological_roots", f"{ROOTS} select a.run_id, b.run_id as root_run_id from s12 a join o b on a.root = b.ord")(lambda t: chronological_roots(*graph_of(t)))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -125,7 +136,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
 
 
 R.query("MD25_connected_components", f"with recursive ed as materialized (select * from {EDGES} e), r as (select run_id as node, run_id as seen from {OBS} o union select ed.connected_run_id as node, r.seen from r join ed on ed.run_id = r.node) select node as run_id, min(seen) as component from r group by node")(
-    lambda t: connected_components(observed(t), edges_of(t)))
+    lambda t: connected_components(*graph_of(t)))
 
 
 def route_clusters(obs: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -141,8 +152,7 @@ CLUSTER_CTES = f"{ROOTS}, ro as materialized (select a.run_id, b.run_id as root_
 
 
 def clusters_of(t) -> DataFrame:
-    obs, edges = cut(observed(t)), None
-    edges = cut(similarity(obs, _LEAST, KEYS))
+    obs, edges = graph_of(t)
     return route_clusters(obs, edges, chronological_roots(obs, edges))
 
 
@@ -152,10 +162,10 @@ R.query("MD26_route_clusters", f"{CLUSTER_CTES} select * from cl")(clusters_of)
 def routes(clusters: DataFrame, runs: DataFrame, records: DataFrame, places: DataFrame | None = None, sample: int = 500) -> DataFrame:
     """One row a route: runs, distances, times, centre of the representative's sampled points, first valid start, and the nearest place."""
     of = clusters.join(runs, "run_id")
-    summary = of.groupBy("route_id").agg(F.min("representative_run_id").alias("representative_run_id"), F.count("*").alias("run_count"), F.min("activity_date").alias("first_date"), F.max("activity_date").alias("last_date"), F.round(F.avg("distance_km"), 6).alias("avg_km"), F.min("distance_km").alias("min_km"), F.max("distance_km").alias("max_km"),
-                                         F.round(F.avg("duration_seconds"), 4).alias("avg_seconds"), F.min("duration_seconds").alias("best_seconds"), F.round(F.avg("avg_heart_rate"), 6).alias("avg_hr"), F.round(F.avg("similarity"), 9).alias("avg_similarity"))
+    summary = of.groupBy("route_id").agg(F.min("representative_run_id").alias("representative_run_id"), F.count("*").alias("run_count"), F.min("activity_date").alias("first_date"), F.max("activity_date").alias("last_date"), exact_mean("distance_km", 5).alias("avg_km"), F.min("distance_km").alias("min_km"), F.max("distance_km").alias("max_km"),
+                                         exact_mean("duration_seconds", 0).alias("avg_seconds"), F.min("duration_seconds").alias("best_seconds"), F.round(F.avg("avg_heart_rate"), 6).alias("avg_hr"), exact_mean("similarity", 9).alias("avg_similarity"))
     chosen = records.join(summary.select(C("representative_run_id").alias("run_id")), "run_id", "left_semi")
-    centre = downsample_even(chosen, sample).groupBy("run_id").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+    centre = downsample_even(chosen, sample).groupBy("run_id").agg(exact_mean("lat", 6).alias("lat"), exact_mean("lon", 6).alias("lon"))
     start = chosen.where("lat is not null").groupBy("run_id").agg(F.min_by(F.struct("lat", "lon"), "record_index").alias("s")).select("run_id", C("s.lat").alias("start_lat"), C("s.lon").alias("start_lon"))
     out = summary.join(centre.withColumnRenamed("run_id", "representative_run_id"), "representative_run_id", "left").join(start.withColumnRenamed("run_id", "representative_run_id"), "representative_run_id", "left")
     if places is not None:
@@ -171,9 +181,9 @@ def places_of(t) -> DataFrame:
 _PLACES = "(select s_name as name, cast(51.8 + (s_suppkey % 10) * 0.07 as double) as p_lat, cast(4.7 + (s_suppkey % 9) * 0.09 as double) as p_lon, cast(s_suppkey as bigint) as population from supplier)"
 _NEAR = f"""(select route_id, name as city, km from (select *, row_number() over (partition by route_id order by population desc, km, name desc) as rn from (select *, min(km) over (partition by route_id) as m from
  (select route_id, name, population, 2 * 6371.0 * asin(least(sqrt(pow(sin(radians(p_lat - start_lat) / 2), 2) + cos(radians(start_lat)) * cos(radians(p_lat)) * pow(sin(radians(p_lon - start_lon) / 2), 2)), 1.0)) as km from su join {_PLACES} c on abs(start_lat - p_lat) <= 0.5 and abs(start_lon - p_lon) <= 0.7) a) b where km <= m + 0.001) c0 where rn = 1)"""
-SUMMARY = f"""{CLUSTER_CTES}, su0 as (select route_id, min(representative_run_id) as representative_run_id, count(*) as run_count, min(activity_date) as first_date, max(activity_date) as last_date, round(avg(distance_km), 6) as avg_km, min(distance_km) as min_km, max(distance_km) as max_km, round(avg(duration_seconds), 4) as avg_seconds, min(duration_seconds) as best_seconds,
- round(avg(avg_heart_rate), 6) as avg_hr, round(avg(similarity), 9) as avg_similarity from cl join {{vrun}} v on cl.run_id = v.run_id group by route_id),
- ge as materialized (select * from {{vgeo}} g where run_id in (select representative_run_id from su0)), sa as (select run_id, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon from (select *, count(*) over (partition by run_id) as n from ge) x where n <= 5 or exists (select 1 from range(5) p(i) where record_index = cast(floor(p.i * (n - 1) / 4.0) as bigint) + 1) group by run_id),
+SUMMARY = f"""{CLUSTER_CTES}, su0 as (select route_id, min(representative_run_id) as representative_run_id, count(*) as run_count, min(activity_date) as first_date, max(activity_date) as last_date, cast(sum(cast(distance_km as decimal(38,5))) as double) / count(distance_km) as avg_km, min(distance_km) as min_km, max(distance_km) as max_km, cast(sum(cast(duration_seconds as decimal(38,0))) as double) / count(duration_seconds) as avg_seconds, min(duration_seconds) as best_seconds,
+ round(avg(avg_heart_rate), 6) as avg_hr, cast(sum(cast(similarity as decimal(38,9))) as double) / count(similarity) as avg_similarity from cl join {{vrun}} v on cl.run_id = v.run_id group by route_id),
+ ge as materialized (select * from {{vgeo}} g where run_id in (select representative_run_id from su0)), sa as (select run_id, cast(sum(cast(lat as decimal(38,6))) as double) / nullif(count(lat), 0) as lat, cast(sum(cast(lon as decimal(38,6))) as double) / nullif(count(lon), 0) as lon from (select *, count(*) over (partition by run_id) as n from ge) x where n <= 5 or exists (select 1 from range(5) p(i) where record_index = cast(floor(p.i * (n - 1) / 4.0) as bigint) + 1) group by run_id),
  st as (select run_id, lat as start_lat, lon as start_lon from (select *, row_number() over (partition by run_id order by record_index) as rn from ge where lat is not null) x where rn = 1), su as materialized (select su0.*, sa.lat, sa.lon, st.start_lat, st.start_lon from su0 left join sa on sa.run_id = representative_run_id left join st on st.run_id = representative_run_id)"""
 R.query("MD28_routes", f"{SUMMARY} select su.*, n.city from su left join {_NEAR} n on su.route_id = n.route_id")(lambda t: routes(clusters_of(t), t.vrun, t.vgeo, places_of(t), 5))
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,7 +169,7 @@ def _written(t):
     first = t.orders.select("o_orderkey", "o_totalprice", F.trunc(_day(), "year").alias("y"))
     write_partitioned(first, path, ["y"])
     write_partitioned(first.where("year(y) = 1996").withColumn("o_totalprice", F.lit(0.0)), path, ["y"], overwrite=True)
-    return t.spark.read.parquet(path).groupBy("y").agg(F.count("*").alias("n"), F.sum(C("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    return t.spark.read.schema(first.schema).parquet(path).groupBy("y").agg(F.count("*").alias("n"), F.sum(C("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 R.query("SRC14_partitioned_write", "select cast(date_trunc('year', o_orderdate) as date) as y, count(*) as n, cast(sum(cast(case when year(o_orderdate) = 1996 then 0 else o_totalprice end as decimal(18,2))) as double) as total from orders group by 1")(_written)
@@ -238,9 +238,10 @@ def exports_of(t, only: str | None = None) -> dict[str, DataFrame]:
 
 
 def _sql_exports() -> dict[str, str]:
-    from ..plans import reads, rollups, segments, signals
+    from ..plans import reads, rollups, routes, segments, signals
 
     return {
+        "routes": f"{routes.SUMMARY} select " + ", ".join(EXPORTS["routes"]) + " from su",
         "runs": "select run_id, subject, cast(activity_date as varchar) as activity_date, cast(distance as double) as distance, duration_seconds, avg_heart_rate from {vnat} v", "days": f"select subject, cast(calendar_date as varchar) as calendar_date, run_count, distance from {rollups.DAYS} d",
         "weeks": f"select subject, cast(week_start_date as varchar) as week_start_date, run_count, distance, active_week_streak from {rollups.WEEKS} w", "fitness": f"select run_id, efficiency, hr_band, score from {signals.FIT} f",
         "map_profile": "select run_id, record_index, lat, lon from (select *, count(*) over (partition by run_id) as n from {vgeo} r) x where n <= 5 or exists (select 1 from range(5) p(i) where record_index = cast(floor(p.i * (n - 1) / 4.0) as bigint) + 1)",
@@ -248,9 +249,8 @@ def _sql_exports() -> dict[str, str]:
     }
 
 
-for _n in ("runs", "days", "weeks", "fitness", "map_profile", "segments", "dashboard_summary"):
+for _n in ("runs", "days", "weeks", "fitness", "routes", "map_profile", "segments", "dashboard_summary"):
     R.query(f"SRC19_export_{_n}", _sql_exports()[_n])(lambda t, n=_n: exports_of(t, n)[n])
-R.query("SRC19_export_routes")(lambda t: exports_of(t, "routes")["routes"])
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -279,20 +279,22 @@ R.query("SRC21_publish_plan", "select 'orders' as export_name, false as publish
 
 
 def checked_export(df: DataFrame, columns: list[str], path: str) -> DataFrame:
-    """Write to a staging folder, compare columns and count with what was promised, then rename into place; gives (rows, ok)."""
+    """Write to a staging folder, compare columns with what was promised and the rows written with those read, then rename into place."""
     spark = df.sparkSession
     if df.columns != columns:
         raise ValueError(f"columns {df.columns} are not {columns}")
     staging = f"{path}.staging-{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    wanted, staged = fingerprint(df), spark.read.parquet(staging)
-    ok = staged.agg(F.count("*").alias("rows")).crossJoin(wanted).select("rows", (C("rows") == C("row_count")).alias("ok"))
-    if not ok.first().ok:
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(staging)
+    if spark.read.parquet(staging).count() != seen.get["rows"]:
         raise RuntimeError("the staged rows are not those of the export")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
+    old = hadoop(f"{staging}.old")
+    if fs.exists(hadoop(path)):
+        fs.rename(hadoop(path), old)  # a crash leaves either export whole
     fs.rename(hadoop(staging), hadoop(path))
+    fs.delete(old, True)
     return spark.read.parquet(path)
 
 
@@ -336,7 +338,7 @@ R.query("SRC25_resume_range", "select cast(unnest(generate_series(least(max(cast
 
 def landing_gaps(dates: DataFrame, kinds: DataFrame, existing: DataFrame) -> DataFrame:
     """Wanted (date, kind) pairs that haven't landed; kinds are few."""
-    return dates.crossJoin(F.broadcast(kinds)).join(existing.select(C("calendar_date").alias("_d"), C("kind").alias("_k")), (C("calendar_date") == C("_d")) & (C("kind") == C("_k")), "left_anti")
+    return dates.crossJoin(kinds).join(existing.select(C("calendar_date").alias("_d"), C("kind").alias("_k")), (C("calendar_date") == C("_d")) & (C("kind") == C("_k")), "left_anti")
 
 
 R.query("SRC26_landing_gaps", "select d as calendar_date, kind from (select distinct cast(ts as date) as d from events) a cross join (select distinct event_type as kind from events) b where not exists (select 1 from events where cast(ts as date) = d and event_type = kind and user_id % 13 = 0)")(

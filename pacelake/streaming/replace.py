@@ -7,25 +7,29 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 from ..session import shared_folder
-from ..sources.ingest import keyed_replace
 
 R = Registry()
 C = F.col
 
 
 def stream_replace(source: DataFrame, target: str, checkpoint: str, keys: list[str], version: str) -> None:
-    """Apply all that `source` (a stream) has: in each batch the highest `version` of a key counts, and replaces the key in `target`.
+    """Apply all that `source` (a stream) has: of each key the row with the highest `version` stays, whether it came in this batch or an
+    earlier one (of equal versions the one that comes later).
 
-    The target is a folder of generations named by batch; a batch that runs again writes its generation again, so
-    a lost executor or a restarted query changes nothing. Returns when the input is used up.
+    The target is a folder of generations named by batch, of which the last two are kept; a batch that runs again writes its
+    generation again, so a lost executor or a restarted query changes nothing. Returns when the input is used up.
     """
     spark = source.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        rows = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), version).alias("_r")).select(*keys, "_r.*").select(*batch.columns)
+        rows = batch.withColumn("_batch", F.lit(1))
         if number > 0:
-            rows = keyed_replace(spark.read.parquet(f"{target}/generation={number - 1}"), rows, keys)
-        rows.write.mode("overwrite").parquet(f"{target}/generation={number}")
+            rows = spark.read.parquet(f"{target}/generation={number - 1}").withColumn("_batch", F.lit(0)).unionByName(rows)
+        best = F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), F.struct(version, "_batch"))
+        rows.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*").select(*batch.columns).write.mode("overwrite").parquet(f"{target}/generation={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/generation={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     query = source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -41,13 +45,13 @@ def latest_generation(spark, target: str) -> DataFrame:
 
 
 def _replayed(t):
-    """Records in three files, later ones holding newer versions of some keys, give the same as one batch would."""
+    """Records that arrive in many files, a few a batch, some of them late with an older version, give the same as one batch would."""
     base = shared_folder(t.spark)
     rows = t.events.select("event_id", "user_id", "value", F.lit(0).alias("version"))
-    parts = [rows, rows.where("event_id % 3 = 0").withColumns({"value": C("value") * 2, "version": F.lit(1)}), rows.where("event_id % 5 = 0").withColumns({"value": C("value") * 3, "version": F.lit(2)})]
+    parts = [rows.where("event_id % 3 = 0").withColumns({"value": C("value") * 2, "version": F.lit(1)}), rows, rows.where("event_id % 5 = 0").withColumns({"value": C("value") * 3, "version": F.lit(2)})]
     for p in parts:
-        p.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        p.repartition(4, "event_id").write.mode("append").parquet(f"{base}/in")
+    source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     stream_replace(source, f"{base}/out", f"{base}/state", ["event_id"], "version")
     return latest_generation(t.spark, f"{base}/out").select("event_id", F.round("value", 6).alias("value"))
 
@@ -63,7 +67,7 @@ def dedup_stream(source: DataFrame, keys: list[str], time: str, delay: str) -> D
 def _deduped(t):
     base = shared_folder(t.spark)
     rows = t.events.select("event_id", "user_id", C("ts").cast("timestamp").alias("ts"))
-    rows.unionByName(rows.where("event_id % 4 = 0")).coalesce(2).write.parquet(f"{base}/in")
+    rows.unionByName(rows.where("event_id % 4 = 0")).write.parquet(f"{base}/in")
     source = t.spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     query = dedup_stream(source, ["event_id"], "ts", "60 days").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()

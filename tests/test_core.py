@@ -1,16 +1,19 @@
 """Hand-computed fixtures, properties, and the rules that plans must keep."""
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from pacelake import binding
+from pacelake.catalog import REGISTRIES
 from pacelake.functions import scalars
 from pacelake.operators import joins, windows
-from pacelake.plans import assertions, rollups, routes, segments, signals, telemetry
+from pacelake.plans import assertions, context, rollups, routes, segments, signals, telemetry
 from pacelake.sources import ingest
+from pacelake.streaming import replace
 
 D = dt.date
 
@@ -129,7 +132,12 @@ def test_interval_slices_add_up(spark):
 def test_global_order_equals_one_window(spark, data):
     orders = binding.Tables(spark, data).orders
     got = [r.o_orderkey for r in windows.global_order(orders, ["o_orderdate", "o_orderkey"], "p").orderBy("p").collect()]
-    assert got == [r.o_orderkey for r in orders.orderBy("o_orderdate", "o_orderkey").collect()]
+    want = [r.o_orderkey for r in orders.orderBy("o_orderdate", "o_orderkey").collect()]
+    assert got == want
+    flat = orders.withColumn("o_orderdate", F.lit("same"))  # a constant first key is cut by the second
+    ranked = windows.global_order(flat, ["o_orderdate", "o_orderkey"], "p", cell_rows=100)
+    assert [r.o_orderkey for r in ranked.orderBy("p").collect()] == sorted(want) and [r.p for r in ranked.select("p").orderBy("p").collect()] == list(range(1, len(want) + 1))
+    assert windows.global_order(orders.limit(0), ["o_orderkey"], "p").count() == 0
 
 
 @pytest.mark.parametrize("name", ["JN11_date_range", "JN12_interval_overlap", "JN17_nearest_place", "MD14_distance_segments", "MD23_route_similarity", "MD05_daily_mart", "MD20_fitness_signals"])
@@ -143,11 +151,45 @@ def test_filters_and_columns_reach_the_scan(spark, data):
     assert "PushedFilters: [IsNotNull(l_quantity)" in plan and "l_comment" not in plan and "l_extendedprice" not in plan
 
 
-def test_every_query_is_registered_once_and_runs_empty_safe():
+def test_every_query_is_registered_once():
     names = list(__spark_entry__.queries())
     assert len(names) == len(set(names)) and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
+def test_every_core_query_runs_on_empty_tables(spark, data, tmp_path):
+    for name in binding.NAMES:
+        spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    def run(query):
+        try:
+            query[1](spark, str(tmp_path)).collect()
+        except Exception as e:
+            return query[0], str(e)[:200]
+
+    with ThreadPoolExecutor(4) as pool:
+        assert not [x for x in pool.map(run, [q for r in REGISTRIES for q in r.queries.items()]) if x]
+
+
+def test_exact_mean_and_session_context(spark, data):
+    rows = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("a", 0.4), ("b", None)], "k string, x double")
+    assert dict(map(tuple, rows.groupBy("k").agg(scalars.exact_mean("x", 2).alias("m")).collect())) == {"a": 0.7 / 3, "b": None}
+    t = binding.Tables(spark, data)
+    sessions = context.sessions_of(t).cache()
+    assert sessions.count() == t.vrun.count() == sessions.select("run_id").distinct().count()
+    summary = context.route_summary(sessions)
+    assert summary.agg(F.sum("run_count")).first()[0] == sessions.where("route_id is not null").count()
+    assert context.attempt_features(sessions, summary).where("prior_attempts = 0 and prior_seconds is not null or lifetime_runs <= prior_attempts").count() == 0
+
+
+def test_stream_keeps_the_highest_version(spark, tmp_path):
+    schema = "k long, v long, version long"
+    for part in ([(1, 10, 5), (2, 20, 1)], [(1, 11, 4), (2, 21, 1), (3, 30, 0)], [(3, 31, 2), (1, 12, 3)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    replace.stream_replace(source, f"{tmp_path}/out", f"{tmp_path}/state", ["k"], "version")
+    assert sorted(map(tuple, replace.latest_generation(spark, f"{tmp_path}/out").collect())) == [(1, 10, 5), (2, 21, 1), (3, 31, 2)]
+    assert len([x for x in (tmp_path / "out").iterdir()]) == 2
+
+
 def test_entry_works_without_the_corpus_operators(tmp_path):
     import os
     import shutil
