@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 CAPACITY, GROUPS, SMALL = 2048, 128, 128
-#: Rows of one cell, on average, of those with one value.
-CELL_ROWS = 50_000
+#: Cells of each value at least, and rows of one cell on average beyond that.
+CELLS, CELL_ROWS = 64, 50_000
 #: Words and letter runs whose ids a worker remembers.
 CACHE_WORDS, CACHE_RUNS = 400_000, 600_000
 #: How the vocabulary's tokenizer splits lower-case text without white space into runs.
@@ -68,8 +68,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer)
-        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile("|".join(added), re.I).search if added else lambda text: None
+        added = self.whole.get_added_tokens_decoder().values()
+        self.exact = [t.content for t in added if t.content and not t.normalized]
+        self.folded = [t.content.lower() for t in added if t.content and t.normalized]  # looked for in normalized text
         self.merge, self.runs = self.whole.model.tokenize, regex.compile(RUNS).findall
         self.shown = _byte_characters()
         self.words: dict[str, bytes] = {"": b""}
@@ -97,7 +98,7 @@ class WordIds:
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.added(text):
+        if any(x in text for x in self.exact) or self.folded and any(x in text.lower() for x in self.folded):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         if len(self.words) > CACHE_WORDS:
             self.words = {"": b""}
@@ -290,7 +291,7 @@ class SmallPlan:
 def _ranked(df: DataFrame, value: str, most: int, order: list) -> DataFrame:
     """`df` with `_rank`, the place of each row among those of its value, of which none has more than `most` rows: cell counts before
     it and a row number in its cell."""
-    cells = 1 << max(0, int(most) // CELL_ROWS).bit_length()
+    cells = CELLS << (int(most) // (CELLS * CELL_ROWS)).bit_length()
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(cells)))
     counts = df.groupBy(F.col(value).alias("_v"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_v").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
