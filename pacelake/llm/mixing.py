@@ -24,8 +24,8 @@ from . import text as tx
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2, 17
-#: Rows of one cell on average. Cells are classes of size, an eighth of a doubling each, by ranges of a hash.
-CELL_ROWS = 50_000
+#: Cells are classes of size, an eighth of a doubling each, by ranges of a hash: so many of these at least, and rows of one on average beyond that.
+CELLS, CELL_ROWS = 64, 50_000
 
 
 def size_of(text: str):
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     names = [c for c in docs.columns if c != "mix"]
     wide = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[doc_id].alias("id"), docs[source].alias("source"), docs[size].alias("size"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", "size", "id")), 1, 8), 16, 10).cast("long")
-    step = F.lit((1 << 32) >> (wide.count() // CELL_ROWS).bit_length())
+    step = F.lit((1 << 32) // (CELLS << (wide.count() // (CELLS * CELL_ROWS)).bit_length()))
     marked = wide.select("*", F.floor(8 * F.log2(F.col("size") + F.lit(1.0)) + 1e-9).cast("int").alias("class"), hashed.alias("hash"), F.floor(hashed / step).alias("cell"))
     counts = tx.cut(marked.groupBy("source", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     goal = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap).select(F.col("source").alias("s"), "source_size", "target")

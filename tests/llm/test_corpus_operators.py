@@ -109,7 +109,7 @@ def test_mixing_cells_and_clashing_names(spark, monkeypatch):
     rows = [(i if i % 4 else None, "a" if i % 3 else "b", 7 if i < 2000 else i % 50, i, "x", "y") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, size long, class long, mix string, row string")
     whole = sorted(map(tuple, mixing.mix(docs).select("source", "size", "mix.target", "mix.copies").collect()))
-    monkeypatch.setattr(mixing, "CELL_ROWS", 20)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 2)
     out = mixing.mix(docs)
     assert out.columns == ["doc_id", "source", "size", "class", "row", "mix"]
     assert sorted(map(tuple, out.select("source", "size", "mix.target", "mix.copies").collect())) == whole
@@ -267,7 +267,7 @@ def test_packing_round_trip(spark, odd, empty):
 def test_packing_near_the_volume_bound(spark, monkeypatch):
     r = np.random.default_rng(12)
     lengths = np.minimum(2048, np.exp(r.normal(5.6, 1.1, 40_000)).astype(int) + 1).tolist() + [300] * 9000
-    monkeypatch.setattr(packing, "CELL_ROWS", 500)
+    monkeypatch.setattr(packing, "CELL_ROWS", 20)
     found = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     rows = packing.pack(found).select("sequence_id", "offset", "length").collect()
     spans = defaultdict(list)
