@@ -118,7 +118,7 @@ def per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
 def stored(df: DataFrame) -> DataFrame:
     """`df` written once as Parquet into a new shared folder, and read from there: later passes read only the columns they need."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
