@@ -12,24 +12,53 @@ R = Registry()
 C = F.col
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of each key the row with the highest version, with both kept beside it."""
+    return rows.groupBy("_key").agg(F.max_by("_row", "_version").alias("_row"), F.max("_version").alias("_version"))
+
+
+def _numbers(spark, place: str, begins: str, holds: str = "") -> list[int]:
+    """Numbers of the folders `begins`N of a place, in order, whose write (of `holds` within them) was finished."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path(place))] if files.exists(path(place)) else []
+    return sorted(int(n[len(begins) :]) for n in names if n.startswith(begins) and files.exists(path(f"{place}/{n}{holds}/_SUCCESS")))
+
+
+def _layers(spark, target: str, generation: int) -> tuple[str, list[str]]:
+    """Folder of a generation's whole rows, and those of the changes that came after it."""
+    place = f"{target}/generation={generation}"
+    return f"{place}/whole", [f"{place}/change-{n}" for n in _numbers(spark, place, "change-")]
+
+
 def stream_replace(source: DataFrame, target: str, checkpoint: str, keys: list[str], version: str) -> None:
     """Apply all that `source` (a stream) has: of each key the row with the highest `version` stays, whether it came in this batch or an
     earlier one (of equal versions the one that comes later).
 
-    The target is a folder of generations named by batch, of which the last two are kept; a batch that runs again writes its
-    generation again, so a lost executor or a restarted query changes nothing. Returns when the input is used up.
+    A batch writes its own rows only, as a change beside the whole rows of the last generation. Once the changes have as many bytes as
+    those, they are merged into a new generation, so the bytes written stay in proportion to the bytes that came, however large the
+    target is. The last two generations are kept. A batch that runs again starts from the generation it started from before and
+    writes the same folders, and folders whose write wasn't finished are not read, so a lost executor or a restarted query
+    changes nothing. Returns when the input is used up.
     """
     spark = source.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
 
     def apply(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("_batch", F.lit(1))
-        if number > 0:
-            rows = spark.read.parquet(f"{target}/generation={number - 1}").withColumn("_batch", F.lit(0)).unionByName(rows)
-        best = F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), F.struct(version, "_batch"))
-        rows.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*").select(*batch.columns).write.mode("overwrite").parquet(f"{target}/generation={number}")
-        if number > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/generation={number - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        order = F.struct(C(version).alias("version"), F.lit(number).alias("batch"))
+        rows = _newest(batch.select(F.struct(*keys).alias("_key"), order.alias("_version"), F.struct(*batch.columns).alias("_row")))
+        earlier = [g for g in _numbers(spark, target, "generation=", "/whole") if g < number]
+        if not earlier:
+            rows.write.mode("overwrite").parquet(f"{target}/generation={number}/whole")
+            return
+        rows.write.mode("overwrite").parquet(f"{target}/generation={earlier[-1]}/change-{number}")
+        whole, changes = _layers(spark, target, earlier[-1])
+        files = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+        size = lambda place: files.getContentSummary(path(place)).getLength()
+        if sum(map(size, changes)) >= size(whole):
+            _newest(spark.read.parquet(whole, *changes)).write.mode("overwrite").parquet(f"{target}/generation={number}/whole")
+            for old in earlier[:-1]:
+                files.delete(path(f"{target}/generation={old}"), True)
 
     query = source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -38,10 +67,10 @@ def stream_replace(source: DataFrame, target: str, checkpoint: str, keys: list[s
 
 
 def latest_generation(spark, target: str) -> DataFrame:
-    """What the last batch left."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    return spark.read.parquet(f"{target}/generation={max(int(n.split('=')[1]) for n in names)}")
+    """What the batches so far left: the last generation, with the changes after it."""
+    whole, changes = _layers(spark, target, _numbers(spark, target, "generation=", "/whole")[-1])
+    rows = spark.read.parquet(whole, *changes)
+    return (_newest(rows) if changes else rows).select("_row.*")
 
 
 def _replayed(t):
