@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, near_dedup, online_packing, packing, phrases, pii, quality_mil, quality_rules, substrings, topk
+from . import hard_negatives, language_id, line_dedup, mixing, near_dedup, online_packing, packing, phrases, pii, quality_mil, quality_rules, substrings, topk
 
-MODULES = (quality_rules, mixing, quality_mil, packing, near_dedup, substrings, pii, line_dedup, language_id, topk, online_packing, phrases)
+MODULES = (quality_rules, mixing, quality_mil, packing, near_dedup, substrings, pii, line_dedup, language_id, topk, online_packing, phrases, hard_negatives)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
 

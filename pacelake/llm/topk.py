@@ -28,13 +28,13 @@ SCALE, BLOCK, QUERY_BLOCK, FOCUS, SWITCH = 1024, 8192, 512, 16, 0.3
 BLOCK_BYTES = 8 << 20
 
 
-def integers(rows: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """(id, v, dim, norm) of the vectors that take part; v holds floor(scale * x)."""
+def integers(rows: DataFrame, vec_id: str, vector: str, scale: int = SCALE, carried: dict | None = None) -> DataFrame:
+    """(id, v, dim, norm) of the vectors that take part, and carried columns; v holds floor(scale * x)."""
     x = F.col(vector).cast("array<double>")
     whole = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     kept = rows.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & fine)
-    kept = kept.select(F.col(vec_id).cast("long").alias("id"), whole.alias("v"), F.size(vector).alias("dim"))
+    kept = kept.select(F.col(vec_id).cast("long").alias("id"), whole.alias("v"), F.size(vector).alias("dim"), *[c.alias(name) for name, c in (carried or {}).items()])
     return kept.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))))
 
 
