@@ -60,25 +60,46 @@ def _count(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return total[ends] - total[starts]
 
 
+def _repeats(data: np.ndarray, ls: np.ndarray, le: np.ndarray, lrow: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Lines of `used` that are equal to an earlier one of their text: told by hash, then byte by byte."""
+    out = np.zeros(len(ls), bool)
+    key = tx.range_hashes(data, ls[used], le[used])
+    order = np.lexsort((used, key, lrow[used]))
+    line, key = used[order], key[order]
+    before, after = line[:-1], line[1:]
+    met = (key[1:] == key[:-1]) & (lrow[before] == lrow[after])
+    before, after = before[met], after[met]
+    size = le[after] - ls[after]
+    alike = size == le[before] - ls[before]
+    if alike.all() and tx.same_ranges(data, ls[before], ls[after], size).all():
+        out[after] = True
+        return out
+    seen = set()  # two different lines have one hash: all are told by their bytes
+    for i in used.tolist():
+        body = (int(lrow[i]), data[ls[i] : le[i]].tobytes())
+        out[i] = body in seen
+        seen.add(body)
+    return out
+
+
 def judge(data: np.ndarray, at: np.ndarray, min_words: int, max_lost: float, phrase_words: int | None = None) -> tuple[dict[str, np.ndarray], tuple]:
     """The figures of each text of a block, and its lines with the verdict on each."""
     n = len(at) - 1
     ws, we, wrow = tx.words(data, at)
-    hashes = tx.Hashes(data)
     inside = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_LEAD[data] & ~tx.SPACE[data], out=inside[1:])
     n_words = np.bincount(wrow, minlength=n)
-    word_hash = hashes.of(ws, we)
     repeated = np.zeros(len(ws), bool)
     if len(ws) > 2:
-        whole = wrow[2:] == wrow[:-2]
-        key = tx.mix(tx.mix(tx.mix(word_hash[:-2]) + word_hash[1:-1]) + word_hash[2:] + wrow[2:].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[whole]
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        again = np.zeros(len(key), bool)
+        ids, distinct = tx.word_ids(data, ws, we)
+        whole = np.flatnonzero(wrow[2:] == wrow[:-2])
+        head, rest = ids[whole] * distinct + ids[whole + 1], wrow[whole] * distinct + ids[whole + 2]  # words themselves, no hashes
+        order = np.lexsort((rest, head))
+        same = (head[order][1:] == head[order][:-1]) & (rest[order][1:] == rest[order][:-1])
+        again = np.zeros(len(whole), bool)
         again[order[1:][same]] = True
         again[order[:-1][same]] = True
-        first = np.flatnonzero(whole)[again]
+        first = whole[again]
         for k in range(3):
             repeated[first + k] = True
 
@@ -86,12 +107,7 @@ def judge(data: np.ndarray, at: np.ndarray, min_words: int, max_lost: float, phr
     lo, hi = np.searchsorted(ws, ls), np.searchsorted(ws, le)
     per_line = hi - lo
     chars = inside[le] - inside[ls]
-    key = tx.mix(hashes.of(ls, le) + lrow.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    key = np.where(per_line > 0, key, np.arange(len(key), dtype=np.uint64))
-    order = np.argsort(key, kind="stable")
-    duplicate = np.zeros(len(key), bool)
-    duplicate[order[1:]] = key[order][1:] == key[order][:-1]
-    duplicate &= per_line > 0
+    duplicate = _repeats(data, ls, le, lrow, np.flatnonzero(per_line > 0))
 
     symbols = _IS_SYMBOL[data]
     s, up, low = (_count(x, ls, le) for x in (symbols, _UPPER[data], _LOWER[data]))
