@@ -38,8 +38,8 @@ from .components import components
 TREES, DEPTH, LEAST, WIDTH = 16, 8, 3, 4
 #: Pairs that one task confirms.
 TASK_PAIRS = 5_000
-#: Shingles in one part of a long run, and long runs that are few enough to be sent to all tasks.
-PART_ITEMS, FEW_RUNS = 100_000, 20_000
+#: Shingles and texts in one part of a long run, and long runs that are few enough to be sent to all tasks.
+PART_ITEMS, PART_TEXTS, FEW_RUNS = 100_000, 2_000, 20_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +47,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarra
     lower = tx.LOWER[data]
     starts, ends, rows = tx.words(lower, at)
     n = len(at) - 1
-    h = tx.Hashes(lower).of(starts, ends)
+    h = tx.range_hashes(lower, starts, ends)
     counts = np.bincount(rows, minlength=n)
     key = h.copy()
     for k in range(1, size):
@@ -221,9 +221,9 @@ def _few(runs: DataFrame) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(tree, prefix, id, n, c, total) of the texts in runs that hold several components."""
+    """(tree, prefix, id, n, c) of the texts in runs that hold several components."""
     named = members.join(label.select("id", "component"), "id", "left").select("tree", "prefix", "id", "n", F.coalesce("component", "id").alias("c"))
-    runs = named.groupBy("tree", "prefix").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("total")).where("low < high").drop("low", "high")
+    runs = named.groupBy("tree", "prefix").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").drop("low", "high")
     return tx.cut(named.join(_few(runs), ["tree", "prefix"]))
 
 
@@ -236,48 +236,76 @@ def _hub_pairs(open_: DataFrame, links: DataFrame) -> DataFrame:
     return met.select("n", "nh", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.when(low, F.col("c")).otherwise(F.col("ch")).alias("ca"), F.when(low, F.col("ch")).otherwise(F.col("c")).alias("cb"))
 
 
+def _shared(n: np.ndarray, rows: np.ndarray, code: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
+    """Which texts of `first` and `second` share one of their rarest shingles, of which a similar text must have one: flags by text and text.
+
+    Of n shingles, n - ceil(percent n / 100) + 1 are enough, whatever order all texts agree on.
+    """
+    often = np.bincount(code)
+    order = np.lexsort((code, often[code], rows))
+    rows, code = rows[order], code[order]
+    start = np.cumsum(np.bincount(rows, minlength=len(n))) - np.bincount(rows, minlength=len(n))
+    use = (np.arange(len(rows)) - start[rows] < n[rows] + (-percent * n[rows]) // 100 + 1) & (often[code] > 1)
+    rows, code = rows[use], code[use]
+    order = np.argsort(code, kind="stable")
+    rows, code = rows[order], code[order]
+    at_x, at_y = np.cumsum(first) - 1, np.cumsum(second) - 1
+    met = np.zeros((int(first.sum()), int(second.sum())), bool)
+    cuts = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])), len(code)) if len(code) else np.zeros(1, np.int64)
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        x = rows[i:j]
+        met[np.ix_(at_x[x[first[x]]], at_y[x[second[x]]])] = True
+    return met
+
+
 def _meet(percent: int):
-    """Links between components of one part of a run, or of two: (a, b) as components, by exact intersections of all pairs."""
+    """Links between components of one part of a run, or of two: (a, b) as components, by exact intersections of the pairs that sizes and rare
+    shingles leave. A part has PART_TEXTS texts on average, so the flags of two are a few MB."""
 
     def run(key, table):
-        comp, rank = table.column("c").to_numpy(), table.column("place").to_numpy()
+        comp, place = table.column("c").to_numpy(), table.column("place").to_numpy()
         items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
         n = np.array([len(x) for x in items])
-        first, second = rank == key[2].as_py(), rank == key[3].as_py()
-        rows = np.repeat(np.arange(len(n)), n)
-        _, column, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
-        shared = count > 1
-        code = (np.cumsum(shared) - 1)[column]
-        use = shared[column]
-        rows, code = rows[use], code[use]
-        order = np.argsort(code, kind="stable")
-        rows, code = rows[order], code[order]
+        first, second = place == key[2].as_py(), place == key[3].as_py()
         x, y = np.flatnonzero(first), np.flatnonzero(second)
-        at_x, at_y = (np.cumsum(m) - 1 for m in (first, second))
-        both = np.zeros((len(x), len(y)), np.float32)
-        step = max(256, (1 << 22) // max(1, len(n)))
-        for lo in range(0, int(shared.sum()), step):
-            i, j = np.searchsorted(code, [lo, lo + step])
-            r, c = rows[i:j], code[i:j] - lo
-            left, right = np.zeros((len(x), step), np.float32), np.zeros((len(y), step), np.float32)
-            left[at_x[r[first[r]]], c[first[r]]] = 1
-            right[at_y[r[second[r]]], c[second[r]]] = 1
-            both += left @ right.T
-        hit = (100 * both.astype(np.int64) >= percent * (n[x][:, None] + n[y][None, :] - both.astype(np.int64))) & (comp[x][:, None] != comp[y][None, :])
-        i, j = np.nonzero(hit)
-        links = np.unique(np.stack([np.minimum(comp[x[i]], comp[y[j]]), np.maximum(comp[x[i]], comp[y[j]])], 1), axis=0)
-        return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+        code = np.unique(np.concatenate(items), return_inverse=True)[1]
+        rows = np.repeat(np.arange(len(n)), n)
+        start = np.cumsum(n) - n
+        met = _shared(n, rows, code, first, second, percent)
+        mark, links = np.zeros(len(code), bool), set()
+        for i in np.flatnonzero(met.any(1)):
+            k = x[i]
+            others = y[met[i]]
+            others = others[(comp[others] != comp[k]) & (100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k]))]
+            if not len(others):
+                continue
+            own = code[start[k] : start[k] + n[k]]
+            mark[own] = True
+            at = np.cumsum(n[others]) - n[others]
+            both = np.add.reduceat(mark[code[np.repeat(start[others] - at, n[others]) + np.arange(int(n[others].sum()))]], at, dtype=np.int64)
+            mark[own] = False
+            links.update((min(comp[k], c), max(comp[k], c)) for c in comp[others[100 * both >= percent * (n[others] + n[k] - both)]].tolist())
+        a, b = zip(*sorted(links), strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def _all_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between components over all pairs of each run; parts hold PART_ITEMS shingles on average, or one text."""
-    parts = F.ceil(F.col("total") / PART_ITEMS).cast("int")
-    dealt = open_.select("tree", "prefix", "id", "c", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("place"))
+    """Links (a, b) between components over all pairs of each run whose sizes allow them. Texts are dealt by classes of size, of which
+    only neighbours can be similar, and these into parts of PART_ITEMS shingles and PART_TEXTS texts on average, or one text."""
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(max(100 / percent, 1.01))) + 1e-9).cast("int")
+    rows = open_.select("tree", "prefix", "id", "c", "n", level.alias("level"))
+    plan = rows.groupBy("tree", "prefix", "level").agg(F.greatest(F.ceil(F.sum("n") / PART_ITEMS), F.ceil(F.count("*") / PART_TEXTS)).cast("int").alias("parts"))
+    plan = tx.cut(plan)
+    # The classes that a text's class meets: its own, and the next ones to both sides.
+    near = plan.select("tree", "prefix", F.col("level").alias("to"), F.col("parts").alias("to_parts"), F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
+    met = near.join(plan, ["tree", "prefix", "level"])
+    name = lambda level, part: F.col(level).cast("long") * F.lit(1 << 32) + part
     sets = tx.cut(_sets(texts.join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), size))
-    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    sent = other.select("tree", "prefix", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place", "id", "c").join(sets, "id").drop("id")
+    dealt = rows.join(met, ["tree", "prefix", "level"]).select("tree", "prefix", "id", "c", name("level", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("place"), F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)).alias("other"), "to")
+    dealt = dealt.withColumn("other", name("to", F.col("other")))
+    sent = dealt.select("tree", "prefix", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place", "id", "c").join(sets, "id").drop("id")
     return sent.groupBy("tree", "prefix", "i", "j").applyInArrow(_meet(percent), "a long, b long").distinct()
 
 

@@ -565,3 +565,83 @@ def test_top_k_blocks_by_bytes_and_repeated_ids(spark, monkeypatch):
     for q in (0, 100):
         v = dict(ints[:300])[q]
         assert [got[q, k] for k in range(1, 11)] == sorted((int(v @ x) for i, x in ints if i != q), reverse=True)[:10]
+
+
+def thue_morse(k):
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_and_lines_that_polynomials_confuse(spark):
+    one, other = thue_morse(11)
+    r = near_dedup.near_duplicates(spark.createDataFrame([(1, one), (2, other), (3, f"{one} x"), (4, f"{other} x")], "doc_id long, text string"), size=2).collect()
+    assert all(x.kept and x.component_id == x.doc_id for x in r)
+    rows = quality_rules.clean_lines(spark.createDataFrame([(1, f"{one}\n{other}\n{one}"), (2, f"{one} b c {other} b c {one} b c")], "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_dup_lines, x.n_repeat_words) for x in rows} == {1: (1, 0), 2: (0, 6)}
+
+
+def test_equal_hashes_are_told_by_bytes(monkeypatch):
+    from pacelake.llm import text as tx
+
+    monkeypatch.setattr(tx, "range_hashes", lambda data, starts, ends, seed=0: np.zeros(len(starts), np.uint64))
+    data, at = tx.utf8(__import__("pyarrow").array(["x y\nx z\nx y\nlonger\nx z\n\n", "x y", None, "x z\nx z"]))
+    figures, _ = quality_rules.judge(data, at, 1, 0.5)
+    assert figures["n_dup_lines"].tolist() == [2, 0, 0, 1]
+
+
+def test_range_hashes_depend_on_bytes_and_place():
+    from pacelake.llm import text as tx
+
+    r = np.random.default_rng(2)
+    data = r.integers(0, 3, 4000).astype(np.uint8)
+    starts = r.integers(0, 3900, 3000)
+    ends = starts + r.integers(0, 60, 3000)
+    h = tx.range_hashes(data, starts, ends)
+    by = defaultdict(set)
+    for k in range(3000):
+        by[data[starts[k] : ends[k]].tobytes()].add(int(h[k]))
+    assert all(len(x) == 1 for x in by.values()) and len({next(iter(x)) for x in by.values()}) == len(by)
+    assert (tx.range_hashes(data, starts, ends, 7) != h).all()
+    size = np.minimum(ends - starts, 40)
+    other = r.integers(0, 3900, 3000)
+    for step in (1, 37, 1 << 20):
+        same = tx.same_ranges(data, starts[:300], other[:300], size[:300], step)
+        assert same.tolist() == [bytes(data[a : a + n]) == bytes(data[b : b + n]) for a, b, n in zip(starts[:300], other[:300], size[:300], strict=True)]
+
+
+def test_all_pairs_of_a_crowd_in_bounded_memory():
+    """20,000 texts of five shingles of one template, in parts as they are dealt."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    meet = near_dedup._meet(80)
+    tracemalloc.start()
+    for places in ((0, 0), (0, 1)):
+        sets = [np.sort(np.concatenate([[1, 2, 3], r.integers(10, 1 << 40, 2)]).astype(np.uint64)) for _ in range(4000)]
+        sets[3999] = np.sort(np.append(sets[0], np.uint64(5)))  # five of six shared
+        place = np.array([p for p in places for _ in range(2000)])
+        key = (pa.scalar(0), pa.scalar(b""), pa.scalar(places[0]), pa.scalar(places[1]))
+        out = meet(key, pa.table({"c": pa.array(np.arange(4000)), "place": pa.array(place), "items": pa.array([x.tobytes() for x in sets], pa.binary())}))
+        assert out.to_pylist() == [{"a": 0, "b": 3999}]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_meet_finds_all_pairs(percent):
+    import pyarrow as pa
+
+    r = np.random.default_rng(percent)
+    base = [r.integers(0, 400, 30) for _ in range(6)]
+    sets = [np.unique(np.where(r.random(30) < r.choice([0.02, 0.1, 0.4]), r.integers(0, 2000, 30), base[k % 6])).astype(np.uint64) for k in range(240)]
+    place = np.arange(240) % 2
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        keep = (place == i) | (place == j)
+        table = pa.table({"c": pa.array(np.flatnonzero(keep)), "place": pa.array(place[keep]), "items": pa.array([sets[k].tobytes() for k in np.flatnonzero(keep)], pa.binary())})
+        got = {(x["a"], x["b"]) for x in near_dedup._meet(percent)((None, None, pa.scalar(i), pa.scalar(j)), table).to_pylist()}
+        want = {(min(a, b), max(a, b)) for a in np.flatnonzero(place == i).tolist() for b in np.flatnonzero(place == j).tolist() if a != b and 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))}
+        assert got == want
