@@ -23,6 +23,36 @@ def grid_cell(lat: Column, lon: Column, step: float) -> Column:
     return F.floor(lat / step).cast("long") * 100000 + F.floor(lon / step).cast("long")
 
 
+#: Shifts and masks that lay 32 bits on every other bit of 64.
+_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def z_cell(lat: Column, lon: Column, step: float) -> Column:
+    """Hierarchical code of the grid cell of a coordinate: the bits of its row and column, interleaved. The cell of twice the step that
+    holds it is `z_parent` of it, so cells near each other share leading bits. Null where a coordinate is missing."""
+
+    def spread(x: Column) -> Column:
+        for shift, mask in _SPREAD:
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    row, column = (F.floor((x + edge) / step).cast("long") for x, edge in ((lat, 90), (lon, 180)))
+    return F.shiftleft(spread(row), 1).bitwiseOR(spread(column))
+
+
+def z_parent(cell: Column, levels: int = 1) -> Column:
+    """The cell that holds `cell`, `levels` levels up."""
+    return F.shiftright(cell, 2 * levels)
+
+
+def z_cell_sql(lat: str, lon: str, step: float) -> str:
+    """`z_cell` as SQL text for comparison."""
+
+    row, column = (f"cast(floor(({x} + {edge}) / {step}) as bigint)" for x, edge in ((lat, 90), (lon, 180)))
+    pick = lambda n: f"list_reduce([{n}, 16, 8, 4, 2, 1], lambda a, s: (a | (a << s)) & case s when 16 then {_SPREAD[0][1]} when 8 then {_SPREAD[1][1]} when 4 then {_SPREAD[2][1]} when 2 then {_SPREAD[3][1]} else {_SPREAD[4][1]} end)"
+    return f"(({pick(row)} << 1) | {pick(column)})"
+
+
 def wkt_point(lat: Column, lon: Column) -> Column:
     """Well-known text of a valid coordinate, else null."""
     return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.concat(F.lit("POINT ("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import Registry
+from ..session import cut
+from .distributed import nearest_value_ranged, quantiles
 from .joins import band_join, interval_overlap, nearest_place, nearest_value, trailing_sum
 
 R = Registry()
@@ -142,6 +144,9 @@ R.query("JN17_nearest_place", """with p as (select vec_id, 50 + cast(embedding[1
 R.query("JN18_nearest_value", """with r as (select run_id, cast(record_index as double) as p, cast(k as double) as v from {vrec} r where k % 3 = 0), a as (select run_id, cast(record_index as double) + 0.4 as p from {vrec} r)
  select run_id, p, v from (select a.run_id, a.p, case when abs(r.p - a.p) <= 1.5 then r.v end as v, row_number() over (partition by a.run_id, a.p order by abs(r.p - a.p) nulls last, r.p) as rn from a left join r on a.run_id = r.run_id) x where rn = 1""")(
     lambda t: nearest_value(t.vrec.where("k % 3 = 0").select("run_id", C("record_index").cast("double").alias("p"), C("k").cast("double").alias("v")), t.vrec.select("run_id", (C("record_index").cast("double") + 0.4).alias("p")), "run_id", "p", "v", 1.5))
+_JN18 = R.oracles["JN18_nearest_value"]
+R.query("JN18_nearest_value_ranged", _JN18)(
+    lambda t: nearest_value_ranged(t.vrec.where("k % 3 = 0").select("run_id", C("record_index").cast("double").alias("p"), C("k").cast("double").alias("v")), t.vrec.select("run_id", (C("record_index").cast("double") + 0.4).alias("p")), "run_id", "p", "v", 1.5))
 R.query("JN19_using", "select l_orderkey as k, l_linenumber, o_totalprice from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1")(
     lambda t: t.lineitem.where("l_linenumber = 1").select(C("l_orderkey").alias("k"), "l_linenumber").join(t.orders.select(C("o_orderkey").alias("k"), "o_totalprice"), "k"))
 R.query("JN19_using_whole", "select l_orderkey as k, l_linenumber, o_totalprice from lineitem join orders on l_orderkey = o_orderkey")(
@@ -181,9 +186,11 @@ R.query("AG12_any", "select run_id, bool_or(heart_rate > 160) as any_high, max(c
     lambda t: t.vrec.groupBy("run_id").agg(F.bool_or(C("heart_rate") > 160).alias("any_high"), (F.max(F.when(C("k") > 50, 1).otherwise(0)) == 1).alias("any_k")))
 R.query("AG13_having", "select o_custkey, count(*) as n from orders group by o_custkey having count(*) > 12")(lambda t: t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 12"))
 R.query("AG14_percentile_observed", "select o_orderpriority, quantile_disc(o_totalprice, 0.5) as median, quantile_disc(o_totalprice, 0.25) as q1 from orders group by o_orderpriority")(
-    lambda t: t.orders.groupBy("o_orderpriority").agg(F.percentile_approx("o_totalprice", 0.5, 1000000).alias("median"), F.percentile_approx("o_totalprice", 0.25, 1000000).alias("q1")))
+    lambda t: quantiles(t.orders, ["o_orderpriority"], "o_totalprice", {"median": 0.5, "q1": 0.25}, discrete=True).drop("n"))
 R.query("AG15_percentile_exact", "select o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 6) as median, round(quantile_cont(o_totalprice, 0.75), 6) as q3 from orders group by o_orderpriority")(
-    lambda t: t.orders.groupBy("o_orderpriority").agg(F.round(F.median("o_totalprice"), 6).alias("median"), F.round(F.percentile("o_totalprice", 0.75), 6).alias("q3")))
+    lambda t: quantiles(t.orders, ["o_orderpriority"], "o_totalprice", {"median": 0.5, "q3": 0.75}).select("o_orderpriority", F.round("median", 6).alias("median"), F.round("q3", 6).alias("q3")))
+R.query("AG15_percentile_whole", "select count(l_extendedprice) as n, round(quantile_cont(l_extendedprice, 0.5), 6) as median, round(quantile_cont(l_extendedprice, 0.9), 6) as p90, round(quantile_cont(l_extendedprice, 0.999), 6) as p999 from lineitem")(
+    lambda t: quantiles(t.lineitem, [], "l_extendedprice", {"median": 0.5, "p90": 0.9, "p999": 0.999}).select("n", *[F.round(c, 6).alias(c) for c in ("median", "p90", "p999")]))
 R.query("AG16_stddev", "select event_type, round(stddev_samp(value), 6) as sd, round(avg(value), 6) as mean from events group by event_type")(
     lambda t: t.events.groupBy("event_type").agg(F.round(F.stddev_samp("value"), 6).alias("sd"), F.round(F.avg("value"), 6).alias("mean")))
 R.query("AG17_group_expression", "select case when o_totalprice > 200000 then 'big' else 'small' end as size, cast(date_trunc('month', o_orderdate) as date) as m, count(*) as n from orders group by 1, 2")(
@@ -202,8 +209,49 @@ def completeness(df, columns: list[str]):
 _COLS = ("heart_rate", "k", "record_distance_m", "running_cadence")
 R.query("AG18_completeness", " union all ".join(f"select '{c}' as column_name, count({c}) as present, count(distinct {c}) as n_distinct, count(*) - count({c}) as missing, round(100.0 * count({c}) / count(*), 4) as pct, case when 100.0 * count({c}) / count(*) > 80 then 'reliable' when 100.0 * count({c}) / count(*) > 20 then 'partial' when count({c}) > 0 then 'sparse' else 'absent' end as reliability from {{vrec}} r" for c in _COLS))(
     lambda t: completeness(t.vrec, list(_COLS)))
+
+
+def leaf_paths(df: DataFrame, kind: str, ident: str, text: str) -> DataFrame:
+    """(kind, path, n): how many documents of a kind hold each leaf path: `$.a.b` for members, `$.a[]` for items of lists.
+
+    Leaves are values, nulls and empty objects and lists. Documents are walked a level at a time, each level on all
+    documents at once, until none is nested deeper. Text that isn't JSON, and null text, holds no path.
+    """
+    front = df.select(kind, ident, F.lit("$").alias("path"), C(text).alias("_text"))
+    levels = []
+    while True:
+        front = cut(front.withColumn("_v", F.try_parse_json("_text")).where("_v is not null").withColumn("_shape", F.schema_of_variant("_v")).select(kind, ident, "path", F.to_json("_v").alias("_text"), "_shape"))
+        nested = (C("_shape").startswith("OBJECT") | C("_shape").startswith("ARRAY")) & ~C("_text").isin("{}", "[]")
+        levels.append(front.where(~nested).select(kind, "path", ident))
+        inner = front.where(nested).withColumn("_v", F.parse_json("_text"))
+        if inner.isEmpty():
+            break
+        each = inner.lateralJoin(df.sparkSession.tvf.variant_explode(C("_v").outer()))
+        front = each.select(kind, ident, F.concat("path", F.when(C("key").isNull(), "[]").otherwise(F.concat(F.lit("."), "key"))).alias("path"), F.to_json("value").alias("_text"))
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    return found.groupBy(kind, "path").agg(F.countDistinct(ident).alias("n"))
+
+
+_NESTED = """(select event_type, event_id, concat('{"props":', props, ',"who":{"id":', user_id, ',"tags":[', case event_id % 4 when 0 then '' when 1 then '1, 2' when 2 then '{"deep": [true, null, {"x": 1.5}]}, "t"' else '[], [[3]]' end, '],"seen":{"at":{"week":', event_id % 53, '}}},"none":',
+ case when event_id % 5 = 0 then '{}' when event_id % 5 = 1 then 'null' else '{"value":"a.b"}' end, '}') as doc from events)"""
+
+
+def _nested(events: DataFrame) -> DataFrame:
+    """Events as documents that nest objects and lists."""
+    k = C("event_id") % 4
+    tags = F.when(k == 0, "").when(k == 1, "1, 2").when(k == 2, '{"deep": [true, null, {"x": 1.5}]}, "t"').otherwise("[], [[3]]")
+    none = F.when(C("event_id") % 5 == 0, "{}").when(C("event_id") % 5 == 1, "null").otherwise('{"value":"a.b"}')
+    parts = ['{"props":', C("props"), ',"who":{"id":', C("user_id"), ',"tags":[', tags, '],"seen":{"at":{"week":', C("event_id") % 53, '}}},"none":', none, "}"]
+    return events.select("event_type", "event_id", F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts]).alias("doc"))
+
+
 R.query("AG19_json_paths", "select event_type, key as path, count(distinct event_id) as n from (select event_type, event_id, unnest(json_keys(props)) as key from events) x group by event_type, key")(
-    lambda t: t.events.select("event_type", "event_id", F.explode(F.json_object_keys("props")).alias("path")).groupBy("event_type", "path").agg(F.countDistinct("event_id").alias("n")))
+    lambda t: leaf_paths(t.events, "event_type", "event_id", "props").withColumn("path", F.substring_index("path", ".", -1)))
+R.query("AG19_leaf_paths", f"""select event_type, path, count(distinct event_id) as n from (select event_type, event_id, regexp_replace(fullkey, '\\[[0-9]+\\]', '[]', 'g') as path from {_NESTED} d, json_tree(d.doc) x
+ where x.type not in ('OBJECT', 'ARRAY') or (x.type = 'OBJECT' and x.value::varchar = '{{}}') or (x.type = 'ARRAY' and x.value::varchar = '[]')) y group by event_type, path""")(
+    lambda t: leaf_paths(_nested(t.events), "event_type", "event_id", "doc"))
 R.query("AG20_coverage", "select x.kind, count(event_id) as n from (values ('click'), ('purchase'), ('absent')) x(kind) left join events on event_type = x.kind group by x.kind")(
     lambda t: t.spark.createDataFrame([("click",), ("purchase",), ("absent",)], "kind string").join(t.events.groupBy("event_type").agg(F.count("*").alias("c")), C("kind") == C("event_type"), "left").select("kind", F.coalesce("c", F.lit(0)).cast("long").alias("n")))
 R.query("AG21_regression", "select round(regr_slope(o_totalprice, x), 6) as slope, round(regr_intercept(o_totalprice, x), 4) as intercept, round(regr_intercept(o_totalprice, x) + regr_slope(o_totalprice, x) * max(x), 4) as at_end from (select o_totalprice, cast(date_diff('day', date '1995-01-01', cast(o_orderdate as date)) as double) as x from orders) y")(

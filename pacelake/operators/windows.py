@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..registry import Registry
 from ..session import cut
+from .distributed import running
 
 R = Registry()
 C = F.col
@@ -56,6 +57,8 @@ R.query("WN08_first_value", "select event_id, first_value(event_type) over (part
     lambda t: t.vrec.select("event_id", F.first("event_type").over(RUN().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first_type")))
 R.query("WN09_last_known_before", f"select event_id, last_value(heart_rate ignore nulls) {_RW} rows between unbounded preceding and 1 preceding) as hr from {{vrec}} r")(
     lambda t: t.vrec.select("event_id", F.last("heart_rate", True).over(RUN().rowsBetween(Window.unboundedPreceding, -1)).alias("hr")))
+R.query("WN09_last_known_ranged", R.oracles["WN09_last_known_before"])(
+    lambda t: running(t.vrec, ["run_id"], ["record_index"], {"hr": ("last", "heart_rate", False)}).select("event_id", "hr"))
 R.query("WN10_last_value", f"select event_id, last_value(k) {_RW} rows between unbounded preceding and unbounded following) as last_k from {{vrec}} r")(
     lambda t: t.vrec.select("event_id", F.last_value("k").over(RUN().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last_k")))
 R.query("WN11_trailing_rows", "select o_orderkey, " + ", ".join(f"cast(sum(cast(o_totalprice as decimal(18,2))) {_W} rows between {n - 1} preceding and current row) as double) as sum{n}" for n in (4, 7, 12, 28)) + f", round(avg(o_totalprice) {_W} rows between 3 preceding and current row), 4) as avg4 from orders")(
@@ -79,6 +82,10 @@ R.query("WN14_range_seconds", f"select event_id, count(heart_rate) {_E} 900 prec
 R.query("WN15_centred", f"select event_id, round(avg(altitude_m) {_RW} rows between 2 preceding and 2 following), 6) as smooth from {{vrec}} r")(lambda t: t.vrec.select("event_id", F.round(F.avg("altitude_m").over(RUN().rowsBetween(-2, 2)), 6).alias("smooth")))
 R.query("WN16_running", f"select event_id, max(record_distance_m) {_RW}) as monotone, cast(sum(k) {_RW}) as bigint) as total_k, count(heart_rate) {_RW}) as n from {{vrec}} r")(
     lambda t: (lambda w: t.vrec.select("event_id", F.max("record_distance_m").over(w).alias("monotone"), F.sum("k").over(w).alias("total_k"), F.count("heart_rate").over(w).alias("n")))(RUN().rowsBetween(Window.unboundedPreceding, 0)))
+R.query("WN16_running_ranged", R.oracles["WN16_running"])(
+    lambda t: running(t.vrec, ["run_id"], ["record_index"], {"monotone": ("max", "record_distance_m", True), "total_k": ("sum", "k", True), "n": ("count", "heart_rate", True)}).select("event_id", "monotone", "total_k", "n"))
+R.query("WN16_running_whole", "select event_id, max(value) over (order by ts, event_id) as highest, cast(sum(cast(json_extract_string(props, '$.k') as int)) over (order by ts, event_id) as bigint) as total_k, last_value(case when event_type = 'error' then value end ignore nulls) over (order by ts, event_id rows between unbounded preceding and 1 preceding) as last_error from events")(
+    lambda t: running(t.events.select("event_id", "ts", "value", F.get_json_object("props", "$.k").cast("int").alias("k"), F.when(C("event_type") == "error", C("value")).alias("e")), [], ["ts", "event_id"], {"highest": ("max", "value", True), "total_k": ("sum", "k", True), "last_error": ("last", "e", False)}).select("event_id", "highest", "total_k", "last_error"))
 R.query("WN17_partition_total", "select event_id, count(*) over (partition by run_id) as n, cast(sum(k) over (partition by run_id) as bigint) as total from {vrec} r")(
     lambda t: (lambda w: t.vrec.select("event_id", F.count("*").over(w).alias("n"), F.sum("k").over(w).alias("total")))(Window.partitionBy("run_id")))
 R.query("WN18_prior_history", f"select o_orderkey, count(*) {_W} rows between unbounded preceding and 1 preceding) as prior_n, round(avg(o_totalprice) {_W} rows between unbounded preceding and 1 preceding), 4) as prior_mean from orders")(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import exact_mean, grid_cell
+from ..functions.scalars import exact_mean, z_cell, z_cell_sql, z_parent
 from ..operators.joins import band_join, nearest_place
 from ..registry import Registry
 from ..session import cut
@@ -15,52 +15,80 @@ R = Registry()
 C = F.col
 
 
-def observations(records: DataFrame, runs: DataFrame, bucket_m: float = 250.0) -> DataFrame:
-    """One row a run: cells of the first record in each distance bucket in order, distance bucket of half kilometres, start and end
-    cell, and the path as text. Buckets whose first record has no cell are left out."""
+#: Edge of the finer cells in degrees; cells of the path are one level up.
+FINE = 0.002
+
+
+def observations(records: DataFrame, runs: DataFrame, bucket_m: float = 250.0, sizes: float = FINE) -> DataFrame:
+    """One row a run: the first record's cell in each distance bucket in order, at two levels of one hierarchy. Start, end and signature
+    are of the finer level, the path that similarity compares is of the coarser one, so that nearby tracks share it. Buckets
+    whose first record has no cell are left out, as are runs without a distance."""
     at = F.struct("record_distance_m", "record_index")
-    cell = grid_cell(C("lat"), C("lon"), 0.002)
-    firsts = records.where("record_distance_m is not null").groupBy("run_id", F.floor(C("record_distance_m") / bucket_m).cast("long").alias("pos")).agg(F.min_by(cell, at).alias("cell"), F.min(at).alias("_at")).where("cell is not null")
-    paths = firsts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", "cell"))).alias("path"))
+    cell = z_cell(C("lat"), C("lon"), sizes)
+    position = F.floor(C("record_distance_m") / bucket_m).cast("long").alias("pos")
+    firsts = records.where("record_distance_m is not null").groupBy("run_id", position).agg(F.min_by(cell, at).alias("fine"))
+    path = F.array_sort(F.collect_list(F.struct("pos", "fine", z_parent(C("fine")).alias("cell"))))
+    paths = firsts.where("fine is not null").groupBy("run_id").agg(path.alias("path"))
     bucket = F.round(C("distance_km") * 2) / 2
-    return paths.join(runs.select("run_id", "subject", "activity_date", "distance_km"), "run_id").select(
-        "run_id", "subject", "activity_date", "distance_km", bucket.alias("bucket"), F.size("path").cast("long").alias("n"), C("path")[0]["cell"].alias("start_cell"), F.element_at("path", -1)["cell"].alias("end_cell"),
-        F.array_join(F.transform("path", lambda p: p["cell"].cast("string")), ">").alias("signature"), "path",
+    signature = F.array_join(F.transform("path", lambda p: p["fine"].cast("string")), ">")
+    return paths.join(runs.select("run_id", "subject", "activity_date", "distance_km"), "run_id").where("distance_km > 0").select(
+        "run_id", "subject", "activity_date", "distance_km", bucket.alias("bucket"), F.size("path").cast("long").alias("n"),
+        C("path")[0]["fine"].alias("start_cell"), F.element_at("path", -1)["fine"].alias("end_cell"), signature.alias("signature"),
+        F.transform("path", lambda p: F.struct(p["pos"].alias("pos"), p["cell"].alias("cell"))).alias("path"),
     )
 
 
-OBS = """(select p.run_id, v.subject, v.activity_date, v.distance_km, round(v.distance_km * 2) / 2 as bucket, n, start_cell, end_cell, signature from
- (select run_id, count(*) as n, max(case when f = 1 then cell end) as start_cell, max(case when l = 1 then cell end) as end_cell, string_agg(cast(cell as varchar), '>' order by pos) as signature from
- (select *, row_number() over (partition by run_id order by pos) as f, row_number() over (partition by run_id order by pos desc) as l from (select run_id, pos, cell from (select *, row_number() over (partition by run_id, pos order by record_distance_m, record_index) as rn from
- (select *, cast(floor(record_distance_m / 250.0) as bigint) as pos, cast(floor(lat / 0.002) as bigint) * 100000 + cast(floor(lon / 0.002) as bigint) as cell from {vgeo} g where record_distance_m is not null) a) b where rn = 1 and cell is not null) c) d group by run_id) p join {vrun} v on p.run_id = v.run_id)"""
-PTS = """(select run_id, pos, cell from (select *, row_number() over (partition by run_id, pos order by record_distance_m, record_index) as rn from
- (select *, cast(floor(record_distance_m / 250.0) as bigint) as pos, cast(floor(lat / 0.002) as bigint) * 100000 + cast(floor(lon / 0.002) as bigint) as cell from {vgeo} g where record_distance_m is not null) a) b where rn = 1 and cell is not null)"""
+_FIRSTS = f"""(select run_id, pos, fine, fine >> 2 as cell from (select *, row_number() over (partition by run_id, pos order by record_distance_m, record_index) as rn from
+ (select *, cast(floor(record_distance_m / 250.0) as bigint) as pos, {z_cell_sql("lat", "lon", FINE)} as fine from {{vgeo}} g where record_distance_m is not null) a) b where rn = 1 and fine is not null)"""
+OBS = f"""(select p.run_id, v.subject, v.activity_date, v.distance_km, round(v.distance_km * 2) / 2 as bucket, n, start_cell, end_cell, signature, path from
+ (select run_id, count(*) as n, max(case when f = 1 then fine end) as start_cell, max(case when l = 1 then fine end) as end_cell,
+  string_agg(cast(fine as varchar), '>' order by pos) as signature, string_agg(cast(cell as varchar), '>' order by pos) as path from
+ (select *, row_number() over (partition by run_id order by pos) as f, row_number() over (partition by run_id order by pos desc) as l from {_FIRSTS} c) d group by run_id) p join {{vrun}} v on p.run_id = v.run_id where v.distance_km > 0)"""
+PTS = f"(select run_id, pos, cell from {_FIRSTS} q)"
 
 
 def observed(t) -> DataFrame:
     return observations(t.vgeo, t.vrun)
 
 
-R.query("MD22_route_observations", f"select * from {OBS} o")(lambda t: observed(t).drop("path"))
+R.query("MD22_route_observations", f"select * from {OBS} o")(
+    lambda t: observed(t).withColumn("path", F.array_join(F.transform("path", lambda p: p["cell"].cast("string")), ">")))
 KEYS = ("bucket", "start_cell")
 
 
-def similarity(obs: DataFrame, least: float = 0.9, keys: tuple[str, ...] = ("bucket", "start_cell", "end_cell")) -> DataFrame:
-    """Edges both ways between runs with equal keys and distances within a tenth, by the share of each path's cells that the other
-    has at the same place or next to it; the lesser share counts.
+def _points(obs: DataFrame, *more: str) -> DataFrame:
+    return obs.select("run_id", *more, F.explode("path").alias("p")).select("run_id", *more, C("p.pos").alias("pos"), C("p.cell").alias("cell"))
+
 
-    Candidate pairs join on the keys (skewed keys are split at run time); matches are an equality join on cell and place.
+def candidate_pairs(obs: DataFrame, least: float, keys: tuple[str, ...]) -> DataFrame:
+    """(l_id, r_id, l_n, r_n): pairs of runs with equal keys and distances within a tenth that can reach the similarity.
+
+    An inverted index over the rarest cells of each path: a pair at `least` matches that share of both paths, so the rarest
+    cell that is matched stands among the first n - ceil(least n) + 1 of each path in order of rarity (of a cell among
+    the runs of its keys). Only these are joined, so many runs from one start meet where their ways are rare, not all of them.
     """
-    side = lambda p: obs.select(C("run_id").alias(p + "_id"), C("distance_km").alias(p + "_km"), C("n").alias(p + "_n"), *[C(k).alias(f"{p}_{k}") for k in keys])
-    on = [C(f"l_{k}") == C(f"r_{k}") for k in keys] + [C("l_id") < C("r_id"), F.abs(C("l_km") - C("r_km")) <= 0.10 * F.least("l_km", "r_km")]
-    pairs = side("l").join(side("r"), on).select("l_id", "r_id", "l_n", "r_n")
-    points = obs.select("run_id", F.explode("path").alias("p")).select("run_id", C("p.pos").alias("pos"), C("p.cell").alias("cell"))
+    points = _points(obs, *keys, "distance_km", "n")
+    often = points.groupBy(*keys, "cell").agg(F.countDistinct("run_id").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("often", "cell", "pos"))
+    needed = C("n") - F.ceil(C("n") * F.lit(least) - 1e-9) + 1
+    probes = points.join(often, [*keys, "cell"]).withColumn("_rank", rank).where(C("_rank") <= needed).select("run_id", *keys, "distance_km", "n", "cell").distinct()
+    side = lambda p: probes.select(C("run_id").alias(p + "_id"), C("distance_km").alias(p + "_km"), C("n").alias(p + "_n"), *[C(k).alias(f"{p}_{k}") for k in (*keys, "cell")])
+    on = [C(f"l_{k}") == C(f"r_{k}") for k in (*keys, "cell")] + [C("l_id") < C("r_id"), F.abs(C("l_km") - C("r_km")) <= 0.10 * F.least("l_km", "r_km")]
+    return side("l").join(side("r"), on).select("l_id", "r_id", "l_n", "r_n").distinct()
+
+
+def similarity(obs: DataFrame, least: float = 0.9, keys: tuple[str, ...] = ("bucket", "start_cell", "end_cell")) -> DataFrame:
+    """Edges both ways between runs with equal keys and distances within a tenth, by the share of each path's cells that the other
+    has at the same place or next to it; the lesser share counts. Candidates come from rare cells; of these, matches are an
+    equality join on cell and place."""
+    pairs, points = candidate_pairs(obs, least, keys), _points(obs)
     left = pairs.join(points, C("l_id") == C("run_id")).drop("run_id")
     met = band_join(left, points.select(C("run_id").alias("r_id"), "pos", "cell"), ["r_id", "cell"], "pos", 1, "o_")
     shares = met.groupBy("l_id", "r_id", "l_n", "r_n").agg(F.countDistinct("pos").alias("a"), F.countDistinct("o_pos").alias("b"))
     score = F.least(C("a") / C("l_n"), C("b") / C("r_n"))
     found = shares.select("l_id", "r_id", score.alias("similarity")).where(C("similarity") >= least)
-    return found.select(C("l_id").alias("run_id"), C("r_id").alias("connected_run_id"), "similarity").unionByName(found.select(C("r_id").alias("run_id"), C("l_id").alias("connected_run_id"), "similarity"))
+    both = F.array(*[F.struct(C(a).alias("run_id"), C(b).alias("connected_run_id"), "similarity") for a, b in (("l_id", "r_id"), ("r_id", "l_id"))])
+    return found.select(F.inline(both))
 
 
 _LEAST = 0.5

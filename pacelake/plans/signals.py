@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.distributed import quantiles, sliding_quantiles
 from ..operators.joins import trailing_sum
 from ..registry import Registry
 from . import segments, telemetry
@@ -106,9 +107,11 @@ def fitness_signals(runs: DataFrame) -> DataFrame:
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     per_day = runs.groupBy("subject", "activity_date").agg(F.sum("distance").alias("_dist"))
     load = per_day.select("subject", "activity_date", F.coalesce(trailing_sum(per_day, "subject", "activity_date", "_dist", 7, 1).cast("double"), F.lit(0.0)).alias("prior_7d"))
-    quart = {f"recovery_{n}": F.percentile_approx("_rec", q, 10000).over(same) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    quartiles = sliding_quantiles(rows, ["subject", "_band"], "_day", "_rec", {"recovery_q1": 0.25, "recovery_median": 0.5, "recovery_q3": 0.75}).drop("n")
+    quartiles = quartiles.select(C("subject").alias("_qs"), C("_band").alias("_qb"), C("_day").alias("_qd"), "recovery_q1", "recovery_median", "recovery_q3")
+    rows = rows.join(quartiles, C("subject").eqNullSafe(C("_qs")) & C("_band").eqNullSafe(C("_qb")) & (C("_day") == C("_qd")), "left").drop("_qs", "_qb", "_qd")
     rows = rows.join(load, ["subject", "activity_date"]).withColumns({
-        "efficiency_4": F.avg("efficiency").over(along.rowsBetween(-3, 0)), "recovery_4": F.avg("recovery_drop").over(along.rowsBetween(-3, 0)), "recovery_count": F.count("_rec").over(same), **quart, "recovery_min": F.min("_rec").over(same), "recovery_max": F.max("_rec").over(same),
+        "efficiency_4": F.avg("efficiency").over(along.rowsBetween(-3, 0)), "recovery_4": F.avg("recovery_drop").over(along.rowsBetween(-3, 0)), "recovery_count": F.count("_rec").over(same), "recovery_min": F.min("_rec").over(same), "recovery_max": F.max("_rec").over(same),
         "_expected": F.avg("economy").over(prior), "_n": F.count("economy").over(prior), "previous_economy": F.last("economy", True).over(before), "previous_prior_7d": F.last("prior_7d", True).over(before),
     })
     enough = C("recovery_count") >= 4
@@ -183,8 +186,10 @@ def latest_baseline(points: DataFrame, value: str, days: int = 90, least: int =
     """Exact quartiles of a subject's values in the days before its latest one; null below `least` values."""
     last = points.where(C(value).isNotNull()).withColumn("_latest", F.max("activity_date").over(Window.partitionBy("subject")))
     old = (C("activity_date") < C("_latest")) & (F.datediff("_latest", "activity_date") <= days)
-    n = F.count(F.when(old, C(value)))
-    return last.groupBy("subject").agg(n.alias("n"), *[F.round(F.when(n >= least, F.percentile(F.when(old, C(value)), q)), 6).alias(name) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    known = quantiles(last.where(old), ["subject"], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumnRenamed("n", "_n")
+    names = last.select("subject").distinct().join(known.withColumnRenamed("subject", "_s"), C("subject").eqNullSafe(C("_s")), "left")
+    n = F.coalesce("_n", F.lit(0)).cast("long")
+    return names.select("subject", n.alias("n"), *[F.round(F.when(n >= least, C(c)), 6).alias(c) for c in ("q1", "median", "q3")])
 
 
 R.query("MD35_latest_baseline", "select subject, count(e) filter (where o) as n, " + ", ".join(f"round(case when count(e) filter (where o) >= 4 then quantile_cont(e, {q}) filter (where o) end, 6) as {c}" for c, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))) + f" from (select *, activity_date < latest and date_diff('day', activity_date, latest) <= 90 as o from (select subject, activity_date, efficiency as e, max(activity_date) over (partition by subject) as latest from {FIT} f where efficiency is not null) x) y group by subject")(
