@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .operators import relational, windows
 from .plans import assertions, context, course, features, reads, rollups, routes, segments, signals, telemetry
-from .sources import ingest
+from .sources import ingest, published
 from .streaming import replace
 
-REGISTRIES = [m.R for m in (ingest, relational, windows, rollups, telemetry, segments, signals, routes, features, context, reads, course, assertions, replace)]
+REGISTRIES = [m.R for m in (ingest, published, relational, windows, rollups, telemetry, segments, signals, routes, features, context, reads, course, assertions, replace)]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..registry import Registry
 from ..session import shared_folder
@@ -104,3 +107,77 @@ def _deduped(t):
 
 
 R.query("STR01_stream_dedup", "select user_id, count(*) as n from events group by user_id")(_deduped)
+
+
+class LatestRow(StatefulProcessor):
+    """Of each key the row with the greatest (time, order), kept as state; a row is passed on only where it beats what was known.
+
+    A timer at the row's time plus the delay drops the key's state once the watermark is there: no row that is still
+    admitted can be older than that, so a key that comes again starts anew. State thus holds the keys of one delay only.
+    """
+
+    def __init__(self, time: str, order: str, delay_ms: int):
+        self.time, self.order, self.delay_ms = time, order, delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "at long, ord long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest = max(rows, key=self._version)
+        found, known = self._version(newest), self.best.get()
+        if known is None or found > (known[0], known[1]):
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.best.update(found)
+            self.handle.registerTimer(found[0] // 1000 + self.delay_ms)
+            yield newest
+
+    def _version(self, row) -> tuple[int, int]:
+        at = row[self.time].astimezone(UTC) - datetime(1970, 1, 1, tzinfo=UTC)
+        return at // timedelta(microseconds=1), row[self.order]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.best.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_latest(source: DataFrame, keys: list[str], time: str, order: str, delay: str, target: str, checkpoint: str) -> None:
+    """Keep the newest row of each key of a stream in `target`: by `time`, of equal times by `order` (a whole number).
+
+    Rows later than `delay` behind the newest time of earlier batches are left out. A batch writes only the rows that
+    are newer than what the key's state knows, into a folder of its own number, which a repeated batch writes again. Returns when the
+    input is used up. The session's state store is set to the one that this operator needs.
+    """
+    spark = source.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    delay_ms = spark.sql(f"select cast(unix_millis(timestamp_seconds(0) + interval {delay}) as long)").first()[0]
+    latest = source.where(F.col(time).isNotNull()).withWatermark(time, delay).groupBy(*keys).transformWithState(LatestRow(time, order, delay_ms), source.schema, "Update", "EventTime")
+    query = latest.writeStream.outputMode("update").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def latest_rows(spark, target: str, schema, keys: list[str], time: str, order: str) -> DataFrame:
+    """What the batches of `stream_latest` left: of each key the newest row."""
+    rows = spark.read.schema(schema).parquet(*[f"{target}/batch={n}" for n in _numbers(spark, target, "batch=")])
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(time, order)).alias("_b"))
+    return best.select("_b.*")
+
+
+def _latest_streamed(t):
+    """Events in many files, in batches by week of arrival; what comes up to two weeks late still counts."""
+    base = shared_folder(t.spark)
+    rows = t.events.select("event_id", "user_id", "value", C("ts").cast("timestamp").alias("ts"))
+    parts = max(4, min(16, rows.count() // 2000))
+    rows.repartitionByRange(parts, "ts", "event_id").write.parquet(f"{base}/in")
+    source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    stream_latest(source, ["user_id"], "ts", "event_id", "400 days", f"{base}/out", f"{base}/state")
+    return latest_rows(t.spark, f"{base}/out", rows.schema, ["user_id"], "ts", "event_id").select("user_id", "event_id", F.round("value", 6).alias("value"))
+
+
+R.query("STR01_stream_latest", "select user_id, event_id, round(value, 6) as value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")(_latest_streamed)
