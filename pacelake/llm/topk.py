@@ -1,12 +1,17 @@
 """Exact top-k by inner product with norm-bucketed retrieval.
 
-Vectors are grouped by length: classes of a quarter of a doubling, cut into blocks of bounded rows and bytes by hash
-and sorted by length inside. Queries, in blocks of their own, first meet the block of the longest vectors, which
-gives each a floor under its k-th score, and so a length that a vector needs at least. Query blocks are paired with the
-blocks of those classes only that are long enough for one of their queries, before any vector moves. With a query's
-floor and the block's greatest length, the local threshold is the cosine a vector needs to matter: above 1 the block
-is skipped; below `switch` vectors are pruned by length (a prefix of the block); otherwise by the coordinates
-where the query is largest, with a bound on the rest. Survivors are verified by exact integer products.
+Vectors are grouped by length, in classes of a quarter of a doubling; within a class, vectors with the same two
+largest coordinates stand together, in blocks of bounded rows and bytes of their own if they are many. A block knows the length of
+its longest vector, its mean direction and the widest angle to it. Queries lie in blocks of their own, cut in the same
+way, so that queries of a block have like lengths and directions.
+
+Blocks are met in waves, longest vectors first, each wave twice as large as those before it together; the first one also
+takes, for each block of queries, the block whose direction is nearest. After a wave each query knows a floor under its
+k-th score. A block of queries meets a block of vectors in the next wave only if the bound from length and direction
+reaches the floor of one of its queries; this is told from names, lengths and directions, before any vector moves. Within a
+pair, a query's floor and the block's greatest length give a local threshold, the cosine a vector needs to matter:
+above 1 the block is skipped; below `switch` vectors are pruned by length (a prefix of the block); otherwise by the
+coordinates where the query is largest, with a bound on the rest. Survivors are verified by exact integer products.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without id; a
 vector meets only vectors of its own dimension. Candidates with the query's id are its own row. Ties go to the
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 SCALE, BLOCK, QUERY_BLOCK, FOCUS, SWITCH = 1024, 8192, 512, 16, 0.3
-#: Bytes of vectors in one block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of vectors in one block, and blocks whose directions stand in one row.
+BLOCK_BYTES, CHUNK = 8 << 20, 256
 
 
 def integers(rows: DataFrame, vec_id: str, vector: str, scale: int = SCALE, carried: dict | None = None) -> DataFrame:
@@ -39,25 +44,39 @@ def integers(rows: DataFrame, vec_id: str, vector: str, scale: int = SCALE, carr
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """(block, dim, ids, matrix, norms): vectors of like length, longest first, as byte strings. A block takes about `size` rows, or BLOCK_BYTES."""
+    """(level, part, dim, top, centre, spread, n, ids, matrix, norms): vectors of like length and direction, longest first, as byte strings.
+    A block takes about `size` rows, or BLOCK_BYTES; a pair of largest coordinates that more vectors share is cut by hash."""
     level = F.when(F.col("norm") > 0, F.floor(4 * F.log2("norm"))).otherwise(-1).cast("int")
-    marked = vectors.withColumn("level", level)
-    plan = marked.groupBy("dim", "level").agg(F.ceil(F.count("*") / F.greatest(F.lit(1), F.least(F.lit(size), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))))).alias("parts"))
-    plan = plan.select(F.col("dim").alias("d"), F.col("level").alias("l"), "parts")
-    marked = marked.join(F.broadcast(plan), (F.col("dim") == F.col("d")) & (F.col("level") == F.col("l")))  # bounded: lengths of doubles have some 8,000 levels for each dimension
-    part = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("parts"))  # an id may have many rows
+    largest = F.slice(F.sort_array(F.transform("v", lambda c, i: F.struct(F.abs(c).alias("a"), (2 * i + (c < 0).cast("int")).cast("long").alias("i"))), asc=False), 1, 2)
+    marked = vectors.withColumn("level", level).withColumn("_two", largest)
+    marked = marked.withColumn("lead", F.col("_two")[0]["i"] * 2 * F.col("dim") + F.coalesce(F.get("_two", F.lit(1))["i"], F.lit(0))).drop("_two")
+    rows = F.greatest(F.lit(1), F.least(F.lit(size), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))))
+    plan = marked.groupBy("dim", "level", "lead").agg(F.count("*").alias("n")).withColumn("rows", rows).withColumn("own", 4 * F.col("n") >= F.col("rows"))
+    order = Window.partitionBy("dim", "level", "own").orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)  # a row a pair of coordinates
+    plan = plan.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    plan = plan.select(F.col("dim").alias("d"), F.col("level").alias("l"), F.col("lead").alias("c"), "n", "before", "rows", "own")
+    marked = marked.join(plan, (F.col("dim") == F.col("d")) & (F.col("level") == F.col("l")) & (F.col("lead") == F.col("c")))
+    share = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(1 << 20)) / float(1 << 20)  # an id may have many rows
+    alone = (F.col("lead") + 1) * F.lit(1 << 32) + F.floor(share * F.ceil(F.col("n") / F.col("rows")))
+    part = F.when(F.col("own"), alone).otherwise(F.floor((F.col("before") + F.floor(share * F.col("n"))) / F.col("rows"))).cast("long")
 
     def gather(key, table):
         norms = table.column("norm").to_numpy()
         order = np.lexsort((table.column("id").to_numpy(), -norms))
         flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(order), -1)
+        unit = _unit(flat, norms)
+        centre = unit.mean(0)
+        size = np.sqrt(centre @ centre)
+        centre = centre / size if size > 0 else centre
+        spread = float(np.arccos(np.clip((unit @ centre).min(), -1, 1))) if size > 0 and norms.min() > 0 else np.pi
+        packed = lambda x: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
         return pa.table({
-            "level": table.column("level").slice(0, 1), "part": table.column("part").slice(0, 1), "dim": table.column("dim").slice(0, 1), "top": pa.array([float(norms.max())]),
-            "ids": pa.array([table.column("id").to_numpy()[order].tobytes()], pa.binary()), "matrix": pa.array([np.ascontiguousarray(flat[order]).tobytes()], pa.binary()), "norms": pa.array([norms[order].tobytes()], pa.binary()),
+            "level": table.column("level").slice(0, 1), "part": table.column("part").slice(0, 1), "dim": table.column("dim").slice(0, 1), "top": pa.array([float(norms.max())]), "centre": packed(centre), "spread": pa.array([spread + 1e-6]), "n": pa.array([len(order)]),
+            "ids": packed(table.column("id").to_numpy()[order]), "matrix": packed(flat[order]), "norms": packed(norms[order]),
         })
 
     grouped = marked.select("id", "v", "dim", "norm", "level", part.alias("part")).groupBy("dim", "level", "part")
-    return grouped.applyInArrow(gather, "level int, part long, dim int, top double, ids binary, matrix binary, norms binary")
+    return grouped.applyInArrow(gather, "level int, part long, dim int, top double, centre binary, spread double, n long, ids binary, matrix binary, norms binary")
 
 
 def _exact(matrix: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
@@ -99,58 +118,113 @@ def _unit(matrix, norms):
     return matrix / np.where(norms > 0, norms, 1)[:, None]
 
 
-def block_pairs(asked: DataFrame, levels: DataFrame) -> DataFrame:
-    """(q_block, dim, level, part): of each query block, the vector blocks of the classes whose longest vector is long enough for a query of
-    it. The stated queries against all rows, in blocks; rows here are names of blocks without vectors."""
+def _in_waves(base: DataFrame, first: int) -> DataFrame:
+    """(dim, level, part, top, centre, spread, wave): what is known of blocks without their vectors. Wave 0 has the longest ones, up to `first`
+    vectors, and each later wave as many vectors as all before it."""
+    longest = Window.partitionBy("dim").orderBy(F.col("top").desc(), "level", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    before = F.coalesce(F.sum("n").over(longest), F.lit(0))
+    return base.select("dim", "level", "part", "top", "centre", "spread", F.floor(F.log2(F.greatest(F.lit(1.0), 2 * before / F.lit(first)))).cast("int").alias("wave"))
 
-    def needs(batches):
-        for batch in batches:
-            least = []
-            for floor, norm in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                floor, norm = np.frombuffer(floor, np.float64), np.frombuffer(norm, np.float64)
-                # A floor that even a vector of length 0 reaches, or a query of length 0, asks for all classes.
-                least.append(float(np.where((floor > 0) & (norm > 0), floor / np.where(norm > 0, norm, 1) * (1 - 1e-9), 0).min()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.float64())], ["q_block", "q_dim", "least"])
 
-    needed = asked.select("q_block", "q_dim", "q_floor", "q_norms").mapInArrow(needs, "q_block string, q_dim int, least double")
-    met = needed.join(levels, (F.col("q_dim") == F.col("dim")) & (F.col("top") >= F.col("least")))
-    return met.select("q_block", "dim", "level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+def _in_chunks(known: DataFrame) -> DataFrame:
+    """Blocks of a wave, CHUNK to a row: their names, lengths and directions as arrays."""
+    chunk = F.floor((F.row_number().over(Window.partitionBy("dim", "wave").orderBy("level", "part")) - 1) / CHUNK).alias("chunk")
+    return known.withColumn("chunk", chunk).groupBy("dim", "wave", "chunk").agg(F.collect_list(F.struct("level", "part", "top", "spread", "centre")).alias("blocks"))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK, focus: int = FOCUS, switch: float = SWITCH) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best rows for each query."""
-    base = tx.cut(_blocks(integers(rows, vec_id, vector), block))
-    asked = _blocks(integers(queries, vec_id, vector), query_block)
-    asked = asked.select(F.concat_ws("/", "dim", "level", "part").alias("q_block"), F.col("dim").alias("q_dim"), *[F.col(c).alias("q_" + c) for c in ("ids", "matrix", "norms")])
-    longest = base.groupBy("dim").agg(F.max_by(F.struct("ids", "matrix", "norms"), "top").alias("b")).select("dim", "b.*")
+_NAMES = "q_block string, dim int, level int, part long, near double"
+
 
-    def floors(batches):
+def block_pairs(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(q_block, dim, level, part, near): of each query block (with q_floors) the vector blocks whose bound reaches the floor of one of its queries,
+    and the greatest cosine of a query with the block's direction. The stated queries against all rows, in blocks; rows here are
+    names of blocks without vectors."""
+
+    def meet(batches):
         for batch in batches:
-            out = []
             for i in range(batch.num_rows):
-                (ids, matrix, norms), (q_ids, q_matrix, q_norms) = _load(batch, i, ""), _load(batch, i, "q_")
-                best = [search_block(q, qi, qn, -np.inf, k, ids, matrix, norms, None, focus, switch)[1] for q, qi, qn in zip(q_matrix, q_ids, q_norms, strict=True)]
-                out.append(np.array([float(s[-1]) if len(s) == k else -np.inf for s in best]).tobytes())
-            keep = [batch.column(c) for c in ("q_block", "q_dim", "q_ids", "q_matrix", "q_norms")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.binary())], ["q_block", "q_dim", "q_ids", "q_matrix", "q_norms", "q_floor"])
+                blocks = batch.column("blocks")[i].values
+                q_norms, floor = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64) for c in ("q_norms", "q_floors"))
+                q = np.frombuffer(batch.column("q_matrix")[i].as_buffer(), np.int64).reshape(len(q_norms), -1)
+                centre = np.stack([np.frombuffer(x, np.float64) for x in blocks.field("centre").to_pylist()])
+                top, spread = (blocks.field(c).to_numpy() for c in ("top", "spread"))
+                cosine = np.clip(_unit(q, q_norms) @ centre.T, -1, 1)
+                bound = q_norms[:, None] * top * np.cos(np.maximum(0, np.arccos(cosine) - spread)).clip(min=0)
+                fine = np.flatnonzero((bound * (1 + 1e-9) + 1e-6 >= floor[:, None]).any(0))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("q_block")[i].as_py()] * len(fine), pa.string()), pa.array(np.full(len(fine), batch.column("dim")[i].as_py()), pa.int32()), blocks.field("level").take(pa.array(fine)), blocks.field("part").take(pa.array(fine)), pa.array(cosine.max(0)[fine])], ["q_block", "dim", "level", "part", "near"])
+
+    met = asked.select("q_block", "q_dim", "q_matrix", "q_norms", "q_floors").join(chunks, F.col("q_dim") == F.col("dim"))
+    return met.select("q_block", "dim", "q_matrix", "q_norms", "q_floors", "blocks").mapInArrow(meet, _NAMES)
 
-    # One block for each dimension, of a bounded size: broadcast.
-    asked = asked.join(F.broadcast(longest), F.col("q_dim") == F.col("dim")).drop("dim")
-    asked = tx.cut(asked.mapInArrow(floors, "q_block string, q_dim int, q_ids binary, q_matrix binary, q_norms binary, q_floor binary"))
+
+def _verified(pairs: DataFrame, asked: DataFrame, base: DataFrame, k: int, focus: int, switch: float) -> DataFrame:
+    """(q_block, nth, query_id, vec_id, score): the k best of each paired block for each query, if they reach its floor."""
 
     def verify(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 (ids, matrix, norms), (q_ids, q_matrix, q_norms) = _load(batch, i, ""), _load(batch, i, "q_")
-                unit, floor = _unit(matrix, norms), np.frombuffer(batch.column("q_floor")[i].as_buffer(), np.float64)
+                unit, floor = _unit(matrix, norms), np.frombuffer(batch.column("q_floors")[i].as_buffer(), np.float64)
                 best = [search_block(q, qi, qn, fl, k, ids, matrix, norms, unit, focus, switch) for q, qi, qn, fl in zip(q_matrix, q_ids, q_norms, floor, strict=True)]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(q_ids, [len(b[0]) for b in best])), "vec_id": pa.array(np.concatenate([b[0] for b in best])), "score": pa.array(np.concatenate([b[1] for b in best]).astype(np.int64))})
+                sizes = [len(b[0]) for b in best]
+                name = pa.array([batch.column("q_block")[i].as_py()] * sum(sizes), pa.string())
+                yield pa.RecordBatch.from_pydict({"q_block": name, "nth": pa.array(np.repeat(np.arange(len(q_ids), dtype=np.int32), sizes)), "query_id": pa.array(np.repeat(q_ids, sizes)), "vec_id": pa.array(np.concatenate([b[0] for b in best])), "score": pa.array(np.concatenate([b[1] for b in best]).astype(np.int64))})
 
-    levels = base.groupBy("dim", "level").agg((F.max("part") + 1).alias("parts"), F.max("top").alias("top"))
-    pairs = block_pairs(asked, levels)
-    wanted = pairs.join(asked, "q_block").select("q_block", F.col("dim").alias("d"), F.col("level").alias("lv"), F.col("part").alias("pt"), "q_ids", "q_matrix", "q_norms", "q_floor")
+    wanted = pairs.select("q_block", F.col("dim").alias("d"), F.col("level").alias("lv"), F.col("part").alias("pt")).join(asked.drop("q_dim"), "q_block")
     met = wanted.join(base, (F.col("dim") == F.col("d")) & (F.col("lv") == F.col("level")) & (F.col("pt") == F.col("part")))
-    found = met.select("ids", "matrix", "norms", "q_ids", "q_matrix", "q_norms", "q_floor").mapInArrow(verify, "query_id long, vec_id long, score long")
+    return met.select("q_block", "ids", "matrix", "norms", "q_ids", "q_matrix", "q_norms", "q_floors").mapInArrow(verify, "q_block string, nth int, query_id long, vec_id long, score long")
+
+
+def _floored(asked: DataFrame, found: DataFrame | None, k: int) -> DataFrame:
+    """Query blocks with `q_floors`, the k-th score of each query so far, or minus infinity."""
+    names = ["q_block", "q_dim", "q_ids", "q_matrix", "q_norms"]
+    least = None
+    if found is not None:
+        full = found.groupBy("q_block", "nth").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") >= k)
+        least = full.groupBy("q_block").agg(F.collect_list(F.struct("nth", "least")).alias("known"))  # a query block has a bounded number of queries
+
+    def fill(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                floor = np.full(len(batch.column("q_norms")[i].as_buffer()) // 8, -np.inf)
+                for x in batch.column("known")[i].as_py() or ():
+                    floor[x["nth"]] = x["least"]
+                out.append(floor.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], [*names, "q_floors"])
+
+    known = asked.join(least, "q_block", "left") if least is not None else asked.withColumn("known", F.lit(None).cast("array<struct<nth:int,least:double>>"))
+    return known.select(*names, "known").mapInArrow(fill, "q_block string, q_dim int, q_ids binary, q_matrix binary, q_norms binary, q_floors binary")
+
+
+def top_k(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK, focus: int = FOCUS, switch: float = SWITCH, told: list | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best rows for each query. `told` gets the number of pairs of blocks of each wave."""
+    base = tx.cut(_blocks(integers(rows, vec_id, vector), block))
+    asked = tx.cut(_blocks(integers(queries, vec_id, vector), query_block).select(F.concat_ws("/", "dim", "level", "part").alias("q_block"), F.col("dim").alias("q_dim"), *[F.col(c).alias("q_" + c) for c in ("ids", "matrix", "norms")]))
+    known = tx.cut(_in_waves(base, max(2 * block, 8 * k)))
+    chunks = tx.cut(_in_chunks(known))
+    waves = known.agg(F.max("wave")).first()[0]
+    best = F.row_number().over(Window.partitionBy("q_block", "nth").orderBy(F.col("score").desc(), "vec_id"))
+    found, near = None, None
+    for wave in range(0 if waves is None else waves + 1):
+        floored = tx.cut(_floored(asked, found, k))
+        if wave == 0 and waves:
+            every = block_pairs(floored, chunks)
+            first = every.join(known.where("wave = 0").select("dim", "level", "part"), ["dim", "level", "part"], "left_semi").select("q_block", "dim", "level", "part")
+            closest = every.groupBy("q_block").agg(F.max_by(F.struct("dim", "level", "part"), F.struct("near", "level", "part")).alias("b")).select("q_block", "b.*")
+            near = tx.cut(closest)
+            pairs = first.unionByName(near).distinct()
+        else:
+            pairs = block_pairs(floored, chunks.where(F.col("wave") == wave)).drop("near")
+            if near is not None:
+                pairs = pairs.join(near, ["q_block", "dim", "level", "part"], "left_anti")
+        pairs = tx.cut(pairs)
+        if told is not None:
+            told.append(pairs.count())
+        more = _verified(pairs, floored, base, k, focus, switch)
+        found = tx.cut((more if found is None else found.unionByName(more)).withColumn("_place", best).where(F.col("_place") <= k).drop("_place"))
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
