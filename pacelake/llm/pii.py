@@ -6,12 +6,15 @@ and "dot", numbers with other separators or without a plus sign. What tells a ba
 sign or the at sign, is left out of the description of a candidate, so the model has to judge by the rest: other
 format (groups of digits, endings, check digits) and context (words before, characters around). A candidate that meets
 a base span of its kind is a positive example; one that meets a base span of another kind or fails the kind's format
-(check digit, parts of an address, number of digits, a date) a negative one; all others are open and count as `DOUBT`
-of a negative example. Descriptions are yes/no answers, so the training set is a table of at most 2^12 cells a kind,
-counted over all documents. Gradient boosting of two-level trees runs on that table for three quarters of the
-documents (by hash of the row); on the rest each kind's threshold is calibrated: the lowest score from which on
-`precision` of the examples are positive. Open candidates from there on that touch no base span are added. Where added
-spans of several kinds overlap, the kind with the better precision on that rest keeps its span.
+(check digit, parts of an address, number of digits, a date) a negative one; all others are open, neither. Descriptions
+are yes/no answers, so the training set is a table of at most 2^12 cells a kind, counted over all documents.
+Gradient boosting of two-level trees runs on that table for three quarters of the documents (by hash of id and text), in
+two steps, as for positive and unlabelled examples: trees that tell base spans from all others give the share of
+personal data that is marked as such (their mean on the base spans of the other documents), and from that the weight at
+which an open candidate counts as positive, the rest of it as negative; trees of those weights score candidates. However
+many open candidates look like base spans, they don't speak against themselves. On the documents kept apart each kind's
+threshold is calibrated: the lowest score from which on `precision` of the weights are positive, and half of them at each score. Open candidates from there on
+that touch no base span are added. Where added spans of several kinds overlap, the kind with the better precision keeps its span.
 
 Patterns are written with possessive loops, equal in what they match, so long runs neither recurse nor go
 quadratic. Spans meet each other in windows over a row's spans in order, never in pairs. Offsets are code points, ends
@@ -48,7 +51,7 @@ PROPOSE = {
 CONTEXT = {"email": "mail|contact|write|address", "ip": "ip|host|server|address", "card": "card|visa|pay|credit|account", "phone": "phone|tel|call|fax|mobile|reach"}
 #: Common endings of addresses.
 TOP = r"(?i)(\.|\bdot\b\W{0,2})(com|org|net|edu|gov|int|info|biz|io|co|eu|uk|de|fr|es|it|nl|us|ca|au|jp|cn|in|br)$"
-BITS, ROUNDS, RATE, PRECISION, DOUBT = 12, 30, 0.3, 0.9, 0.25
+BITS, ROUNDS, RATE, PRECISION = 12, 30, 0.3, 0.9
 
 
 def _let(value: Column, f) -> Column:
@@ -143,7 +146,8 @@ def _fails(kind: str, m: Column) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, doc_id, base, guess): a number for each row, base spans by start and kind, and candidates as (start, kind, end, code, fails)."""
+    """(row, doc_id, rest, base, guess): a number for each row, whether it is kept apart for calibration, base spans by start and kind, and
+    candidates as (start, kind, end, code, fails)."""
     flat = F.translate(F.coalesce(F.col(text), F.lit("")), "\u0001", "\u0002")
     t = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), flat.alias("t"), F.col(text).rlike(r"[0-9](?:[\x20./()_-]{0,3}[0-9]){5}").alias("many"))
     many = F.coalesce(F.col("many"), F.lit(False))
@@ -154,7 +158,8 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     told = lambda k, m: F.struct(m["start"], m["kind"], m["end"], _code(k, m).alias("code"), F.coalesce(_fails(k, m), F.lit(True)).alias("fails"))
     guess = {k: F.transform(_found(F.col("t"), k, PROPOSE[k], hint[k]), partial(told, k)) for k in KINDS}
     spans = F.transform(F.concat(*base.values()), lambda m: F.struct(m["start"], m["kind"], m["end"]))
-    return t.select("row", "doc_id", F.array_sort(spans).alias("base"), F.concat(*guess.values()).alias("guess"))
+    apart = F.pmod(F.xxhash64("doc_id", "t"), F.lit(4)) == 3
+    return t.select("row", "doc_id", apart.alias("rest"), F.array_sort(spans).alias("base"), F.concat(*guess.values()).alias("guess"))
 
 
 def _touches(flag: Column, *by: str) -> Column:
@@ -169,15 +174,15 @@ def candidates(scanned: DataFrame) -> DataFrame:
     """(row, start, kind, end, code, known, failed, taken, rest): each candidate; whether it is a positive or a negative example, meets any
     base span, and belongs to the documents for calibration."""
     none = F.transform("base", lambda b: F.struct(b["start"], b["kind"], b["end"], F.lit(None).cast("int").alias("code"), F.lit(False).alias("fails")))
-    each = scanned.where(F.size("guess") > 0).select("row", F.explode(F.concat(none, "guess")).alias("s")).select("row", "s.*")
+    each = scanned.where(F.size("guess") > 0).select("row", "rest", F.explode(F.concat(none, "guess")).alias("s")).select("row", "rest", "s.*")
     is_base = F.col("code").isNull()
     met = each.select("*", _touches(is_base, "row").alias("taken"), _touches(is_base, "row", "kind").alias("known")).where(~is_base)
     failed = ~F.col("known") & (F.col("taken") | F.col("fails"))
-    return met.select("row", "start", "kind", "end", "code", "known", failed.alias("failed"), "taken", (F.pmod(F.xxhash64("row"), F.lit(4)) == 3).alias("rest"))
+    return met.select("row", "start", "kind", "end", "code", "known", failed.alias("failed"), "taken", "rest")
 
 
 def boost(code: np.ndarray, total: np.ndarray, known: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[int, int, list[float]]]:
-    """Trees (first bit, second bit, four leaves) by gradient boosting of the logistic loss on counted cells."""
+    """Trees (first bit, second bit, four leaves) by gradient boosting of the logistic loss on counted cells of weights."""
     bits = (code[:, None] >> np.arange(BITS)) & 1
     prior = np.log((known.sum() + 1) / (total.sum() - known.sum() + 1))
     score, trees = np.full(len(code), prior), [(0, 0, [prior, 0.0, 0.0, prior])]
@@ -202,23 +207,35 @@ def _scored(trees, code: np.ndarray) -> np.ndarray:
     return sum(np.array(v)[((code >> i) & 1) * 2 + ((code >> j) & 1)] for i, j, v in trees)
 
 
-def fit(found: DataFrame, precision: float = PRECISION, doubt: float = DOUBT) -> dict[int, tuple[list, float, float]]:
+def _likely(trees, code: np.ndarray, marked: float) -> np.ndarray:
+    """The weight at which an open candidate counts as positive, if `marked` is the share of positives that are marked."""
+    g = 1 / (1 + np.exp(-np.clip(_scored(trees, code), -30, 30)))
+    return np.clip((1 - marked) / marked * g / (1 - g), 0, 1)
+
+
+def fit(found: DataFrame, precision: float = PRECISION) -> dict[int, tuple[list, float, float]]:
     """Trees, threshold and precision on the documents kept for calibration of each kind, from counts of cells over all candidates."""
-    worth = F.when(F.col("known") | F.col("failed"), 1.0).otherwise(doubt)
-    cells = found.groupBy("kind", "code", "rest").agg(F.sum(worth).alias("n"), F.sum(F.col("known").cast("double")).alias("k")).collect()
+    count = lambda c: F.sum(c.cast("double"))
+    cells = found.groupBy("kind", "code", "rest").agg(count(F.lit(1)).alias("n"), count(F.col("known")).alias("k"), count(~F.col("known") & ~F.col("failed")).alias("u")).collect()
     out = {}
     for kind in range(len(KINDS)):
-        learn, check = (sorted((r.code, r.n, r.k) for r in cells if r.kind == kind and r.rest == rest) for rest in (False, True))
+        learn, check = (sorted((r.code, r.n, r.k, r.u) for r in cells if r.kind == kind and r.rest == rest) for rest in (False, True))
         if not any(r[2] for r in learn) or not any(r[2] for r in check):
             continue
-        code, total, known = (np.array(x, float if i else np.int64) for i, x in enumerate(zip(*learn, strict=True)))
-        trees = boost(code, total, known)
-        code, total, known = (np.array(x, float if i else np.int64) for i, x in enumerate(zip(*check, strict=True)))
-        score = _scored(trees, code)
+        code, total, known, unmarked = (np.array(x, float if i else np.int64) for i, x in enumerate(zip(*learn, strict=True)))
+        kept, kept_total, kept_known, kept_open = (np.array(x, float if i else np.int64) for i, x in enumerate(zip(*check, strict=True)))
+        first = boost(code, total, known)
+        # How often a positive is marked: what the trees say of base spans that they haven't seen.
+        marked = float(((1 / (1 + np.exp(-_scored(first, kept)))) * kept_known).sum() / kept_known.sum())
+        trees = boost(code, total, known + unmarked * _likely(first, code, marked))
+        positive = kept_known + kept_open * _likely(first, kept, marked)
+        score = _scored(trees, kept)
         # Cells with equal scores stand or fall together.
         levels, of = np.unique(-score, return_inverse=True)
-        share = np.cumsum(np.bincount(of, known)) / np.cumsum(np.bincount(of, total))
-        good = np.flatnonzero(share >= precision)
+        own, all_ = np.bincount(of, positive), np.bincount(of, kept_total)
+        share = np.cumsum(own) / np.cumsum(all_)
+        # A score at which most are no personal data ends the run, however good those above it are.
+        good = np.flatnonzero((share >= precision) & np.logical_and.accumulate(2 * own >= all_))
         if len(good):
             out[kind] = (trees, float(-levels[good[-1]]) - 1e-9, float(share[good[-1]]))
     return out
