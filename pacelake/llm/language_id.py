@@ -5,8 +5,9 @@ ASCII but letters taken as a space). A linear softmax model predicts the family;
 vector machine for each pair of languages votes. All models are linear in the frequencies, so a text of any
 length is scored in one pass over its bytes.
 
-Models are fitted on at most `max_rows` rows, chosen by hash of the id among rows with text and language;
-everything else covers whole texts of all rows. Null texts and texts without a letter are `und` with score 0,
+Models are fitted on at most `max_rows` rows with an id, text and language, each (id, text, language) once: languages
+take turns, each with its rows in order of a hash of id and text, so a frequent language leaves room for the others and
+reruns choose the same rows. Everything else covers whole texts of all rows. Null texts and texts without a letter are `und` with score 0,
 as is everything where there is nothing to learn from. Repeated rows get the same answer; rows with a null id
 may be predicted but are not learned from; extra columns are ignored.
 """
@@ -18,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -158,13 +159,16 @@ def _counted(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def train(labelled: DataFrame, doc_id: str, text: str, lang: str, max_rows: int = MAX_ROWS, bits: int = BITS) -> Model | None:
-    """Fit on at most `max_rows` rows of `labelled`, those with the smallest hash of the id."""
-    rows = labelled.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = F.xxhash64(F.col(doc_id).cast("string"))
-    last = rows.select(order.alias("h")).orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    if last is None:
+    """Fit on at most `max_rows` rows of `labelled`."""
+    rows = labelled.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"))
+    # Names of rows only: a label and a hash. Each label keeps its first ones, and labels take turns.
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    named = rows.select("label", "h").distinct().withColumn("turn", turn).where(F.col("turn") <= max_rows)
+    chosen = named.orderBy("turn", "label").limit(max_rows).select(F.col("label").alias("l"), F.col("h").alias("g"))
+    held = rows.join(F.broadcast(chosen), (F.col("label") == F.col("l")) & (F.col("h") == F.col("g")), "left_semi").dropDuplicates(["label", "h"])
+    sample = sorted(_counted(held.select("label", "text"), bits).collect())
+    if not sample:
         return None
-    sample = _counted(rows.where(order <= last).select(F.col(lang).cast("string"), F.col(text)), bits).limit(2 * max_rows).collect()
     x = np.zeros((len(sample), 1 << bits), np.float32)
     for i, r in enumerate(sample):
         x[i, np.frombuffer(r.k, np.uint16)] = np.frombuffer(r.n, np.uint32)
