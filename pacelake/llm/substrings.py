@@ -13,13 +13,14 @@ Every byte that lies in a string of `length` bytes which also starts in a docume
    table of windows, kept as positions, with the smallest id that holds each.
 4. Blocks get back, for each place of a run text, the stretches that smaller ids cover, and remove them.
 
-An anchor that more than `hot` blocks hold would bring all its texts to one shard. Its runs are sent window by window
+An anchor that more than `hot` blocks hold, or whose runs have more than `hot_bytes` bytes (blanks or dashes of any length
+are one run), would bring all its texts to one shard. Its runs are sent window by window
 instead, to the shard of the window's own hash, so they spread over all shards; a hot window costs an entry a block.
 
 Matches never cross documents. Null texts are empty; rows without id neither lose text nor take it from others; rows
 with equal ids don't count against each other; texts shorter than `length` stay. An empty table gives an empty
-result; extra columns are ignored. The blocks are kept in a table of the session's warehouse while this runs; the
-result is written to the checkpoint folder and the table dropped, also when a step fails.
+result; extra columns are ignored. The blocks are kept in a bucketed table, whose files lie in the shared folder, while this
+runs; the result is written to the checkpoint folder and the table and its files dropped, also when a step fails.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ BLOCK_BYTES, PART_BYTES = 1 << 20, 2 << 20
 SHARD_ANCHORS = 400_000
 #: Bits of an anchor that are sent, besides those that name its shard.
 SENT_BITS = 40
-#: Blocks that may hold an anchor before its runs are sent by window.
-HOT_BLOCKS = 5_000
+#: Blocks that may hold an anchor, and bytes its runs may have, before they are sent by window; bytes in one block from which they are told.
+HOT_BLOCKS, HOT_BYTES, TOLD_BYTES = 5_000, 32 << 20, 2_048
 
 
 # ---- suffix arrays ---------------------------------------------------------------------------------
@@ -278,28 +279,37 @@ def _anchors(length: int, bits: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 data, at, ids, known = _open(batch, i)
-                anchor, _, _, row, _ = runs(data, at, known, length, bits)
+                anchor, _, count, row, _ = runs(data, at, known, length, bits)
                 order = np.lexsort((ids[row], anchor))
-                a, d = anchor[order], ids[row][order]
+                a, d, size = anchor[order], ids[row][order], (count + length - 1)[order]
                 new = np.ones(len(a), bool)
                 new[1:] = a[1:] != a[:-1]
                 start = np.flatnonzero(new)
                 twice = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start) if len(start) else np.zeros(0, bool)
+                total = np.add.reduceat(size, start) if len(start) else np.zeros(0, np.int64)
                 a = a[new]
+                large = np.where(total >= TOLD_BYTES, total, 0).clip(max=(1 << 32) - 1)
                 parts = list(_split(_bucket(a)))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([p[0] for p in parts], pa.int64()), "block": pa.array([batch.column("block")[i].as_py()] * len(parts), pa.int64()), "anchors": pa.array([_low40(a[p[1] : p[2]]) for p in parts], pa.binary()), "twice": pa.array([np.packbits(twice[p[1] : p[2]]).tobytes() for p in parts], pa.binary())})
+                told = [np.stack([np.flatnonzero(large[x:y]), large[x:y][large[x:y] > 0]]).astype(np.uint32).tobytes() for _, x, y in parts]
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([p[0] for p in parts], pa.int64()), "block": pa.array([batch.column("block")[i].as_py()] * len(parts), pa.int64()), "anchors": pa.array([_low40(a[p[1] : p[2]]) for p in parts], pa.binary()), "twice": pa.array([np.packbits(twice[p[1] : p[2]]).tobytes() for p in parts], pa.binary()), "large": pa.array(told, pa.binary())})
 
     return run
 
 
-def _again(hot: int):
-    """Of each block, the anchors that occur in two documents somewhere, and those that more than `hot` blocks hold."""
+def _again(hot: int, hot_bytes: int):
+    """Of each block, the anchors that occur in two documents somewhere, and those that more than `hot` blocks hold or whose runs may have
+    more than `hot_bytes` bytes."""
 
     def run(key, table):
         lists = [_from40(x) for x in table.column("anchors").to_pylist()]
         twice = [np.unpackbits(np.frombuffer(t, np.uint8))[: len(a)].astype(bool) for t, a in zip(table.column("twice").to_pylist(), lists, strict=True)]
         values, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        hit, often = count > 1, count > hot
+        size, lo = count * TOLD_BYTES, 0
+        for a, x in zip(lists, table.column("large").to_pylist(), strict=True):
+            nth, more = np.frombuffer(x, np.uint32).reshape(2, -1).astype(np.int64)
+            np.add.at(size, inverse[lo + nth], more)
+            lo += len(a)
+        hit, often = count > 1, (count > hot) | (size > hot_bytes)
         hit[inverse[np.concatenate(twice)]] = True
         out, lo = [], 0
         for block, a in zip(table.column("block").to_pylist(), lists, strict=True):
@@ -449,16 +459,16 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column(4)], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, digest: bool = False, hot: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, digest: bool = False, hot: int = HOT_BLOCKS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row; `kept` holds the remaining bytes, or with `digest` kept_sha256 their hash."""
     spark = docs.sparkSession
-    name = f"pacelake_blocks_{uuid.uuid4().hex}"
+    name, folder = f"pacelake_blocks_{uuid.uuid4().hex}", tx.shared_folder(spark)
     try:
-        blocks = _stored(_pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), name)
+        blocks = _stored(_pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), name, folder)
         size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
         bits = max(4, math.ceil(math.log2(size / (length - PIECE) * 2 / SHARD_ANCHORS + 1)))
-        sent = blocks.mapInArrow(_anchors(length, bits), "shard long, block long, anchors binary, twice binary")
-        again = sent.groupBy("shard").applyInArrow(_again(hot), "block long, shard long, hits binary, hot binary").groupBy("block").agg(F.collect_list(F.struct("shard", "hits", "hot")).alias("hits"))
+        sent = blocks.mapInArrow(_anchors(length, bits), "shard long, block long, anchors binary, twice binary, large binary")
+        again = sent.groupBy("shard").applyInArrow(_again(hot, hot_bytes), "block long, shard long, hits binary, hot binary").groupBy("block").agg(F.collect_list(F.struct("shard", "hits", "hot")).alias("hits"))
         cells = ", ".join(f"{c} binary" for c in ("anchors", *OF_TEXT, *OF_PLACE, "body"))
         texts = blocks.join(again, "block").select(*blocks.columns, "hits").mapInArrow(_texts(length, bits), f"shard long, block long, {cells}")
         replies = texts.groupBy("shard").applyInArrow(_search(length), "block long, reply binary").groupBy("block").agg(F.collect_list("reply").alias("replies"))
@@ -468,12 +478,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return tx.cut(joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
     finally:
         spark.sql(f"drop table if exists {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _stored(blocks: DataFrame, name: str) -> DataFrame:
-    """The blocks as a table of the session's warehouse, bucketed by block: joins on the block then move the other side only."""
+def _stored(blocks: DataFrame, name: str, folder: str) -> DataFrame:
+    """The blocks as a table in a shared folder, bucketed by block: joins on the block then move the other side only."""
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks.repartition(parts, "block").write.format("parquet").option("compression", "none").bucketBy(parts, "block").saveAsTable(name)
+    blocks.repartition(parts, "block").write.format("parquet").option("compression", "none").option("path", folder).bucketBy(parts, "block").saveAsTable(name)
     return blocks.sparkSession.table(name)
 
 

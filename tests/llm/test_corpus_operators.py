@@ -668,3 +668,91 @@ def test_meet_finds_all_pairs(percent):
         got = {(x["a"], x["b"]) for x in near_dedup._meet(percent)((None, None, pa.scalar(i), pa.scalar(j)), table).to_pylist()}
         want = {(min(a, b), max(a, b)) for a in np.flatnonzero(place == i).tolist() for b in np.flatnonzero(place == j).tolist() if a != b and 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))}
         assert got == want
+
+
+@pytest.mark.parametrize("variants", [20, 200, 2000])
+def test_pii_variants_are_found_however_many_there_are(spark, variants):
+    """200 base phones, variants of the same form without the plus sign, and decoys that fail the format or have another form."""
+    rows = [(k, f"call +1 (200) 555-{1000 + k:04} today") for k in range(200)]
+    rows += [(10_000 + k, f"call 1 (201) 555-{1000 + k:04} today") for k in range(variants)]
+    decoys = [(50_000 + k, t) for k in range(60) for t in [(f"on 2021-03-{k % 28 + 1:02} we met", f"part no. {10_000_000 + k} was sold", f"sum of 12 {k + 10} 30 4 5 6 7 8 9 10 11 12 13 14 15 16", f"version 10.2.{k}.4.5 came")[k % 4]]]
+    results = []
+    for parts in (1, 4, 16):
+        docs = spark.createDataFrame(rows + decoys, "doc_id long, text string").repartition(parts)
+        results.append({r.doc_id: ([tuple(s) for s in r.base], [tuple(s) for s in r.spans]) for r in pii.find(docs).collect()})
+    assert results[0] == results[1] == results[2]
+    found = sum(len(results[0][10_000 + k][1]) == 1 for k in range(variants))
+    assert found == variants and all(len(results[0][k][0]) == 1 for k in range(200))
+    assert all(base == spans for i, _ in rows[:200] + decoys for base, spans in [results[0][i]])
+
+
+def test_language_sample_is_bounded_and_shared(spark, monkeypatch):
+    en, de = (["the house of my friend stands by the river and it is old", "they would never have thought of this"], ["das haus von meinem freund steht am fluss und ist alt", "daran haben sie noch nie gedacht"])
+    rows = [(1, f"{en[k % 2]} {k}", "en") for k in range(500)] + [(2, f"{de[k % 2]} {k}", "de") for k in range(500)] + [(3, de[0], None), (None, de[0], "xx"), (4, None, "yy")]
+    seen = []
+    kept = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda x, langs: seen.append(Counter(langs)) or kept(x, langs))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language_id.train(docs.repartition(p), "doc_id", "text", "lang", max_rows=100) for p in (1, 5)]
+    assert seen == [Counter(en=50, de=50)] * 2
+    assert all((a == b).all() for a, b in zip((models[0].weights, models[0].bias), (models[1].weights, models[1].bias)))
+    few = spark.createDataFrame([(k, en[0], "en") for k in range(3)] + [(9, de[0], "de")] * 400 + [(k, f"{de[1]} {k}", "de") for k in range(10, 300)], "doc_id long, text string, lang string")
+    language_id.train(few, "doc_id", "text", "lang", max_rows=50)
+    assert seen[2] == Counter(en=3, de=47)
+    got = Counter(r.lang_pred for r in language_id.identify(docs.where("doc_id < 3"), models[0]).collect())
+    assert got == Counter(en=500, de=500)
+
+
+def test_language_scores_against_sums_by_hand(spark):
+    langs = {"en": "the house of my friend stands by the river", "de": "das haus von meinem freund steht am fluss", "fr": "la maison de mon ami est au bord du fleuve", "es": "la casa de mi amigo junto al gran rio"}
+    rows = [(k, f"{t} {k} {t[: 5 + k % 20]}", lang) for k, (lang, t) in enumerate([*langs.items()] * 12)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    asked = [(1, "The House"), (2, "maison, FLEUVE!"), (3, "r\u00c9n\u00e9 a\u00fcs"), (4, "12 34"), (5, None), (6, "el gran amigo")]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    for i, text in asked:
+        if text is None or not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        raw, plain = text.encode(), []
+        for k, b in enumerate(raw):  # letters of ASCII in lower case, what isn't a letter a blank, capitals of Latin-1 folded
+            c = b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+            plain.append(c + 32 if k and raw[k - 1] == 0xC3 and 0x80 <= b <= 0x9E else c)
+        plain = [c for k, c in enumerate(plain) if not (k and c == 32 and plain[k - 1] == 32)]
+        sums, n = np.zeros(model.weights.shape[1]), 0
+        for size in (2, 3, 4):
+            for k in range(len(plain) - size + 1):
+                key = sum(c << 8 * j for j, c in enumerate(plain[k : k + size]))
+                sums += model.weights[((key + size * 0x1F123BB5) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - language_id.BITS].astype(float)
+                n += 1
+        margin = sums / n + model.bias
+        nf = len(model.families)
+        p = np.exp(margin[:nf]) / np.exp(margin[:nf]).sum()
+        best = int(p.argmax())
+        inside = [k for k, x in enumerate(model.langs) if language_id._family(x) == model.families[best]]
+        votes = dict.fromkeys(inside, 0.0)
+        for c, (a, b) in enumerate(model.pairs):
+            q = 1 / (1 + np.exp(-2 * margin[nf + c]))
+            if a in votes:
+                votes[a] += (q >= 0.5) + 1e-3 * q
+                votes[b] += (q < 0.5) + 1e-3 * (1 - q)
+        first = max(inside, key=lambda k: votes[k])
+        share = min(1.0, votes[first] / (len(inside) - 1)) if len(inside) > 1 else 1.0
+        assert got[i].lang_pred == model.langs[first] and abs(got[i].score - p[best] * share) < 1e-5
+
+
+def test_long_blanks_in_every_block_are_sent_by_window(spark, monkeypatch):
+    """An anchor with many bytes of runs in each block is hot by its bytes; the result is that of all windows."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 60_000)
+    sent = []
+    kept = substrings._again
+    monkeypatch.setattr(substrings, "_again", lambda hot, hot_bytes: sent.append((hot, hot_bytes)) or kept(hot, hot_bytes))
+    rows = [(k, f"{k} head " + " " * 50_000 + f" tail {k}" + "-+" * 40) for k in range(12)] + [(50, "x" * 49), (51, " " * 50), (52, None)]
+    want = plain_repeats(rows, 50)
+    for hot_bytes in (100_000, 32 << 20):
+        got = sorted(map(tuple, substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), digest=True, hot_bytes=hot_bytes).collect()))
+        assert got == want
+    assert sent == [(5000, 100_000), (5000, 32 << 20)]
+    place = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    import glob
+
+    assert not glob.glob(f"{place}/pacelake_blocks*")
