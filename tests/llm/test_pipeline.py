@@ -93,3 +93,37 @@ def test_run_equals_its_stages(spark, data):
     out = corpus_pipeline.run(spark, data)
     assert out.count() > 0 and "sequence_id" in out.columns
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mixing", "packing"]
+
+
+def odd_documents():
+    good = "\n".join(f"Line {k} of this text says something of its own about number {k * 7}, and it ends well." for k in range(12))
+    other = "\n".join(f"Another story goes on here with word{k} and thing{k * 3}, as stories like this one do." for k in range(12))
+    near = good.replace("number 7,", "number eight,")
+    rows = [(1, good), (1, other), (2, good), (2, good), (None, good), (None, other), (3, near), (4, None), (5, ""), (6, "x"), (7, good * 40), (7, "\n".join(f"Fresh{k} tale{k} told{k} long{k} ago{k} by{k} them{k}." for k in range(3000)))]
+    return [(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else "s", None, "extra", 1, "z") for k, (i, t) in enumerate(rows)]
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept string, _row int, sequence_id string"
+
+
+@pytest.mark.parametrize("rows", [odd_documents(), []], ids=["odd", "empty"])
+def test_stages_take_odd_rows(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, ODD)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, "")
+        assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == COLUMNS, name
+        path = os.path.join(tmp_path, name)
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        if not rows:
+            assert docs.count() == 0
+    assert not rows or docs.where("piece = 0").count() > 0
+
+
+def test_near_duplicates_are_told_by_row(spark, tmp_path):
+    rows = [r[:5] for r in odd_documents()]
+    path = os.path.join(tmp_path, "docs")
+    spark.createDataFrame(rows, ", ".join(ODD.split(", ")[:5])).repartition(5).write.parquet(path)
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.near(spark, spark.read.parquet(path), "").collect())
+    good, other = rows[0][1], rows[1][1]
+    assert left == Counter([(1, good), (1, other), (4, None), (5, ""), (6, "x"), rows[11][:2]])
