@@ -55,13 +55,13 @@ class Block:
         first = inside.copy()
         first[1:] &= ~inside[:-1] | edge[1 : len(data)]
         starts = np.flatnonzero(first)
-        ends_piece = np.cumsum(BREAK[data] | edge[:-1])
+        ends = BREAK[data] | edge[1:]  # of a piece, at the byte or behind it
         size = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
         offsets = np.append(0, np.cumsum(size))
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
         self.ids, self.words, self.lang = coded.indices.to_numpy().astype(np.int64), coded.dictionary, lang
         #: Whether the next word belongs to the same piece; the last word has none.
-        self.more = np.append(ends_piece[starts[1:]] == ends_piece[starts[:-1]], False) if len(starts) else np.zeros(0, bool)
+        self.more = np.append(~np.logical_or.reduceat(ends, starts)[:-1], False) if len(starts) else np.zeros(0, bool)
         salt = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest()))
         at_word = np.frombuffer(self.words.buffers()[1], np.int64)[: len(self.words) + 1] if len(self.words) else np.zeros(1, np.int64)
         body = np.frombuffer(self.words.buffers()[2], np.uint8) if len(self.words) else np.zeros(0, np.uint8)
@@ -85,9 +85,9 @@ def blocks_of(batches):
 
 
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Runs of `values` (or of its rows) between bounds as byte strings."""
+    """Runs of `values` between bounds as byte strings."""
     values = np.ascontiguousarray(values)
-    at = np.asarray(bounds, np.int64) * values.strides[0]
+    at = np.asarray(bounds, np.int64) * values.itemsize
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(values)]).cast(pa.binary())
 
 
@@ -205,7 +205,7 @@ def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[order[first]] for c in columns], np.diff(np.append(first, len(key)))
 
 
-_FRAGMENT = "gid long, level int, lang string, words binary, lengths binary, keys binary, counts binary"
+_FRAGMENT = "gid long, level int, lang string, words binary, lengths binary, k1 binary, k2 binary, k3 binary, counts binary"
 
 
 def _fragments(block: Block, plan: Plan):
@@ -240,8 +240,8 @@ def _fragments(block: Block, plan: Plan):
     at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
     body = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]] if len(words) else np.zeros(0, np.uint8)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(gid[cuts]), pa.array(level[cuts].astype(np.int32)), pa.array([block.lang] * len(cuts), pa.string()), _packed(body, at[first] - at[0]), _packed(np.diff(at).astype(np.uint32), first), _packed(local.T, bounds), _packed(n.astype(np.uint32), bounds)],
-        ["gid", "level", "lang", "words", "lengths", "keys", "counts"],
+        [pa.array(gid[cuts]), pa.array(level[cuts].astype(np.int32)), pa.array([block.lang] * len(cuts), pa.string()), _packed(body, at[first] - at[0]), _packed(np.diff(at).astype(np.uint32), first), *(_packed(k, bounds) for k in local), _packed(n.astype(np.uint32), bounds)],
+        ["gid", "level", "lang", "words", "lengths", "k1", "k2", "k3", "counts"],
     )
 
 
@@ -257,9 +257,9 @@ def _subtree(min_count: int):
         offsets = np.append(0, np.cumsum(lengths))
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(words)]).dictionary_encode()
         code = np.append(coded.indices.to_numpy().astype(np.int64), -1)
-        sizes = np.array([len(x) // 12 for x in table.column("keys").to_pylist()])
+        sizes = np.array([len(x) // 4 for x in table.column("k1").to_pylist()])
         base = np.append(0, np.cumsum([len(x) // 4 for x in table.column("lengths").to_pylist()]))[:-1]
-        keys = _unpacked(table.column("keys"), np.int32).reshape(-1, 3).astype(np.int64)
+        keys = np.stack([_unpacked(table.column(c), np.int32) for c in ("k1", "k2", "k3")], axis=1).astype(np.int64)
         keys = code[np.where(keys >= 0, keys + np.repeat(base, sizes)[:, None], -1)]
         langs = table.column("lang").combine_chunks().dictionary_encode()
         lang = np.repeat(langs.indices.to_numpy(), sizes).astype(np.int64)
