@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import exact_mean
 from ..registry import Registry
 from ..session import cut
-from . import routes, segments, telemetry
+from . import fitness, routes, segments, telemetry
 from .features import run_sessions
 from .reads import run_page
 
@@ -26,13 +26,30 @@ def segment_summary(cells: DataFrame, length_m: float = 250.0) -> DataFrame:
     )
 
 
-def session_context(runs: DataFrame, clusters: DataFrame, obs: DataFrame, summary: DataFrame, economy: DataFrame) -> DataFrame:
-    """`runs` (run_id, subject, activity_date, distance_km, ...) with pace, load, route, segment summary and economy; runs without any of these stay."""
+def record_extent(records: DataFrame) -> DataFrame:
+    """One row a run over its records: first and last time, first and last valid coordinates, records with one, and the kilometres between
+    the least and greatest distance."""
+    valid = C("lat").between(-90, 90) & C("lon").between(-180, 180)
+    place = F.when(valid, F.struct("lat", "lon"))
+    order = F.when(valid, C("record_index"))
+    rows = records.groupBy("run_id").agg(
+        F.min("record_timestamp").alias("first_record"), F.max("record_timestamp").alias("last_record"), F.count(order).alias("gps_record_count"), F.min_by(place, order).alias("_a"), F.max_by(place, order).alias("_z"),
+        ((F.max("record_distance_m") - F.min("record_distance_m")) / 1000.0).alias("record_distance_km"),
+    )
+    return rows.select("run_id", "first_record", "last_record", "gps_record_count", C("_a.lat").alias("start_lat"), C("_a.lon").alias("start_lon"), C("_z.lat").alias("end_lat"), C("_z.lon").alias("end_lon"), "record_distance_km")
+
+
+def session_context(runs: DataFrame, clusters: DataFrame, obs: DataFrame, summary: DataFrame, economy: DataFrame, extent: DataFrame | None = None, mart: DataFrame | None = None) -> DataFrame:
+    """`runs` (run_id, subject, activity_date, distance_km, ...) with pace, load, route, segment summary and economy, and, where given, the
+    extent of their records (with the share of the distance that they cover) and score and decoupling; runs without any of these stay."""
     loaded = run_sessions(runs.withColumn("distance", C("distance_km").cast("decimal(20,5)")))
     pace = F.when(C("distance_km") > 0, C("duration_seconds") / 60.0 / C("distance_km"))
     path = obs.select("run_id", C("bucket").alias("route_bucket"), "start_cell", "end_cell", "signature")
     out = loaded.withColumn("pace", pace).join(clusters.withColumnRenamed("similarity", "route_similarity").drop("is_representative"), "run_id", "left")
-    return out.join(path, "run_id", "left").join(summary, "run_id", "left").join(economy.select("run_id", "m_per_beat", "climb_per_beat"), "run_id", "left").drop("distance")
+    out = out.join(path, "run_id", "left").join(summary, "run_id", "left").join(economy.select("run_id", "m_per_beat", "climb_per_beat"), "run_id", "left").drop("distance")
+    if extent is not None:
+        out = out.join(extent, "run_id", "left").withColumn("distance_coverage", F.when(C("distance_km") > 0, C("record_distance_km") / C("distance_km")))
+    return out if mart is None else out.join(mart.select("run_id", "score", "decoupling_pct"), "run_id", "left")
 
 
 def route_summary(sessions: DataFrame) -> DataFrame:
@@ -67,6 +84,13 @@ def sessions_of(t) -> DataFrame:
     return session_context(t.vrun, clusters, obs, segment_summary(segments.segments_of(t)), telemetry.heart_economy(t.vrec))
 
 
+def whole_sessions_of(t) -> DataFrame:
+    """Sessions with the extent of their records and their figures of the fitness mart."""
+    obs, edges = routes.graph_of(t)
+    clusters = routes.route_clusters(obs, edges, routes.chronological_roots(obs, edges))
+    return session_context(t.vrun, clusters, obs, segment_summary(segments.segments_of(t)), telemetry.heart_economy(t.vrec), record_extent(t.vgeo), cut(fitness.mart_of(t)))
+
+
 _LOAD = """(select subject, activity_date, cast(sum(n) over (partition by subject order by activity_date range between interval 7 days preceding and interval 1 day preceding) as bigint) as n7, cast(sum(n) over (partition by subject order by activity_date range between interval 28 days preceding and interval 1 day preceding) as bigint) as n28,
  cast(sum(d) over (partition by subject order by activity_date range between interval 7 days preceding and interval 1 day preceding) as double) as d7, cast(sum(d) over (partition by subject order by activity_date range between interval 28 days preceding and interval 1 day preceding) as double) as d28
  from (select subject, activity_date, count(*) as n, sum(cast(distance_km as decimal(20,5))) as d from {vrun} v group by 1, 2) x)"""
@@ -76,6 +100,9 @@ SESSIONS = f"""{routes.CLUSTER_CTES}, sx as materialized (select v.run_id, v.sub
  coalesce(n7, 0) as prior_7d_run_count, n28 as prior_28d_run_count, coalesce(d7, 0.0) as prior_7d_distance, d28 as prior_28d_distance, cl.route_id, cl.representative_run_id, cl.similarity as route_similarity, p.bucket as route_bucket, p.start_cell, p.end_cell, p.signature,
  m.segment_count, m.avg_segment_pace, m.avg_segment_grade, m.altitude_range_m, m.ascent_m, m.descent_m, m.net_elevation_m, e.m_per_beat, e.climb_per_beat
  from {{vrun}} v left join {_LOAD} l on v.subject = l.subject and v.activity_date = l.activity_date left join cl on cl.run_id = v.run_id left join {routes.OBS} p on p.run_id = v.run_id left join {_SUMMED} m on m.run_id = v.run_id left join {telemetry.ECO} e on e.run_id = v.run_id)"""
+WHOLE = f"""{SESSIONS}, ex as (select run_id, min(record_timestamp) as first_record, max(record_timestamp) as last_record, count(lat) as gps_record_count, arg_min(lat, record_index) filter (where lat is not null) as start_lat, arg_min(lon, record_index) filter (where lat is not null) as start_lon,
+ arg_max(lat, record_index) filter (where lat is not null) as end_lat, arg_max(lon, record_index) filter (where lat is not null) as end_lon, (max(record_distance_m) - min(record_distance_m)) / 1000.0 as record_distance_km from {{vgeo}} g group by run_id),
+ sw as materialized (select sx.*, ex.* exclude (run_id), case when distance_km > 0 then record_distance_km / distance_km end as distance_coverage, m.score, m.decoupling_pct from sx left join ex on ex.run_id = sx.run_id left join {fitness.MART} m on m.run_id = sx.run_id)"""
 _MEAN = "cast(sum(cast({0} as decimal(38,{1}))) as double) / count({0})"
 ROUTES = f"""{SESSIONS}, rs as materialized (select route_id, min(representative_run_id) as representative_run_id, min(activity_date) as first_date, max(activity_date) as last_date, count(*) as run_count, min(route_similarity) as min_similarity, {_MEAN.format("route_similarity", 9)} as avg_similarity,
  {_MEAN.format("distance_km", 5)} as avg_km, min(distance_km) as min_km, max(distance_km) as max_km, {_MEAN.format("duration_seconds", 0)} as avg_seconds, round(avg(pace), 6) as avg_pace, round(avg(avg_heart_rate), 6) as avg_hr, round(avg(ascent_m), 5) as avg_ascent_m, round(avg(descent_m), 5) as avg_descent_m,
@@ -83,6 +110,9 @@ ROUTES = f"""{SESSIONS}, rs as materialized (select route_id, min(representative
 _ROUNDED = {"pace": 6, "avg_heart_rate": 6, "avg_segment_pace": 5, "avg_segment_grade": 6, "altitude_range_m": 5, "ascent_m": 5, "descent_m": 5, "net_elevation_m": 5}
 _KEPT = ("run_id", "subject", "activity_date", "distance_km", "duration_seconds", "record_count", "prior_7d_run_count", "prior_28d_run_count", "prior_7d_distance", "prior_28d_distance", "route_id", "representative_run_id", "route_similarity", "route_bucket", "start_cell", "end_cell", "signature", "segment_count", "m_per_beat", "climb_per_beat")
 R.query("MD27_session_context", f"{SESSIONS} select {', '.join(_KEPT)}, {', '.join(f'round({c}, {n}) as {c}' for c, n in _ROUNDED.items())} from sx")(lambda t: sessions_of(t).select(*_KEPT, *[F.round(c, n).alias(c) for c, n in _ROUNDED.items()]))
+_EXTENT = ("first_record", "last_record", "gps_record_count", "start_lat", "start_lon", "end_lat", "end_lon", "score")
+R.query("MD27_whole_sessions", f"{WHOLE} select {', '.join((*_KEPT, *_EXTENT))}, {', '.join(f'round({c}, {n}) as {c}' for c, n in _ROUNDED.items())}, round(record_distance_km, 6) as record_distance_km, round(distance_coverage, 6) as distance_coverage, round(decoupling_pct, 5) as decoupling_pct from sw")(
+    lambda t: whole_sessions_of(t).select(*_KEPT, *_EXTENT, *[F.round(c, n).alias(c) for c, n in {**_ROUNDED, "record_distance_km": 6, "distance_coverage": 6, "decoupling_pct": 5}.items()]))
 R.query("MD28_route_summary", f"{ROUTES} select * from rs")(lambda t: route_summary(sessions_of(t)))
 _PRIOR = "over (partition by route_id order by activity_date, run_id rows between unbounded preceding and 1 preceding)"
 R.query("MD29_attempt_features", f"""{ROUTES} select run_id, activity_date, sx.route_id, sx.route_bucket, segment_count, round(sx.avg_segment_grade, 6) as segment_grade, round(altitude_range_m, 5) as altitude_range_m, round(ascent_m, 5) as ascent_m, round(descent_m, 5) as descent_m, prior_7d_run_count, prior_7d_distance, prior_28d_run_count, prior_28d_distance,
@@ -91,3 +121,5 @@ R.query("MD29_attempt_features", f"""{ROUTES} select run_id, activity_date, sx.r
     lambda t: (lambda s: attempt_features(s, route_summary(s)))(cut(sessions_of(t))))
 R.query("RD05_session_page", f"{SESSIONS} select run_id, route_id, m_per_beat, count(*) over () as total_count from sx where distance_km >= 0.4 order by m_per_beat desc nulls last, activity_date desc, run_id limit 50 offset 10")(
     lambda t: run_page(sessions_of(t), "distance_economy", True, 50, 10, ranges={"distance_km": (0.4, None)}).select("run_id", "route_id", "m_per_beat", "total_count"))
+R.query("RD05_score_page", f"{WHOLE} select run_id, score, round(distance_coverage, 6) as distance_coverage, count(*) over () as total_count from sw where gps_record_count >= 3 order by score desc nulls last, activity_date desc, run_id limit 60 offset 5")(
+    lambda t: run_page(whole_sessions_of(t), "efficiency", True, 60, 5, ranges={"gps_record_count": (3, None)}).select("run_id", "score", F.round("distance_coverage", 6).alias("distance_coverage"), "total_count"))

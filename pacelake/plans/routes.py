@@ -238,9 +238,15 @@ def _geocoded(t):
 R.query("MD31_geocode_routes", _MD31)(_geocoded)
 
 
-def geo_areas(points: DataFrame, keys: list[str], lat: str, lon: str, pad: float = 0.16, least: float = 0.02) -> DataFrame:
-    """Bounding box of each group, padded by a share of its size but `least` degrees at least, with centre and counts; missing keys are 'unknown'."""
-    named = points.select(*[F.coalesce(k, F.lit("unknown")).alias(k) for k in keys], lat, lon)
+def geo_areas(points: DataFrame, keys: list[str], lat: str, lon: str, pad: float = 0.16, least: float = 0.02, ident: str | None = None) -> DataFrame:
+    """Bounding box of each group, padded by a share of its size but `least` degrees at least, with centre and counts; missing keys are 'unknown'.
+    With `ident`, (keys, ident, area) rows instead of `n` and `visible`: the members of each area beside its box, one row each, so an
+    area may have any number of them."""
+    named = points.select(*[F.coalesce(k, F.lit("unknown")).alias(k) for k in keys], lat, lon, *([ident] if ident else []))
+    if ident:
+        names = [f"_{k}" for k in keys]
+        boxes = geo_areas(points, keys, lat, lon, pad, least).withColumnsRenamed(dict(zip(keys, names, strict=True)))
+        return named.select(*keys, ident).join(boxes, [C(a) == C(b) for a, b in zip(keys, names, strict=True)]).drop(*names, "n", "visible")
     box = named.groupBy(*keys).agg(F.count("*").alias("n"), F.count(lat).alias("visible"), *[f(c).alias(f"{n}_{c}") for c in (lat, lon) for n, f in (("min", F.min), ("max", F.max))])
     margin = lambda c: F.greatest((C(f"max_{c}") - C(f"min_{c}")) * pad, F.lit(least))
     return box.select(*keys, "n", "visible", *[x for c in (lat, lon) for x in (F.round(C(f"min_{c}") - margin(c), 6).alias(f"low_{c}"), F.round(C(f"max_{c}") + margin(c), 6).alias(f"high_{c}"), F.round((C(f"min_{c}") + C(f"max_{c}")) / 2, 6).alias(f"mid_{c}"))])
@@ -249,3 +255,6 @@ def geo_areas(points: DataFrame, keys: list[str], lat: str, lon: str, pad: float
 R.query("MD32_geo_areas", "select country, city, n, visible, " + ", ".join(f"round(mn{c} - greatest((mx{c} - mn{c}) * 0.16, 0.02), 6) as low_{c}, round(mx{c} + greatest((mx{c} - mn{c}) * 0.16, 0.02), 6) as high_{c}, round((mn{c} + mx{c}) / 2, 6) as mid_{c}" for c in ("lat", "lon")) + """ from (select coalesce(n_name, 'unknown') as country, coalesce(c_mktsegment, 'unknown') as city, count(*) as n, count(lat) as visible, min(lat) as mnlat, max(lat) as mxlat, min(lon) as mnlon, max(lon) as mxlon from
  (select n_name, c_mktsegment, case when c_custkey % 6 > 0 then cast(50 + c_custkey % 100 * 0.01 as double) end as lat, cast(4 + c_custkey % 77 * 0.02 as double) as lon from customer left join nation on c_nationkey = n_nationkey and n_nationkey > 3) x group by 1, 2) y""")(
     lambda t: geo_areas(t.customer.join(t.nation.where("n_nationkey > 3"), C("c_nationkey") == C("n_nationkey"), "left").select(C("n_name").alias("country"), C("c_mktsegment").alias("city"), F.when(C("c_custkey") % 6 > 0, (50 + C("c_custkey") % 100 * 0.01).cast("double")).alias("lat"), (4 + C("c_custkey") % 77 * 0.02).cast("double").alias("lon")), ["country", "city"], "lat", "lon"))
+_AREA = R.oracles["MD32_geo_areas"]
+R.query("MD32_area_members", f"select a.country, a.city, c_custkey as route_id, low_lat, high_lat, mid_lat, low_lon, high_lon, mid_lon from ({_AREA}) a join (select c_custkey, coalesce(n_name, 'unknown') as country, coalesce(c_mktsegment, 'unknown') as city from customer left join nation on c_nationkey = n_nationkey and n_nationkey > 3) m on m.country = a.country and m.city = a.city")(
+    lambda t: geo_areas(t.customer.join(t.nation.where("n_nationkey > 3"), C("c_nationkey") == C("n_nationkey"), "left").select(C("c_custkey").alias("route_id"), C("n_name").alias("country"), C("c_mktsegment").alias("city"), F.when(C("c_custkey") % 6 > 0, (50 + C("c_custkey") % 100 * 0.01).cast("double")).alias("lat"), (4 + C("c_custkey") % 77 * 0.02).cast("double").alias("lon")), ["country", "city"], "lat", "lon", ident="route_id"))

@@ -93,12 +93,14 @@ R.query("MD17_decoupling_gates", f"select run_id, status, reason, failed_gates,
 def fitness_signals(runs: DataFrame) -> DataFrame:
     """Signals of each run of a subject: efficiency, heart-rate band, means of four runs, and baselines over the 90 days before.
 
-    `runs`: subject, run_id, activity_date, distance, duration_seconds, avg_heart_rate, ending_heart_rate, recovery_drop.
+    `runs`: subject, run_id, activity_date, distance, duration_seconds, avg_heart_rate, ending_heart_rate, recovery_drop; and m_per_beat,
+    if metres a beat are known from records, else they come from the means.
     Recovery is compared within bands of ten of the ending heart rate; quartiles are observed values and need four runs.
     """
     km = C("distance").cast("double")
     speed = S.ratio(km, C("duration_seconds").cast("double")) * 3600
-    rows = runs.withColumns({"efficiency": F.when(C("avg_heart_rate") > 0, speed / C("avg_heart_rate")), "hr_band": S.heart_rate_band(C("avg_heart_rate")), "economy": F.when(C("avg_heart_rate") > 0, km * 1000 / (C("avg_heart_rate") * C("duration_seconds") / 60.0))})
+    economy = C("m_per_beat") if "m_per_beat" in runs.columns else F.when(C("avg_heart_rate") > 0, km * 1000 / (C("avg_heart_rate") * C("duration_seconds") / 60.0))
+    rows = runs.withColumns({"efficiency": F.when(C("avg_heart_rate") > 0, speed / C("avg_heart_rate")), "hr_band": S.heart_rate_band(C("avg_heart_rate")), "economy": economy})
     band = F.when(C("ending_heart_rate") > 0, F.floor(C("ending_heart_rate") / 10) * 10)
     rows = rows.withColumn("_band", band).withColumn("_rec", F.when((C("recovery_drop") > 0) & (C("ending_heart_rate") > 0), C("recovery_drop"))).withColumn("_day", F.unix_date("activity_date").cast("long"))
     along = Window.partitionBy("subject").orderBy("activity_date", "run_id")
@@ -124,13 +126,17 @@ _BAND = "case " + " ".join(f"when avg_heart_rate between {b} and {b + 9} then '{
 _SAME = "over (partition by subject, band order by activity_date range between interval 90 days preceding and interval 1 day preceding)"
 _PRIOR = "over (partition by subject order by activity_date range between interval 90 days preceding and interval 1 day preceding)"
 _ALONG = "over (partition by subject order by activity_date, run_id rows between"
-FIT = f"""(select subject, run_id, activity_date, hr_band, prior_7d, n as recovery_count, {", ".join(f"case when n >= 4 then {c} end as recovery_{c}" for c in ("q1", "median", "q3", "min", "max"))}, previous_prior_7d, round(efficiency, 6) as efficiency, round(efficiency_4, 6) as efficiency_4, round(recovery_4, 6) as recovery_4, round(economy, 6) as economy, round(previous_economy, 6) as previous_economy,
+def _fit_sql(runs: str, economy: str) -> str:
+    return f"""(select subject, run_id, activity_date, hr_band, prior_7d, n as recovery_count, {", ".join(f"case when n >= 4 then {c} end as recovery_{c}" for c in ("q1", "median", "q3", "min", "max"))}, previous_prior_7d, round(efficiency, 6) as efficiency, round(efficiency_4, 6) as efficiency_4, round(recovery_4, 6) as recovery_4, round(economy, 6) as economy, round(previous_economy, 6) as previous_economy,
   round(case when ne >= 3 and expected > 0 and economy is not null then 100 * economy / expected end, 6) as score from
  (select *, avg(efficiency) {_ALONG} 3 preceding and current row) as efficiency_4, avg(recovery_drop) {_ALONG} 3 preceding and current row) as recovery_4, count(rec) {_SAME} as n, {", ".join(f"quantile_disc(rec, {q}) {_SAME} as {c}" for c, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))}, min(rec) {_SAME} as "min", max(rec) {_SAME} as "max",
   avg(economy) {_PRIOR} as expected, count(economy) {_PRIOR} as ne, last_value(economy ignore nulls) {_ALONG} unbounded preceding and 1 preceding) as previous_economy, last_value(prior_7d ignore nulls) {_ALONG} unbounded preceding and 1 preceding) as previous_prior_7d from
- (select v.*, {_BAND} as hr_band, case when avg_heart_rate > 0 then cast(v.distance as double) / duration_seconds * 3600 / avg_heart_rate end as efficiency, case when avg_heart_rate > 0 then cast(v.distance as double) * 1000 / (avg_heart_rate * duration_seconds / 60.0) end as economy, case when ending_heart_rate > 0 then floor(ending_heart_rate / 10) * 10 end as band,
-  case when recovery_drop > 0 and ending_heart_rate > 0 then recovery_drop end as rec, l.prior_7d from {{vnat}} v join (select subject, activity_date, coalesce(cast(sum(d) over (partition by subject order by activity_date range between interval 7 days preceding and interval 1 day preceding) as double), 0.0) as prior_7d from
-  (select subject, activity_date, sum(distance) as d from {{vnat}} n group by 1, 2) x) l on v.subject = l.subject and v.activity_date = l.activity_date) a) b)"""
+ (select v.*, {_BAND} as hr_band, case when avg_heart_rate > 0 then cast(v.distance as double) / nullif(duration_seconds, 0) * 3600 / avg_heart_rate end as efficiency, {economy} as economy, case when ending_heart_rate > 0 then floor(ending_heart_rate / 10) * 10 end as band,
+  case when recovery_drop > 0 and ending_heart_rate > 0 then recovery_drop end as rec, l.prior_7d from {runs} v join (select subject, activity_date, coalesce(cast(sum(d) over (partition by subject order by activity_date range between interval 7 days preceding and interval 1 day preceding) as double), 0.0) as prior_7d from
+  (select subject, activity_date, sum(distance) as d from {runs} n group by 1, 2) x) l on v.subject = l.subject and v.activity_date = l.activity_date) a) b)"""
+
+
+FIT = _fit_sql("{vnat}", "case when avg_heart_rate > 0 then cast(v.distance as double) * 1000 / (avg_heart_rate * duration_seconds / 60.0) end")
 R.query("MD20_fitness_signals", f"select * from {FIT} f")(lambda t: fitness_signals(t.vnat))
 
 
