@@ -23,23 +23,24 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], position: str,
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, key: str, bounds: tuple[str, str], windows: tuple[str, str], width: int | None = None) -> DataFrame:
-    """`left` rows, which must be distinct, with `overlap`: how much of (start, end] windows of the same key cover.
+    """`left` rows, repeated ones too, with `overlap`: how much of (start, end] windows of the same key cover.
 
     With `width`, both sides are cut into slices of that many units, so that a key with long histories joins
     within slices; overlaps of slices add up.
     """
     (a, b), (c, d) = bounds, windows
     windows_of = right.select(F.col(key).alias("_key"), F.col(c).alias("_c"), F.col(d).alias("_d"))
-    rows, on = left, (F.col(key) == F.col("_key")) & (F.col(a) < F.col("_d")) & (F.col(b) > F.col("_c"))
+    numbered = left.withColumn("_row", F.monotonically_increasing_id())
+    rows, on = numbered, (F.col(key) == F.col("_key")) & (F.col(a) < F.col("_d")) & (F.col(b) > F.col("_c"))
     low, high = F.greatest(F.col(a), F.col("_c")), F.least(F.col(b), F.col("_d"))
     if width:
         slices = lambda x, y: F.explode_outer(F.sequence(F.floor(x / width), F.floor(y / width)))
-        rows = left.withColumn("_slice", slices(F.col(a), F.col(b)))
+        rows = numbered.withColumn("_slice", slices(F.col(a), F.col(b)))
         windows_of = windows_of.withColumn("_slice2", slices(F.col("_c"), F.col("_d")))
         on = on & (F.col("_slice") == F.col("_slice2"))
         low, high = F.greatest(low, F.col("_slice") * width), F.least(high, (F.col("_slice") + 1) * width)
     shared = F.when(F.col("_c").isNotNull(), F.greatest(high - low, F.lit(0)))
-    return rows.join(windows_of, on, "left").groupBy(*left.columns).agg(F.coalesce(F.sum(shared), F.lit(0)).cast("double").alias("overlap"))
+    return rows.join(windows_of, on, "left").groupBy("_row", *left.columns).agg(F.coalesce(F.sum(shared), F.lit(0)).cast("double").alias("overlap")).drop("_row")
 
 
 def nearest_place(points: DataFrame, places: DataFrame, point_id: str, lat: float | str = "lat", lon: str = "lon", d_lat: float = 0.5, d_lon: float = 0.7, tie_km: float = 0.001) -> DataFrame:

@@ -117,7 +117,7 @@ R.query("WN25_forward_fill", f"select event_id, case when heart_rate is null and
 # ---- sorting, sets, subqueries, generators ---------------------------------------------------------
 
 R.query("SO01_order_by", "select o_orderpriority, o_totalprice, o_orderkey from orders order by o_orderpriority, o_totalprice desc, o_orderkey")(lambda t: t.orders.orderBy("o_orderpriority", C("o_totalprice").desc(), "o_orderkey").select("o_orderpriority", "o_totalprice", "o_orderkey"))
-R.query("SO02_nulls_last", "select event_id, heart_rate from {vrec} r order by heart_rate desc nulls last, record_timestamp, event_id limit 200")(lambda t: t.vrec.orderBy(C("heart_rate").desc_nulls_last(), "record_timestamp", "event_id").limit(200).select("event_id", "heart_rate"))
+R.query("SO02_nulls_last", "select event_id, heart_rate from {vrec} r order by heart_rate desc nulls last, record_timestamp, event_id")(lambda t: t.vrec.orderBy(C("heart_rate").desc_nulls_last(), "record_timestamp", "event_id").select("event_id", "heart_rate"))
 R.query("SO02_nulls_last_whole", "select event_id, heart_rate from {vrec} r order by heart_rate desc nulls last, record_timestamp, event_id")(lambda t: t.vrec.orderBy(C("heart_rate").desc_nulls_last(), "record_timestamp", "event_id").select("event_id", "heart_rate"))
 
 
@@ -136,7 +136,7 @@ R.query("SO06_latest_values", """select run_id, max(case when rn = 1 then heart_
  row_number() over (partition by run_id order by heart_rate is null, record_index desc) as nn, dense_rank() over (partition by run_id order by k desc) as dr from {vrec} r) x group by run_id""")(
     lambda t: t.vrec.withColumn("dr", F.dense_rank().over(Window.partitionBy("run_id").orderBy(C("k").desc()))).groupBy("run_id").agg(
         F.max_by("heart_rate", "record_index").alias("latest"), F.max_by("heart_rate", F.when(C("heart_rate").isNotNull(), C("record_index"))).alias("latest_known"), F.max(F.when(C("dr") == 2, C("k"))).alias("second_k")))
-R.query("SO07_directed", "select run_id, avg_heart_rate from {vrun} r order by avg_heart_rate asc nulls last, run_id limit 50")(lambda t: t.vrun.orderBy(C("avg_heart_rate").asc_nulls_last(), "run_id").limit(50).select("run_id", "avg_heart_rate"))
+R.query("SO07_directed", "select run_id, avg_heart_rate from {vrun} r order by avg_heart_rate asc nulls last, run_id")(lambda t: t.vrun.orderBy(C("avg_heart_rate").asc_nulls_last(), "run_id").select("run_id", "avg_heart_rate"))
 R.query("SO07_directed_whole", "select run_id, avg_heart_rate from {vrun} r order by avg_heart_rate asc nulls last, run_id")(lambda t: t.vrun.orderBy(C("avg_heart_rate").asc_nulls_last(), "run_id").select("run_id", "avg_heart_rate"))
 R.query("ST01_union_all", "select n_name as name, 'nation' as kind from nation union all select r_name, 'region' from region")(lambda t: t.nation.select(C("n_name").alias("name"), F.lit("nation").alias("kind")).unionByName(t.region.select(C("r_name").alias("name"), F.lit("region").alias("kind"))))
 R.query("ST02_union", "select c_nationkey as k from customer union select s_nationkey from supplier")(lambda t: t.customer.select(C("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey")).distinct())
@@ -148,7 +148,7 @@ R.sql("SQ01_scalar_subquery", "select o_orderkey, o_totalprice, (select count(*)
 R.query("SQ02_correlated", "select o_orderkey from orders o where o_totalprice > (select avg(i.o_totalprice) from orders i where i.o_custkey = o.o_custkey)")(
     lambda t: t.orders.withColumn("m", F.avg("o_totalprice").over(Window.partitionBy("o_custkey"))).where("o_totalprice > m").select("o_orderkey"))
 R.sql("SQ03_recursive_cte", "with recursive n(i) as (select cast(1 as bigint) union all select i + 1 from n where i < 7), q as (select l_linenumber, cast(sum(cast(l_quantity as decimal(18,2))) as double) as qty from {lineitem} l group by l_linenumber), m as (select max(qty) as top from q) select i, qty, top from n left join q on i = l_linenumber cross join m")
-R.query("GN01_sequence", "select l_orderkey, l_linenumber, unnest(range(1, l_linenumber + 1)) as i from lineitem where l_quantity > 48")(lambda t: t.lineitem.where("l_quantity > 48").select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1).cast("long"), C("l_linenumber").cast("long"))).alias("i")))
+R.query("GN01_sequence", "select l_orderkey, l_linenumber, unnest(range(1, l_linenumber + 1)) as i from lineitem")(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1).cast("long"), C("l_linenumber").cast("long"))).alias("i")))
 R.query("GN01_sequence_whole", "select l_orderkey, l_linenumber, unnest(range(1, l_linenumber + 1)) as i from lineitem")(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1).cast("long"), C("l_linenumber").cast("long"))).alias("i")))
 
 
@@ -159,7 +159,7 @@ def date_spine(dates: DataFrame, column: str, last=None) -> DataFrame:
 
 
 R.query("GN02_date_spine", "select cast(unnest(generate_series(min(cast(o_orderdate as date))::timestamp, date '2001-12-31'::timestamp, interval 1 day)) as date) as calendar_date from orders")(lambda t: date_spine(t.orders, "o_orderdate", "2001-12-31"))
-R.query("GN03_posexplode", "select vec_id, i as pos, cast(embedding[i + 1] as double) as x from (select vec_id, embedding, unnest(range(4)) as i from embeddings) y")(lambda t: t.embeddings.select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("p", "v")).select("vec_id", C("p").cast("long").alias("pos"), C("v").cast("double").alias("x")))
+R.query("GN03_posexplode", "select vec_id, i as pos, cast(embedding[i + 1] as double) as x from (select vec_id, embedding, unnest(range(len(embedding))) as i from embeddings) y")(lambda t: t.embeddings.select("vec_id", F.posexplode("embedding").alias("p", "v")).select("vec_id", C("p").cast("long").alias("pos"), C("v").cast("double").alias("x")))
 R.query("GN03_posexplode_whole", "select vec_id, i as pos, cast(embedding[i + 1] as double) as x from (select vec_id, embedding, unnest(range(len(embedding))) as i from embeddings) y")(lambda t: t.embeddings.select("vec_id", F.posexplode("embedding").alias("p", "v")).select("vec_id", C("p").cast("long").alias("pos"), C("v").cast("double").alias("x")))
 R.query("GN04_unpivot", "select p_partkey, 'size' as metric, cast(p_size as double) as v from part union all select p_partkey, 'price', p_retailprice from part")(
     lambda t: t.part.select("p_partkey", C("p_size").cast("double").alias("size"), C("p_retailprice").alias("price")).unpivot("p_partkey", ["size", "price"], "metric", "v"))

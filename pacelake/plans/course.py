@@ -44,7 +44,7 @@ def _top_decile(t) -> DataFrame:
     """Percent rank from the last place of each price: rows above it are those behind that place."""
     orders = t.orders.select("o_orderkey", "o_totalprice")
     n = orders.count()
-    last = global_order(orders, ["o_totalprice"], "place").groupBy(C("o_totalprice").alias("p")).agg(F.max("place").alias("upto"))
+    last = global_order(orders, ["o_totalprice", "o_orderkey"], "place").groupBy(C("o_totalprice").alias("p")).agg(F.max("place").alias("upto"))
     ranks = last.withColumn("pr", (n - C("upto")) / F.lit(float(max(n - 1, 1)))).where("pr <= 0.1")
     return orders.join(ranks, C("o_totalprice").eqNullSafe(C("p"))).select("o_orderkey", F.round("pr", 6).alias("pr"))
 
@@ -53,7 +53,7 @@ def _rank_in_year(t) -> DataFrame:
     """Rank from the last places of a year and of each price in it."""
     keys = ["yr", "o_totalprice"]
     orders = t.orders.select("o_orderkey", F.year("o_orderdate").cast("long").alias("yr"), "o_totalprice")
-    last = global_order(orders, keys, "place").groupBy(C("yr").alias("y"), C("o_totalprice").alias("p")).agg(F.max("place").alias("upto"))
+    last = global_order(orders, [*keys, "o_orderkey"], "place").groupBy(C("yr").alias("y"), C("o_totalprice").alias("p")).agg(F.max("place").alias("upto"))
     ends = last.groupBy(C("y").alias("z")).agg(F.max("upto").alias("end"))  # one row a year
     ranks = last.join(F.broadcast(ends), C("y").eqNullSafe(C("z"))).withColumn("place", C("end") - C("upto") + 1)
     return orders.join(ranks, C("yr").eqNullSafe(C("y")) & C("o_totalprice").eqNullSafe(C("p"))).select("o_orderkey", "yr", "place")

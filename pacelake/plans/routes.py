@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,7 +120,8 @@ R.query("MD23_route_similarity_strict", f"select l_id as run_id, r_id as connect
 
 def chronological_roots(obs: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
     """(run_id, ord, root): runs by (date, id) order; root starts as the least of a run and its direct neighbours and follows
-    pointers until nothing changes (`rounds` at most). Links are never taken up again, so roots are not components.
+    pointers until nothing changes, or for `rounds` rounds, in which a chain of up to 2^rounds pointers is followed; a longer one would
+    end early. Links are never taken up again, so roots are not components.
 
     The order key is the pair itself, which sorts as the order does, so no global numbering is needed.
     """
@@ -146,20 +150,48 @@ ROOTS = _root_steps(12)
 R.query("MD24_chronological_roots", f"{ROOTS} select a.run_id, b.run_id as root_run_id from s12 a join o b on a.root = b.ord")(lambda t: chronological_roots(*graph_of(t)))
 
 
+def _local_roots(batches):
+    """Links (a, b) of one partition as links of each name with the least name that it reaches there."""
+    batches = list(batches)
+    links = pa.Table.from_batches(batches).combine_chunks() if batches else None
+    if links is None or not links.num_rows:
+        return
+    ends = pa.concat_arrays([links.column(0).combine_chunks(), links.column(1).combine_chunks()])
+    names = pc.unique(ends).sort()
+    x, y = np.split(pc.index_in(ends, names).to_numpy().astype(np.int64), 2)
+    root = np.arange(len(names))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root != root[root]).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(moved)), names.take(pa.array(root[moved]))], ["a", "b"])
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(run_id, component): the smallest id that a run reaches. Labels spread over links and then jump to the label of their
-    label, so the rounds grow with the logarithm of the longest path; edges hold both directions."""
-    state = cut(nodes.select("run_id", C("run_id").alias("component")))
-    links = cut(edges.select("run_id", "connected_run_id"))
+    """(run_id, component): the smallest id that a run reaches, itself where it has no link.
+
+    Each partition first contracts its links by itself. Then, until every linked run points straight at a run that points
+    nowhere: a run's larger neighbours are linked with the smallest of its neighbourhood, then its smaller ones (large and small stars), so
+    rounds grow with the logarithm of the longest path. Runs come in at the end only.
+    """
+    kind = dict(nodes.dtypes)["run_id"]
+    links = edges.select(F.greatest("run_id", "connected_run_id").alias("a"), F.least("run_id", "connected_run_id").alias("b")).where("a != b")
+    links = cut(links.mapInArrow(_local_roots, f"a {kind}, b {kind}").distinct())
     for _ in range(max_rounds):
-        near = links.join(state.select(C("run_id").alias("connected_run_id"), C("component").alias("_c")), "connected_run_id").groupBy("run_id").agg(F.min("_c").alias("_m"))
-        spread = state.join(near, "run_id", "left").select("run_id", "component", F.least("component", F.coalesce("_m", "component")).alias("_n"))
-        spread = cut(spread)
-        jump = spread.join(spread.select(C("run_id").alias("_n"), C("_n").alias("_j")), "_n")
-        after = cut(jump.select("run_id", F.least("_n", "_j").alias("component"), (F.least("_n", "_j") != C("component")).alias("_moved")))
-        state = after.drop("_moved")
-        if after.where("_moved").isEmpty():
-            return state
+        ends = links.select("a", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(links.select(C("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty():
+            found = links.select(C("a").alias("_a"), C("b").alias("_b"))
+            return nodes.select("run_id").join(found, C("run_id") == C("_a"), "left").select("run_id", F.coalesce("_b", "run_id").alias("component"))
+        both = links.unionByName(links.select(C("b").alias("a"), C("a").alias("b")))
+        least = both.groupBy(C("a").alias("_u")).agg(F.least(F.min("b"), F.first("a")).alias("_low"))
+        large = both.join(least, C("a") == C("_u")).where("b > a").select(C("b").alias("a"), C("_low").alias("b")).distinct()
+        low = large.groupBy(C("a").alias("_u")).agg(F.min("b").alias("_low"))
+        small = large.join(low, C("a") == C("_u")).where("b != _low").select(C("b").alias("a"), C("_low").alias("b"))
+        links = cut(small.unionByName(low.select(C("_u").alias("a"), C("_low").alias("b"))).mapInArrow(_local_roots, f"a {kind}, b {kind}").distinct())
     raise RuntimeError("components did not settle")
 
 

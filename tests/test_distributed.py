@@ -181,3 +181,22 @@ def test_many_runs_of_one_start_are_not_all_paired(spark):
     obs = spark.createDataFrame(found, "run_id string, distance_km double, bucket int, start_cell long, end_cell long, n long, path array<struct<pos:long,cell:long>>")
     assert routes.candidate_pairs(obs, 0.8, ("bucket", "start_cell", "end_cell")).count() == 2500
     assert routes.similarity(obs, 0.8).count() == 5000
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_of_random_graphs(spark, seed):
+    r = np.random.default_rng(seed)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in zip(r.integers(0, 400, 260), r.integers(0, 400, 260)) if a != b} | {(k, k + 1) for k in range(500, 560)}
+    top = {k: k for k in range(600)}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in sorted(pairs):
+        x, y = sorted((find(a), find(b)), key=str)
+        top[y] = x
+    nodes = spark.createDataFrame([(str(k),) for k in range(600)], "run_id string")
+    edges = spark.createDataFrame([(str(x), str(y)) for a, b in pairs for x, y in ((a, b), (b, a))], "run_id string, connected_run_id string").repartition(5)
+    assert dict(map(tuple, routes.connected_components(nodes, edges).collect())) == {str(k): str(find(k)) for k in range(600)}
