@@ -1,6 +1,7 @@
 """Input tables, and views that stand for telemetry over them.
 
 `vrec` records (one run per user and week), `vgeo` records with coordinates, `vevt` timer events, `vrun` runs,
+`lrec`, `levt` and `lrun` the same as `vrec`, `vevt` and `vrun` for long runs over order lines (one run a supplier),
 `vday` dated sessions of customers, `vnat` the same for nations with more measures, `vrest` resting heart rates by day. Each view exists as DataFrame code and as SQL text for comparison.
 """
 
@@ -68,6 +69,30 @@ class Tables:
             F.max("elapsed_seconds").alias("duration_seconds"), F.avg("heart_rate").alias("avg_heart_rate"), F.count("*").alias("record_count"),
         )
 
+    @cached_property
+    def lrec(self) -> DataFrame:
+        along = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+        rows = self.lineitem.withColumn("record_index", F.row_number().over(along).cast("long"))
+        metres = F.sum(F.col("l_quantity").cast("decimal(18,2)")).over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
+        beats = F.when((F.col("l_orderkey") % 17 != 0) & ((F.col("l_suppkey") % 5 != 0) | (F.col("l_linenumber") < 3)), (120 + F.col("l_linenumber") * 3 + F.floor(F.col("record_index") / 60)).cast("double"))
+        return rows.select(
+            F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("run_id"), F.col("l_suppkey").cast("string").alias("subject"), "record_index", (F.col("record_index") * 7).alias("elapsed_seconds"), metres.alias("record_distance_m"), beats.alias("heart_rate"),
+            F.lit(170.0).alias("running_cadence"), (F.col("l_partkey") % 90).cast("double").alias("altitude_m"), (52 + F.col("record_index") * 0.0001).cast("double").alias("lat"), F.lit(4.9).alias("lon"),
+        )
+
+    @cached_property
+    def levt(self) -> DataFrame:
+        last = F.max("record_index").over(Window.partitionBy("run_id"))
+        rows = self.lrec.select("run_id", "record_index", "elapsed_seconds", F.col("subject").cast("int").alias("s")).withColumn("n", last)
+        pause = (F.col("s") % 7 == 3) & F.col("record_index").isin(100, 110)
+        stop = ((F.col("record_index") == F.col("n")) & (F.col("s") % 11 != 5)) | (F.col("s") % 7 == 3) & (F.col("record_index") == 100)
+        kind = F.when(stop, "stop_all").otherwise("start")
+        return rows.where((F.col("record_index") == 1) | stop | pause).select("run_id", F.col("elapsed_seconds").alias("t"), "record_index", kind.alias("et"))
+
+    @cached_property
+    def lrun(self) -> DataFrame:
+        return self.lrec.groupBy("run_id", "subject").agg((F.max("record_distance_m") / 1000.0).alias("distance_km"), F.max("elapsed_seconds").alias("duration_seconds"), F.avg("heart_rate").alias("avg_heart_rate"), F.count("*").alias("record_count"))
+
     @cached_property
     def vday(self) -> DataFrame:
         return self.orders.select(F.col("o_orderdate").cast("date").alias("activity_date"), F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("distance"))
@@ -103,7 +128,15 @@ _VNAT = """(select cast(o_orderdate as date) as activity_date, cast(c_nationkey
   cast(o_orderkey % 5000 + 600 as bigint) as duration_seconds, case when o_orderkey % 7 <> 0 then cast(100 + o_orderkey % 75 as double) end as avg_heart_rate,
   case when o_orderkey % 5 <> 0 then cast(20 + o_orderkey % 40 as double) end as recovery_drop, case when o_orderkey % 11 <> 0 then cast(130 + o_orderkey % 50 as double) end as ending_heart_rate
  from orders join customer on o_custkey = c_custkey)"""
+_LREC = """(select concat('s', l_suppkey) as run_id, cast(l_suppkey as varchar) as subject, record_index, record_index * 7 as elapsed_seconds, cast(metres as double) as record_distance_m,
+  case when l_orderkey % 17 <> 0 and (l_suppkey % 5 <> 0 or l_linenumber < 3) then cast(120 + l_linenumber * 3 + floor(record_index / 60) as double) end as heart_rate, cast(170 as double) as running_cadence, cast(l_partkey % 90 as double) as altitude_m,
+  cast(52 + record_index * 0.0001 as double) as lat, cast(4.9 as double) as lon from (select *, row_number() over w as record_index, sum(cast(l_quantity as decimal(18,2))) over (w rows between unbounded preceding and current row) as metres
+   from lineitem window w as (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey)) l0)"""
 VIEWS = {
+    "lrec": _LREC,
+    "levt": f"""(select run_id, elapsed_seconds as t, record_index, case when (record_index = n and s % 11 <> 5) or (s % 7 = 3 and record_index = 100) then 'stop_all' else 'start' end as et
+  from (select *, cast(subject as int) as s, max(record_index) over (partition by run_id) as n from {_LREC} l1) l2 where record_index = 1 or (record_index = n and s % 11 <> 5) or (s % 7 = 3 and record_index in (100, 110)))""",
+    "lrun": f"(select run_id, subject, max(record_distance_m) / 1000.0 as distance_km, max(elapsed_seconds) as duration_seconds, avg(heart_rate) as avg_heart_rate, count(*) as record_count from {_LREC} l3 group by run_id, subject)",
     "vnat": _VNAT,
     "vrest": f"(select subject, activity_date as calendar_date, cast(45 + min(run_id) % 20 as double) as resting_heart_rate from {_VNAT} n0 where day(activity_date) % 3 <> 0 group by subject, activity_date)",
     "vrec": _VREC,

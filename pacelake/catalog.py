@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .operators import relational, windows
-from .plans import assertions, context, course, features, fitness, reads, rollups, routes, segments, signals, telemetry
+from .plans import assertions, context, course, features, fitness, longruns, reads, rollups, routes, segments, signals, telemetry
 from .sources import ingest, published
 from .streaming import replace
 
-REGISTRIES = [m.R for m in (ingest, published, relational, windows, rollups, telemetry, segments, signals, routes, features, fitness, context, reads, course, assertions, replace)]
+REGISTRIES = [m.R for m in (ingest, published, relational, windows, rollups, telemetry, segments, signals, routes, features, fitness, longruns, context, reads, course, assertions, replace)]

@@ -68,24 +68,34 @@ def valid_segments(cells: DataFrame, g: Gates) -> DataFrame:
     return cells.where((C("length_m") == 250.0) & (C("distance_m") >= g.segment_m) & (C("seconds") > 0) & (C("speed_kmh") >= g.segment_kmh) & (C("avg_heart_rate") > 0)).groupBy("run_id").agg(F.count("*").alias("n_segments"))
 
 
-def decoupling_of(t) -> DataFrame:
+def decoupling_of(t, g: Gates = SMALL) -> DataFrame:
     context = telemetry.timer_context(t.vevt)
     totals = t.vrun.join(context.select("run_id", C("timer_seconds").alias("s")), "run_id", "left").select("run_id", C("s").alias("timer_seconds"))
-    return decoupling(telemetry.halves_of(t), context, totals, valid_segments(segments.segments_of(t), SMALL), SMALL)
+    return decoupling(telemetry.halves_of(t), context, totals, valid_segments(segments.segments_of(t), g), g)
+
+
+def _gates_sql(g: Gates) -> dict[str, str]:
+    return {
+        "invalid_timer_events": "bad", "incomplete_timer_telemetry": f"not bad and abs(seconds - timer_seconds) > {g.reconcile_seconds}",
+        "insufficient_timer_running_duration": f"not bad and seconds < {g.seconds}", "insufficient_timer_running_distance": f"not bad and distance_m < {g.metres}",
+        "insufficient_valid_segments": f"not bad and n_segments < {g.segments}", "insufficient_hr_coverage": f"not bad and (coverage < {g.coverage} or coverage1 < {g.coverage} or coverage2 < {g.coverage})",
+        "excessive_hr_gap": f"not bad and max_gap > {g.gap_seconds}", "missing_half_heart_rate": "not bad and (hr1 is null or hr2 is null)", "invalid_half_speed": "not bad and (speed1 <= 0 or speed2 <= 0)",
+    }
 
 
-_Q = f"""(select h.*, c.starts, c.stops, c.windows, c.timer_seconds, coalesce(v.n, 0) as n_segments, m1 / nullif(s1, 0) * 3.6 as speed1, m2 / nullif(s2, 0) * 3.6 as speed2, (s1 * coverage1 + s2 * coverage2) / nullif(seconds, 0) as coverage,
- starts = 0 or starts <> stops or windows <> starts or timer_seconds is null as bad from {telemetry.HALF} h left join {telemetry.CTX} c on h.run_id = c.run_id
- left join (select run_id, count(*) as n from {segments.SEG} s where length_m = 250 and distance_m >= 100 and seconds > 0 and speed_kmh >= 0.01 and avg_heart_rate > 0 group by run_id) v on h.run_id = v.run_id)"""
-_GATES = {
-    "invalid_timer_events": "bad", "incomplete_timer_telemetry": "not bad and abs(seconds - timer_seconds) > 2", "insufficient_timer_running_duration": "not bad and seconds < 300", "insufficient_timer_running_distance": "not bad and distance_m < 200",
-    "insufficient_valid_segments": "not bad and n_segments < 1", "insufficient_hr_coverage": "not bad and (coverage < 0.3 or coverage1 < 0.3 or coverage2 < 0.3)", "excessive_hr_gap": "not bad and max_gap > 500",
-    "missing_half_heart_rate": "not bad and (hr1 is null or hr2 is null)", "invalid_half_speed": "not bad and (speed1 <= 0 or speed2 <= 0)",
-}
 _DEC_COLS = ("decoupling", "seconds", "distance_m", "coverage", "max_gap", "speed1", "speed2", "hr1", "hr2", "m1", "m2")
-DEC = f"""(select r.run_id, case when q.run_id is null or reason <> '' then 'ineligible' else 'eligible' end as status, case when q.run_id is null then 'missing_timer_telemetry' else nullif(reason, '') end as reason, coalesce(failed, '') as failed_gates,
+def dec_sql(g: Gates) -> str:
+    """`decoupling_of` as SQL text for comparison."""
+    halves = f"""(select h.*, c.starts, c.stops, c.windows, c.timer_seconds, coalesce(v.n, 0) as n_segments, m1 / nullif(s1, 0) * 3.6 as speed1, m2 / nullif(s2, 0) * 3.6 as speed2, (s1 * coverage1 + s2 * coverage2) / nullif(seconds, 0) as coverage,
+ starts = 0 or starts <> stops or windows <> starts or timer_seconds is null as bad from {telemetry.HALF} h left join {telemetry.CTX} c on h.run_id = c.run_id
+ left join (select run_id, count(*) as n from {segments.SEG} s where length_m = 250 and distance_m >= {g.segment_m} and seconds > 0 and speed_kmh >= {g.segment_kmh} and avg_heart_rate > 0 group by run_id) v on h.run_id = v.run_id)"""
+    failed = ", ".join(f"case when {c} then '{n}' end" for n, c in _gates_sql(g).items())
+    return f"""(select r.run_id, case when q.run_id is null or reason <> '' then 'ineligible' else 'eligible' end as status, case when q.run_id is null then 'missing_timer_telemetry' else nullif(reason, '') end as reason, coalesce(failed, '') as failed_gates,
  case when q.run_id is not null and reason = '' then speed1 / nullif(hr1, 0) / nullif(speed2 / nullif(hr2, 0), 0) - 1 end as decoupling, seconds, distance_m, n_segments, coverage, max_gap, speed1, speed2, hr1, hr2, speed1 / nullif(hr1, 0) as eff1, speed2 / nullif(hr2, 0) as eff2, m1, m2 from {{vrun}} r left join
- (select *, split_part(failed, ',', 1) as reason from (select *, concat_ws(',', {", ".join(f"case when {c} then '{n}' end" for n, c in _GATES.items())}) as failed from {_Q} q0) q1) q on r.run_id = q.run_id)"""
+ (select *, split_part(failed, ',', 1) as reason from (select *, concat_ws(',', {failed}) as failed from {halves} q0) q1) q on r.run_id = q.run_id)"""
+
+
+DEC = dec_sql(SMALL)
 R.query("MD17_decoupling_gates", f"select run_id, status, reason, failed_gates, n_segments, {', '.join(f'round({c}, 5) as {c}' for c in _DEC_COLS)} from {DEC} d")(
     lambda t: decoupling_of(t).select("run_id", "status", "reason", "failed_gates", "n_segments", *[F.round(c, 5).alias(c) for c in _DEC_COLS]))
 
