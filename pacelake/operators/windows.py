@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..registry import Registry
 from ..session import cut
-from .distributed import running
+from .distributed import running, sliding_quantiles
 
 R = Registry()
 C = F.col
@@ -77,6 +77,9 @@ _F = "over (partition by user_id order by d range between interval 10 days prece
 R.query("WN13_range_excluding_today", f"select event_id, count(v) {_F} as n, round(avg(v) {_F}, 6) as mean, min(v) {_F} as low, max(v) {_F} as high from {_EV} x")(
     lambda t: (lambda w: t.events.withColumn("v", F.when(C("event_type") != "view", C("value"))).select("event_id", F.count("v").over(w).alias("n"), F.round(F.avg("v").over(w), 6).alias("mean"), F.min("v").over(w).alias("low"), F.max("v").over(w).alias("high")))(by_day("user_id", "ts", 10, 1)))
 _E = "over (partition by run_id order by elapsed_seconds range between"
+R.query("WN13_sliding_quantiles", """select distinct cast(l_shipdate as date) as day, count(l_quantity) over w as n, cast(quantile_disc(l_quantity, 0.25) over w as double) as q1, cast(quantile_disc(l_quantity, 0.5) over w as double) as median, cast(quantile_disc(l_quantity, 0.75) over w as double) as q3
+ from lineitem window w as (order by cast(l_shipdate as date) range between interval 90 days preceding and interval 1 day preceding)""")(
+    lambda t: sliding_quantiles(t.lineitem.select(F.unix_date(C("l_shipdate").cast("date")).alias("d"), "l_quantity"), [], "d", "l_quantity", {"q1": 0.25, "median": 0.5, "q3": 0.75}).select(F.date_from_unix_date(C("d").cast("int")).alias("day"), "n", "q1", "median", "q3"))
 R.query("WN14_range_seconds", f"select event_id, count(heart_rate) {_E} 900 preceding and 600 preceding) as base_n, round(avg(heart_rate) {_E} 600 preceding and current row), 6) as recent from {{vrec}} r")(
     lambda t: (lambda w: t.vrec.select("event_id", F.count("heart_rate").over(w.rangeBetween(-900, -600)).alias("base_n"), F.round(F.avg("heart_rate").over(w.rangeBetween(-600, 0)), 6).alias("recent")))(Window.partitionBy("run_id").orderBy("elapsed_seconds")))
 R.query("WN15_centred", f"select event_id, round(avg(altitude_m) {_RW} rows between 2 preceding and 2 following), 6) as smooth from {{vrec}} r")(lambda t: t.vrec.select("event_id", F.round(F.avg("altitude_m").over(RUN().rowsBetween(-2, 2)), 6).alias("smooth")))
