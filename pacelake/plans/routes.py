@@ -36,7 +36,7 @@ def observations(records: DataFrame, runs: DataFrame, bucket_m: float = 250.0, s
     signature = F.array_join(F.transform("path", lambda p: p["fine"].cast("string")), ">")
     return paths.join(runs.select("run_id", "subject", "activity_date", "distance_km"), "run_id").where("distance_km > 0").select(
         "run_id", "subject", "activity_date", "distance_km", bucket.alias("bucket"), F.size("path").cast("long").alias("n"),
-        C("path")[0]["fine"].alias("start_cell"), F.element_at("path", -1)["fine"].alias("end_cell"), signature.alias("signature"),
+        C("path")[0]["fine"].cast("string").alias("start_cell"), F.element_at("path", -1)["fine"].cast("string").alias("end_cell"), signature.alias("signature"),
         F.transform("path", lambda p: F.struct(p["pos"].alias("pos"), p["cell"].alias("cell"))).alias("path"),
     )
 
@@ -44,7 +44,7 @@ def observations(records: DataFrame, runs: DataFrame, bucket_m: float = 250.0, s
 _FIRSTS = f"""(select run_id, pos, fine, fine >> 2 as cell from (select *, row_number() over (partition by run_id, pos order by record_distance_m, record_index) as rn from
  (select *, cast(floor(record_distance_m / 250.0) as bigint) as pos, {z_cell_sql("lat", "lon", FINE)} as fine from {{vgeo}} g where record_distance_m is not null) a) b where rn = 1 and fine is not null)"""
 OBS = f"""(select p.run_id, v.subject, v.activity_date, v.distance_km, round(v.distance_km * 2) / 2 as bucket, n, start_cell, end_cell, signature, path from
- (select run_id, count(*) as n, max(case when f = 1 then fine end) as start_cell, max(case when l = 1 then fine end) as end_cell,
+ (select run_id, count(*) as n, max(case when f = 1 then cast(fine as varchar) end) as start_cell, max(case when l = 1 then cast(fine as varchar) end) as end_cell,
   string_agg(cast(fine as varchar), '>' order by pos) as signature, string_agg(cast(cell as varchar), '>' order by pos) as path from
  (select *, row_number() over (partition by run_id order by pos) as f, row_number() over (partition by run_id order by pos desc) as l from {_FIRSTS} c) d group by run_id) p join {{vrun}} v on p.run_id = v.run_id where v.distance_km > 0)"""
 PTS = f"(select run_id, pos, cell from {_FIRSTS} q)"
