@@ -3,11 +3,13 @@
 import json
 import math
 from collections import defaultdict
+from datetime import date
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pacelake import binding
 from pacelake.functions import scalars
 from pacelake.operators import distributed as D
 from pacelake.operators.joins import nearest_value
@@ -200,3 +202,36 @@ def test_components_of_random_graphs(spark, seed):
     nodes = spark.createDataFrame([(str(k),) for k in range(600)], "run_id string")
     edges = spark.createDataFrame([(str(x), str(y)) for a, b in pairs for x, y in ((a, b), (b, a))], "run_id string, connected_run_id string").repartition(5)
     assert dict(map(tuple, routes.connected_components(nodes, edges).collect())) == {str(k): str(find(k)) for k in range(600)}
+
+
+def test_copies_of_runs_are_one_class(spark):
+    """2,000 runs of each of three paths: two paths share nine cells of ten, the third none; one run differs in distance, one is too far."""
+    ways = {"a": [(i, i) for i in range(10)], "b": [(i, i if i < 9 else 50) for i in range(10)], "c": [(i, 100 + i) for i in range(10)]}
+    found = [(f"{w}{k:04}", date(2024, 1, 1 + k % 9), 5.0, 1, "2", "3", 10, "x", p) for w, p in ways.items() for k in range(2000)]
+    found += [("d", date(2023, 1, 1), 5.4, 1, "2", "3", 10, "x", ways["a"]), ("e", date(2023, 1, 1), 6.0, 1, "2", "3", 10, "x", ways["a"])]
+    rows = spark.createDataFrame(found, "run_id string, activity_date date, distance_km double, bucket int, start_cell string, end_cell string, n long, signature string, path array<struct<pos:long,cell:long>>")
+    obs = routes.classed(rows)
+    classes = routes.classes_of(obs)
+    edges = routes.similarity(classes, 0.9, routes.KEYS).cache()
+    assert classes.count() == 5 and edges.count() == 6
+    got = {r.run_id: (r.class_id, r.n_links, r.best_similarity) for r in routes.link_counts(obs, classes, edges).collect()}
+    assert len(got) == 6002 and got["a0007"] == ("a0000", 4000, 1.0) and got["b0007"] == ("b0000", 4000, 1.0) and got["c0007"] == ("c0000", 1999, 1.0)
+    assert got["d"] == ("d", 4000, 1.0) and got["e"] == ("e", 0, None)
+    assert {r.run_id: r.root_run_id for r in routes.chronological_roots(classes, edges).collect()} == {"a0000": "d", "b0000": "d", "c0000": "c0000", "d": "d", "e": "e"}
+
+
+def test_copied_events_agree_with_their_pairs(spark, data, tmp_path):
+    """Events repeated under other users: links, roots, components and clusters by classes are those of all pairs of runs."""
+    events = spark.read.parquet(f"{data}/events.parquet")
+    copies = events.crossJoin(spark.range(3).select(F.col("id").alias("i"))).withColumns({"user_id": F.col("user_id") + F.col("i") * 800, "event_id": F.col("event_id") + F.col("i") * 10**6})
+    copies.select(*events.columns).write.parquet(f"{tmp_path}/events.parquet")
+    t = binding.Tables(spark, str(tmp_path))
+    obs = routes.observed(t).cache()
+    edges = routes.similarity(obs, 0.5, routes.KEYS).cache()
+    counts = edges.groupBy("run_id").agg(F.count("*").alias("links"), F.max("similarity").alias("s"))
+    want = {r.run_id: (r.links, r.s) for r in obs.join(counts, "run_id", "left").select("run_id", F.coalesce("links", F.lit(0)).alias("links"), "s").collect()}
+    assert {r.run_id: (r.n_links, r.best_similarity) for r in routes.link_counts(*routes.graph_of(t)).collect()} == want
+    roots = routes.chronological_roots(obs, edges)
+    assert sorted(map(tuple, routes.roots_of(t).collect())) == sorted(map(tuple, roots.collect()))
+    assert sorted(map(tuple, routes.components_of(t).collect())) == sorted(map(tuple, routes.connected_components(obs, edges).collect()))
+    assert sorted(map(str, routes.clusters_of(t).collect())) == sorted(map(str, routes.route_clusters(obs, edges, roots).collect()))
