@@ -83,6 +83,14 @@ def test_nearest_place_prefers_population_among_ties(spark):
     assert [(r.id, r.name) for r in joins.nearest_place(points, places, "id").select("id", "name").collect()] == [(1, "Amsterdam")]
 
 
+def test_places_at_one_coordinate_are_looked_at_once(spark):
+    points = spark.range(200).select("id", F.lit(52.0).alias("lat"), F.lit(4.9).alias("lon"))
+    places = spark.createDataFrame([(f"p{k:04}", 52.1, 4.9, k // 2) for k in range(1000)] + [("q", 52.2, 4.9, 10**6)], "name string, p_lat double, p_lon double, population long").repartition(4)
+    assert sorted((r.name, r.population) for r in joins.largest_places(places).collect()) == [("p0999", 499), ("q", 10**6)]
+    best = joins.nearest_place(points, places, "id").collect()
+    assert len(best) == 200 and {(r.name, r.population) for r in best} == {("p0999", 499)}
+
+
 def test_week_context_of_a_short_history(spark):
     days = [("s", D(2026, 7, 19), 8.0), ("s", D(2026, 7, 20), 5.5)]
     runs = spark.createDataFrame(days, "subject string, activity_date date, distance double").withColumn("distance", F.col("distance").cast("decimal(18,2)")).withColumn("duration_seconds", F.lit(600).cast("long"))
