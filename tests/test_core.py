@@ -26,6 +26,16 @@ def test_segments_of_the_hand_computed_run(spark):
     assert got == {1: (250.0, 41.667, 2), 2: (250.0, 41.667, 1), 3: (250.0, 91.667, 3), 4: (250.0, 25.0, 1)}
 
 
+def test_segments_count_repeated_numbers_once_and_are_summed_without_a_sort(spark):
+    """Two rows of number 2 share segment 2, which counts it once; the sums keep no row order beside one number."""
+    found = [("r", 1, 0, 0.0, 1.0), ("r", 2, 10, 300.0, 2.0), ("r", 2, 20, 600.0, 3.0), ("r", 3, 30, 600.0, 4.0), ("r", None, 0, 0.0, 5.0)]
+    rows = spark.createDataFrame(found, "run_id string, record_index long, elapsed_seconds long, record_distance_m double, altitude_m double").withColumns({c: F.lit(None).cast("double") for c in ("heart_rate", "running_cadence", "lat", "lon")})
+    cells = segments.distance_segments(rows, [250.0])
+    assert {r.segment: r.record_count for r in cells.collect()} == {1: 2, 2: 1, 3: 2}
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "distinct" not in plan
+
+
 def test_segments_conserve_distance_and_time(spark, data):
     t = binding.Tables(spark, data)
     assert assertions.reconciliation(segments.distance_segments(t.vgeo, [250.0, 402.336, 1609.344]), t.vgeo).count() == 0
