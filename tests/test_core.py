@@ -242,3 +242,12 @@ def test_whole_table_queries(spark, data):
         nulls = last(name)
         assert len(nulls) == size and nulls == sorted(nulls)
     assert any(last("SO02_nulls_last"))
+
+
+def test_halves_are_summed_in_one_pass(spark):
+    """The longest stretch without heart rate comes from running sums, not from a second pass over the intervals that is joined."""
+    found = [("r", 1, 5.0, True), ("r", 2, 3.0, False), ("r", 3, 4.0, False), ("r", 4, 0.0, False), ("r", 5, 2.0, True), ("r", 6, 6.0, False), ("s", 1, 9.0, False), ("t", 1, 1.0, True)]
+    rows = spark.createDataFrame(found, "run_id string, record_index long, sec double, has_hr boolean").withColumns({c: F.lit(1.0) for c in ("m", "m1", "m2", "s1", "s2", "hr")})
+    halves = telemetry.half_split(rows)
+    assert {r.run_id: r.max_gap for r in halves.collect()} == {"r": 7.0, "s": 9.0, "t": 0.0}
+    assert "Join" not in halves._jdf.queryExecution().executedPlan().toString()
