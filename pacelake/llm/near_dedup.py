@@ -40,6 +40,8 @@ TREES, DEPTH, LEAST, WIDTH = 16, 8, 3, 4
 TASK_PAIRS = 5_000
 #: Shingles and texts in one part of a long run, and long runs that are few enough to be sent to all tasks.
 PART_ITEMS, PART_TEXTS, FEW_RUNS = 100_000, 2_000, 20_000
+#: Bits for each id in a map of ids, and in a whole map: 32 MB, sent to all tasks. With fewer bits an id more texts pass it, and none is lost.
+ID_BITS, MAP_BITS = 16, 1 << 28
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +181,20 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, items binary")
 
 
+def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `texts` (id, text) whose id is one of `ids`, which has none twice. Where the texts are read, a map of hashed ids keeps back most
+    others, so the join on the ids themselves sends little more than what is wanted."""
+    ids = tx.cut(ids)
+    most = 8 * 4096  # bits of one row of the map
+    bits = min(MAP_BITS, max(1, -(-ids.count() * ID_BITS // most)) * most)
+    spot = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+    spots = ids.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit"))
+    maps = spots.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    passed = texts.withColumn("spot", spot).join(F.broadcast(maps), F.bitmap_bucket_number("spot") == F.col("bucket")).withColumn("bit", F.bitmap_bit_position("spot"))
+    passed = passed.where("shiftright(cast(conv(hex(substring(map, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
+    return passed.select("id", "text").join(ids, "id")  # a semi join would be moved below the map
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
@@ -200,7 +216,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().coalesce(tasks)
     # Few texts are left after the join, so four of its partitions share a task.
     wide = -(-int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    sets = tx.cut(_sets(texts.join(needed, "id", "left_semi").coalesce(max(tasks, wide)), size))
+    sets = tx.cut(_sets(_wanted(texts, needed).coalesce(max(tasks, wide)), size))
     left, right = (sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
     met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
     return met.coalesce(tasks).mapInArrow(_confirm(percent), "a long, b long")
@@ -302,7 +318,7 @@ def _all_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     near = plan.select("tree", "prefix", F.col("level").alias("to"), F.col("parts").alias("to_parts"), F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
     met = near.join(plan, ["tree", "prefix", "level"])
     name = lambda level, part: F.col(level).cast("long") * F.lit(1 << 32) + part
-    sets = tx.cut(_sets(texts.join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), size))
+    sets = tx.cut(_sets(_wanted(texts, open_.select("id").distinct()).dropDuplicates(["id"]), size))
     dealt = rows.join(met, ["tree", "prefix", "level"]).select("tree", "prefix", "id", "c", name("level", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("place"), F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)).alias("other"), "to")
     dealt = dealt.withColumn("other", name("to", F.col("other")))
     sent = dealt.select("tree", "prefix", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place", "id", "c").join(sets, "id").drop("id")
@@ -334,6 +350,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     real = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     same = tx.cut(real.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     firsts = real.join(same, (real["set_key"] == same["set_key"]) & (real["doc_id"] == same["rep"]), "left_semi").select(F.col("doc_id").alias("id"), "n", "labels").dropDuplicates(["id"])
+    firsts = tx.cut(firsts)
     pairs, long_runs = candidates(firsts, trees, depth, least, width, percent)
     pairs = tx.cut(pairs)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
