@@ -53,7 +53,7 @@ def test_pairs_are_listed_both_ways(observed, least, keys, columns):
     assert len(got) == len(dict(got)) and dict(got) == plain_pairs(rows, least, columns)
 
 
-@pytest.mark.parametrize("name, least, keys", [("MD23_route_similarity", 0.5, routes.KEYS)])
+@pytest.mark.parametrize("name, least, keys", [("MD23_route_similarity", 0.5, routes.KEYS), ("MD23_route_similarity_strict", 0.9, routes.STRICT_KEYS)])
 def test_queries_list_pairs_of_copied_events(spark, data, tmp_path, name, least, keys):
     """Each run of each copy is a row with each of its links, not counted."""
     events = spark.read.parquet(f"{data}/events.parquet")
