@@ -1,4 +1,4 @@
-"""Pairs of runs by forms (keys and path) and distances, against plain loops over all pairs."""
+"""Pairs, roots, components and clusters of runs by forms (keys and path) and distances, against plain loops over all pairs."""
 
 from datetime import date, timedelta
 
@@ -70,4 +70,35 @@ def test_distances_of_one_path_are_not_paired(spark, observed):
     observed([(f"{w}{k:04}", "s", date(2024, 1, 1), 1.0 + k / 100000, 1.0, 6, "1", "2", w, p) for w, p in ways.items() for k in range(4000)])
     obs, links = routes.forms_graph(None)
     assert sorted(x.similarity for x in links.collect()) == [0.5, 0.5, 1.0, 1.0]
-    assert obs.select("form").distinct().count() == 2
+    assert obs.select("form").distinct().count() == 2 and routes.members_of(obs).count() == 8000
+
+
+def plain_roots(rows, pairs):
+    order = {x[0]: (x[2], x[0]) for x in rows}
+    up = {x: min([x, *(b for a, b in pairs if a == x)], key=order.get) for x in order}
+    for _ in range(12):
+        up = {x: up[up[x]] for x in up}
+    return up
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_roots_by_forms(observed, seed):
+    rows = observed(runs_of(seed, 140))
+    assert dict(map(tuple, routes.roots_of(None).collect())) == plain_roots(rows, plain_pairs(rows, 0.5))
+
+
+def test_pointers_are_followed_for_some_rounds(spark):
+    """A chain of 20 runs, each pointing at the one before: k rounds follow 2^k pointers, and rounds enough all."""
+    near = spark.createDataFrame([(f"{k:02}", f"{max(k - 1, 0):02}") for k in range(20)], "run_id string, up string")
+    for rounds in (1, 2, 3, 12):
+        assert dict(map(tuple, routes.followed(near, rounds).collect())) == {f"{k:02}": f"{max(k - 2**rounds, 0):02}" for k in range(20)}
+
+
+def test_reach_is_told_by_the_rule_itself():
+    km = np.unique([a * b for a in (0.3, 1.0, 1.1, 1.21, 2.2, 4.84) for b in (1.0, 1.1, 1 / 1.1, 1.1 - 2e-16, 1.1 + 4e-16, 0.9)])
+    low, high = routes._reach(km)
+    for i, x in enumerate(km):
+        inside = [j for j, y in enumerate(km) if abs(x - y) <= 0.10 * min(x, y)]
+        assert (low[i], high[i]) == (inside[0], inside[-1]) and len(inside) == high[i] - low[i] + 1
+    values = np.random.default_rng(5).permutation(len(km))
+    assert [*routes._least_between(values, low, high)] == [values[a : b + 1].min() for a, b in zip(low, high)]
