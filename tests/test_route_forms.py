@@ -102,3 +102,13 @@ def test_reach_is_told_by_the_rule_itself():
         assert (low[i], high[i]) == (inside[0], inside[-1]) and len(inside) == high[i] - low[i] + 1
     values = np.random.default_rng(5).permutation(len(km))
     assert [*routes._least_between(values, low, high)] == [values[a : b + 1].min() for a, b in zip(low, high)]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_components_by_chains(observed, seed):
+    rows = observed(runs_of(seed, 140))
+    least, pairs = {x[0]: x[0] for x in rows}, plain_pairs(rows, 0.5)
+    for _ in rows:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert dict(map(tuple, routes.components_of(None).collect())) == least
