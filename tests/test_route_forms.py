@@ -112,3 +112,15 @@ def test_components_by_chains(observed, seed):
         for a, b in pairs:
             least[a] = least[b] = min(least[a], least[b])
     assert dict(map(tuple, routes.components_of(None).collect())) == least
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_clusters_by_members(observed, seed):
+    rows = observed(runs_of(seed, 140))
+    pairs = plain_pairs(rows, 0.5)
+    roots = plain_roots(rows, pairs)
+    best = {x: 1.0 if r == x else max((s for (a, b), s in pairs.items() if a == x and roots[b] == r), default=None) for x, r in roots.items()}
+    got = routes.clusters_of(None).collect()
+    assert {x.run_id: (x.representative_run_id, x.is_representative, x.similarity) for x in got} == {x: (r, r == x, best[x]) for x, r in roots.items()}
+    names = {x[0]: x[8] for x in rows}
+    assert len(got) == len(rows) and len({x.route_id for x in got}) == len({names[r] for r in roots.values()})
