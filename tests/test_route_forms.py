@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pacelake import binding
-from pacelake.plans import routes
+from pacelake.plans import assertions, routes
 
 SCHEMA = "run_id string, subject string, activity_date date, distance_km double, bucket double, n long, start_cell string, end_cell string, signature string, path array<struct<pos:long,cell:long>>"
 
@@ -124,3 +124,11 @@ def test_clusters_by_members(observed, seed):
     assert {x.run_id: (x.representative_run_id, x.is_representative, x.similarity) for x in got} == {x: (r, r == x, best[x]) for x, r in roots.items()}
     names = {x[0]: x[8] for x in rows}
     assert len(got) == len(rows) and len({x.route_id for x in got}) == len({names[r] for r in roots.values()})
+
+
+def test_links_out_of_range_are_counted_by_runs(observed, monkeypatch):
+    """Links of a pair of forms that breaks the rule count once for each pair of runs."""
+    rows = observed(runs_of(8, 90))
+    plain = routes.similarity
+    monkeypatch.setattr(routes, "similarity", lambda *a: plain(*a).withColumn("similarity", F.when(F.col("similarity") < 0.9, 1.5).otherwise(F.col("similarity"))))
+    assert assertions._links_out_of_range(None).collect()[0][0] == sum(s < 0.9 for s in plain_pairs(rows, 0.5).values()) > 0
