@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pacelake import binding
-from pacelake.plans import assertions, routes
+from pacelake.plans import assertions, context, routes
 
 SCHEMA = "run_id string, subject string, activity_date date, distance_km double, bucket double, n long, start_cell string, end_cell string, signature string, path array<struct<pos:long,cell:long>>"
 
@@ -132,3 +132,8 @@ def test_links_out_of_range_are_counted_by_runs(observed, monkeypatch):
     plain = routes.similarity
     monkeypatch.setattr(routes, "similarity", lambda *a: plain(*a).withColumn("similarity", F.when(F.col("similarity") < 0.9, 1.5).otherwise(F.col("similarity"))))
     assert assertions._links_out_of_range(None).collect()[0][0] == sum(s < 0.9 for s in plain_pairs(rows, 0.5).values()) > 0
+
+
+def test_score_page_works_sessions_out_once(spark, data):
+    """The page and its total count read sessions that are kept, not the tables twice."""
+    assert "parquet" not in context.R.queries["RD05_score_page"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
